@@ -36,7 +36,7 @@ def exact_dedup(docs: DataFrame, salts: int = 16, digest: Callable[[Column], Col
     first = cut(meta.groupBy("d").agg(F.min(row).alias("w"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d", F.col("w.uid").alias("first_uid")))
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts))
     winners = (
-        full.join(first.select("d"), "d", "left_semi").withColumn("salt", salt)
+        full.join(first.select("d").hint("merge"), "d", "left_semi").withColumn("salt", salt)
         .groupBy("d", "t", "salt").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .groupBy("d", "t").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     )
