@@ -2,100 +2,104 @@
 
 A collection of byte strings is cut into shards. Each string counts as circular with two end marks that sort before
 all bytes. A shard's rotations are sorted (to a depth of 128 bytes) by prefix doubling; its transform holds, for each
-rotation in order, the two bytes before it. ``merge`` never sorts the union: it keeps an interleave (which shard each
+rotation in order, the four bytes before it. ``merge`` never sorts the union: it keeps an interleave (which shard each
 place of the merged order takes its next rotation from) and refines it: a pass distributes the places stably by the
-two bytes before them, which turns an order by 2t bytes into one by 2t + 2 bytes. Where a pass separates neighbours,
-their common prefix is shorter than 2t + 2; what is left together after ``depth / 2`` passes is a repeated interval.
+four bytes before them, which turns an order by t bytes into one by t + 4 bytes. Where a pass separates neighbours,
+their common prefix is shorter than t + 4; what is left together after ``depth / 4`` passes is a repeated interval.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+STEP = 4
+
+
+def stable_order(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Stable order of keys below 2**bits: the place is put below the key, and the packed numbers are sorted."""
+    n = len(keys)
+    low = max(1, int(n - 1).bit_length())
+    if bits + low > 63:
+        return np.argsort(keys, kind="stable")
+    packed = (keys.astype(np.int64) << low) | np.arange(n, dtype=np.int64)
+    packed.sort()
+    return packed & ((1 << low) - 1)
+
 
 class Shard:
-    """Sorted rotations of some strings: where each starts, and the pair of bytes before it."""
+    """Sorted rotations of some strings: where each starts, and the four bytes before it."""
 
-    def __init__(self, strings: list[bytes], code: np.ndarray):
+    def __init__(self, strings: list[bytes]):
         lengths = np.array([len(s) + 2 for s in strings], dtype=np.int64)
         ends = np.cumsum(lengths)
         starts = ends - lengths
-        raw = np.frombuffer(b"\0\0".join(strings) + b"\0\0", dtype=np.uint8)
-        text = code[raw]
-        mark = np.zeros(len(raw), dtype=bool)
-        mark[ends - 1] = mark[ends - 2] = True
-        text[mark] = 0
+        text = np.frombuffer(b"\xff\xff".join(strings) + b"\xff\xff", dtype=np.uint8) + np.uint8(1)  # UTF-8 has no byte 255: marks become 0
         n = len(text)
         nxt = np.arange(1, n + 1, dtype=np.int64)
         nxt[ends - 1] = starts
-        rank, jump, depth = text.astype(np.int64), nxt, 1
-        while depth < 128:  # rank by `depth` bytes and the place `depth` bytes on give the rank by twice as many
-            key = rank * (int(rank.max()) + 1) + rank[jump]
-            order = np.argsort(key)
-            new = key[order]
+        jump2 = nxt[nxt]
+        jump = jump2[jump2]
+        rank = text.astype(np.int64)
+        rank = (rank << 8) | rank[nxt]
+        word = ((rank << 16) | rank[jump2]).astype(np.uint32)  # four bytes from each place
+        before = np.arange(-1, n - 1, dtype=np.int64)
+        before[starts] = ends - 1
+        before = before[before]
+        before = before[before]
+        rank, bits, depth = word.astype(np.int64), 32, STEP
+        while True:
+            order = stable_order(rank, bits)
+            key = rank[order]
             first = np.empty(n, dtype=np.int64)
-            first[0], first[1:] = 0, new[1:] != new[:-1]
+            first[0], first[1:] = 0, key[1:] != key[:-1]
+            number = np.cumsum(first)
+            if depth >= 128 or number[-1] == n - 1:
+                break
             rank = np.empty(n, dtype=np.int64)
-            rank[order] = np.cumsum(first)
+            rank[order] = number
+            half = max(1, int(number[-1]).bit_length())
+            # rank by `depth` bytes here and `depth` bytes on give the rank by twice as many
+            rank, bits = (rank << half) | rank[jump], 2 * half
             jump, depth = jump[jump], depth * 2
-        before = np.arange(-1, n - 1, dtype=np.int64)
-        before[starts] = ends - 1
-        self.order = order
-        self.pairs = (text[before[before]].astype(np.uint16) * np.uint16(int(code.max()) + 1) + text[before])[order]
+        self.before = word[before][order]
         self.string = np.repeat(np.arange(len(strings)), lengths)[order]
         self.offset = order - starts[self.string]
 
 
-def alphabet(strings: list[bytes]) -> np.ndarray:
-    """Codes 1, 2, ... of the byte values that occur; valid UTF-8 has under 255 of them, so pairs fit 16 bits."""
-    held = np.zeros(256, dtype=bool)
-    for s in strings:
-        held[np.frombuffer(s, dtype=np.uint8)] = True
-    code = np.zeros(256, dtype=np.uint16)
-    code[held] = np.arange(1, held.sum() + 1)
-    return code
-
-
 def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(interleave, interval): each merged place's shard, and the number of its interval of ``depth`` common bytes."""
-    sizes = [len(s.pairs) for s in shards]
-    pairs = np.concatenate([s.pairs for s in shards])
-    take = np.repeat(np.arange(len(shards), dtype=np.uint16), sizes)
-    interval = np.zeros(len(pairs), dtype=np.int64)
-    for _ in range(depth // 2):
-        symbol = np.empty(len(pairs), dtype=np.uint16)
-        symbol[np.argsort(take, kind="stable")] = pairs
-        place = np.argsort(symbol, kind="stable")
-        take, was, symbol = take[place], interval[place], symbol[place]
-        split = np.empty(len(pairs), dtype=bool)
-        split[0] = False
-        split[1:] = (symbol[1:] != symbol[:-1]) | (was[1:] != was[:-1])
-        interval = np.cumsum(split)
+    take = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(s.before) for s in shards])
+    before, bits = np.concatenate([s.before for s in shards]), max(1, int(len(shards) - 1).bit_length())
+    interval = np.zeros(len(take), dtype=np.int32)
+    symbol = before.copy()
+    split = np.zeros(len(take), dtype=bool)
+    for _ in range(depth // STEP):
+        if len(shards) > 1:  # the places of a shard, in order, take its rotations in order
+            symbol[stable_order(take, bits)] = before
+        place = stable_order(symbol, 32)
+        take, was, ordered = take[place], interval[place], symbol[place]
+        np.not_equal(ordered[1:], ordered[:-1], out=split[1:])
+        split[1:] |= was[1:] != was[:-1]
+        interval = np.cumsum(split, dtype=np.int32)
     return take, interval
 
 
-def repeated(strings: list[bytes], depth: int, shard_bytes: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated(strings: list[bytes], depth: int, shard_bytes: int = 1 << 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(interval, string, offset) of every ``depth``-byte window that occurs more than once, by interval."""
-    code = alphabet(strings)
-    shards, part, size = [], [], 0
-    for s in strings:
+    shards, part, size, bases = [], [], 0, []
+    for i, s in enumerate(strings):
+        if not part:
+            bases.append(i)
         part.append(s)
         size += len(s) + 2
-        if size >= shard_bytes:
-            shards.append(Shard(part, code))
+        if size >= shard_bytes or i == len(strings) - 1:
+            shards.append(Shard(part))
             part, size = [], 0
-    if part:
-        shards.append(Shard(part, code))
     take, interval = merge(shards, depth)
-    counts, base = [], 0
-    for s in shards:
-        counts.append(base)
-        base += int(s.string.max()) + 1
-    by_shard = np.argsort(take, kind="stable")
     string, offset = np.empty(len(take), dtype=np.int64), np.empty(len(take), dtype=np.int64)
-    string[by_shard] = np.concatenate([s.string + b for s, b in zip(shards, counts)])
-    offset[by_shard] = np.concatenate([s.offset for s in shards])
+    for k, (s, base) in enumerate(zip(shards, bases)):
+        own = take == k
+        string[own], offset[own] = s.string + base, s.offset
     lengths = np.array([len(s) for s in strings], dtype=np.int64)
-    held = np.bincount(interval)
-    keep = (held[interval] > 1) & (offset + depth <= lengths[string])
+    keep = (np.bincount(interval)[interval] > 1) & (offset + depth <= lengths[string])
     return interval[keep], string[keep], offset[keep]

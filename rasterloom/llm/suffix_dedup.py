@@ -2,7 +2,7 @@
 
 Equal 100-byte windows must meet in one task without sending every suffix anywhere:
 
-1. *Anchors.* In each window the 32-byte gram of least hash (leftmost on ties) is its anchor, so equal windows have
+1. *Anchors.* In each window the 40-byte gram of least hash (leftmost on ties) is its anchor, so equal windows have
    equal anchors at equal places. Consecutive windows share an anchor; a run of them is one anchor entry.
 2. *Which anchors repeat.* Tasks send packed hashes by bucket, each hash once per task with a mark if the task itself
    holds it twice; only entries a task holds once carry a reference to be answered. A hot anchor costs a task one entry.
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,21 +35,21 @@ from pyspark.sql import functions as F
 from .bwt import repeated
 from .common import cut
 
-GRAM = 32
+GRAM = 40
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _SHIFT, _LOW = np.uint64(29), np.uint64((1 << 23) - 1)
 _AT_ONCE = 1 << 20
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
-    """64-bit hash of the 32 bytes at each place (raw is contiguous, 32 bytes at least)."""
+    """64-bit hash of the GRAM bytes (a multiple of 8) at each place; raw is contiguous and long enough."""
     n = len(raw) - GRAM + 1
     word = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
     h = word[:n] * _MIX[0]
-    for k in (1, 2, 3):
+    for k in range(1, GRAM // 8):
         h ^= h >> _SHIFT
         h += word[8 * k : 8 * k + n]
-        h *= _MIX[k]
+        h *= _MIX[k % 4]
     h ^= h >> _SHIFT
     return h
 
@@ -205,13 +206,14 @@ def _by_document(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc": ids[got], "x": xs[got], "hits": [np.packbits(hit[ends[k] - counts[k] : ends[k]]).tobytes() for k in got]})
 
 
-#: Rows to buckets: packed segments. Rows to documents (bucket -1): runs of repeated windows.
+#: With b packed segments (compressed); without b the runs of repeated windows of one document, which pass through.
 _SEG = "bucket int, doc long, x long, a binary, b binary"
+_RUNS = "doc long, x long, a binary"
 NULL_DOC = np.iinfo(np.int64).max
 
 
 def _run_rows(runs: dict[tuple[int, int], list[tuple[int, int]]]) -> list[tuple]:
-    return [(-1, doc, x, np.array(r, dtype=np.int64).tobytes(), b"") for (doc, x), r in runs.items()]
+    return [(doc, x, np.array(r, dtype=np.int64).tobytes()) for (doc, x), r in runs.items()]
 
 
 def _segments(depth: int, buckets: int):
@@ -222,7 +224,7 @@ def _segments(depth: int, buckets: int):
         runs: dict = defaultdict(list)
 
         def flush() -> pd.DataFrame:
-            rows = _packed(best, buckets) + _run_rows(runs)
+            rows = _packed(best, buckets) + [(x % buckets, doc, x, a, None) for doc, x, a in _run_rows(runs)]
             best.clear()
             runs.clear()
             return pd.DataFrame(rows, columns=["bucket", "doc", "x", "a", "b"])
@@ -260,13 +262,14 @@ def _offer(best: dict, runs: dict, content: bytes, new: tuple[int, int, int, int
 
 def _packed(best: dict[bytes, tuple[int, int, int, int]], buckets: int) -> list[tuple]:
     to: dict[int, list] = defaultdict(list)
+    squeeze = zstandard.ZstdCompressor(level=1).compress
     for content, v in best.items():
         to[v[3] % buckets].append((content, v))
     rows = []
     for k, items in to.items():
         info = np.array([(v[0], v[1], v[2], len(c)) for c, v in items], dtype=np.int64)
         hashes = np.array([v[3] for _, v in items], dtype=np.uint64)
-        rows.append((k, 0, 0, b"".join(c for c, _ in items), info.tobytes() + hashes.tobytes()))
+        rows.append((k, 0, 0, squeeze(b"".join(c for c, _ in items)), squeeze(info.T.tobytes() + hashes.tobytes())))
     return rows
 
 
@@ -274,9 +277,13 @@ def _bucket(depth: int, block: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         best: dict = {}
         runs: dict = defaultdict(list)
-        for a, b in zip(group["a"], group["b"]):
+        whole = zstandard.ZstdDecompressor().decompress
+        packed = group["b"].notna()
+        passed = list(group.loc[~packed, ["doc", "x", "a"]].itertuples(index=False, name=None))
+        for a, b in zip(group.loc[packed, "a"], group.loc[packed, "b"]):
+            a, b = whole(a), whole(b)
             n = len(b) // 40
-            info = np.frombuffer(b, dtype=np.int64, count=4 * n).reshape(n, 4).tolist()
+            info = np.frombuffer(b, dtype=np.int64, count=4 * n).reshape(4, n).T.tolist()
             at = 0
             for (doc, x, start, length), h in zip(info, np.frombuffer(b, dtype=np.uint64, offset=32 * n).tolist()):
                 _offer(best, runs, a[at : at + length], (doc, x, start, h), depth)
@@ -295,7 +302,7 @@ def _bucket(depth: int, block: int):
                 part, size = [], 0
         if part:
             _repeats(part, best, runs, depth)
-        return pd.DataFrame(_run_rows(runs), columns=["bucket", "doc", "x", "a", "b"])
+        return pd.DataFrame(passed + _run_rows(runs), columns=["doc", "x", "a"])
 
     return run
 
@@ -331,28 +338,31 @@ def _covered(runs: list[bytes]) -> np.ndarray:
 
 
 def _removed(outputs: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc, x, text, runs in zip(batch["doc"], batch["x"], batch["text"], batch["runs"]):
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, all_runs in batches:
+            rows: list[tuple] = []
+            for text, runs in zip(texts, all_runs):
+                if text is None:
+                    rows.append((0, 0, None) + (None, None) * outputs)
+                    continue
                 raw, spans = text.encode("utf-8", "surrogatepass"), _covered(list(runs))
                 kept, at = [], 0
                 for a, b in spans.tolist():
                     kept.append(raw[at:a])
                     at = b
                 kept = b"".join([*kept, raw[at:]])
-                row = (doc, x, len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
+                row = (len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
                 rows.append((*row, kept, spans.ravel().tolist()) if outputs else row)
-            yield pd.DataFrame(rows, columns=["doc", "x", "n_removed", "n_spans", "kept_sha256", "kept", "spans"][: 7 if outputs else 5])
+            yield pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept_sha256", "kept", "spans"][: 5 if outputs else 3])
 
     return run
 
 
-def suffix_dedup(docs: DataFrame, depth: int = 100, outputs: bool = True, block: int = 1 << 21) -> DataFrame:
+def suffix_dedup(docs: DataFrame, depth: int = 100, outputs: bool = True, block: int = 1 << 16) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``outputs`` also kept (binary, null
-    if nothing was removed) and spans (start, end, start, end, ...). ``depth`` is even, 64 to 128."""
-    if depth % 2 or not 64 <= depth <= 128:
-        raise ValueError("depth must be even, from 64 to 128")
+    if nothing was removed) and spans (start, end, start, end, ...). ``depth`` is a multiple of 4, 64 to 128."""
+    if depth % 4 or not 64 <= depth <= 128:
+        raise ValueError("depth must be a multiple of 4, from 64 to 128")
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce("text", F.lit(""))
@@ -362,15 +372,14 @@ def suffix_dedup(docs: DataFrame, depth: int = 100, outputs: bool = True, block:
     answers = asked.groupBy("bucket").applyInPandas(_answers, "origin long, kind int, a binary, b binary, c binary")
     hits = answers.groupBy("origin").applyInPandas(_by_document, "doc long, x long, hits binary")
     hits = cut(hits.dropDuplicates(["doc", "x"]))
-    found = cut(keyed.join(hits, ["doc", "x"]).dropDuplicates(["doc", "x"]))
-    segments = cut(found.mapInPandas(_segments(depth, buckets), _SEG))
-    later = segments.where("bucket >= 0").groupBy("bucket").applyInPandas(_bucket(depth, block), _SEG)
-    runs = segments.where("bucket < 0").select("doc", "x", "a").unionByName(later.select("doc", "x", "a")).groupBy("doc", "x").agg(F.collect_list("a").alias("runs"))
-    kind = "doc long, x long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<long>" * outputs
-    done = found.join(runs, ["doc", "x"]).mapInPandas(_removed(outputs), kind)
-    base = rows.select("doc_id", "doc", "x", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
-    more = [F.col(c) for c in ("kept", "spans") if outputs]
-    return base.join(done, ["doc", "x"], "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce("kept_sha256", "whole").alias("kept_sha256"), *more,
+    found = keyed.join(hits.hint("merge"), ["doc", "x"])
+    segments = found.mapInPandas(_segments(depth, buckets), _SEG)
+    runs = segments.groupBy("bucket").applyInPandas(_bucket(depth, block), _RUNS).groupBy("doc", "x").agg(F.collect_list("a").alias("runs"))
+    kind = "n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<long>" * outputs
+    removed = F.pandas_udf(_removed(outputs), kind)
+    got = rows.join(runs.hint("merge"), ["doc", "x"], "left").select(
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.when(F.col("runs").isNull(), F.sha2("text", 256)).alias("whole"),
+        removed(F.when(F.col("runs").isNotNull(), F.col("text")), "runs").alias("got"),
     )
+    more = [F.col(f"got.{c}") for c in ("kept", "spans") if outputs]
+    return got.select("doc_id", "n_bytes", "got.n_removed", "got.n_spans", F.coalesce("got.kept_sha256", "whole").alias("kept_sha256"), *more)
