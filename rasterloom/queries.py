@@ -1,2 +1,212 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Queries over the driver's tables, each with DuckDB SQL for the same rows where SQL can express it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .model import GridSpec, Raster, RasterWindow, stack_bands
+from .operators import algebra as A
+from .operators import focal as N
+from .operators import regions as L
+from .operators import vector as V
+from .operators import zonal as Z
+from .operators.resample import raster_resample
+from .plans import tiling as T
+from .sources import tables as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+_EMB = "SELECT vec_id::INT AS row, (generate_subscripts(embedding, 1) - 1)::INT AS col, unnest(embedding)::DOUBLE AS value FROM embeddings"
+_DEM = "SELECT (o_orderkey // 50)::INT AS row, (o_orderkey % 50)::INT AS col, o_totalprice AS value FROM orders"
+_EV = "SELECT (event_id // 100)::INT AS row, (event_id % 100)::INT AS col, value FROM events"
+_PART = "SELECT (p_partkey // 50)::INT AS row, (p_partkey % 50)::INT AS col, p_size::DOUBLE AS b1, p_retailprice AS b2 FROM part"
+
+
+def _h(sql: str) -> str:
+    return f"SELECT row, col, CASE WHEN (row * 7 + col) % 13 <> 0 THEN value END AS value FROM ({sql})"
+
+
+EMB, EMB_N, DEM, DEM_N, EV, EV_N = (x for s in (_EMB, _DEM, _EV) for x in (s, _h(s)))
+
+
+def cells(r: Raster, digits: int = 6) -> DataFrame:
+    return r.df.select("row", "col", F.round("value", digits).alias("value"))
+
+
+def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+def simple(name: str, source: Callable, op: Callable[[Raster], Raster], grid: str, expr: str, digits: int = 6) -> None:
+    """A projection of one grid."""
+    add(name, lambda s, d: cells(op(source(s, d)), digits), f"WITH g AS ({grid}) SELECT row, col, round({expr}, {digits}) AS value FROM g")
+
+
+emb, emb_n = S.emb, lambda s, d: S.emb(s, d, True)
+dem, dem_n = S.dem, lambda s, d: S.dem(s, d, True)
+ev, ev_n = S.events, lambda s, d: S.events(s, d, True)
+
+# --- local algebra
+for _name, _op, _sql in (("add", A.raster_add, "value + y"), ("subtract", A.raster_subtract, "value - y"), ("multiply", A.raster_multiply, "value * y")):
+    add(f"raster_{_name}", lambda s, d, f=_op: cells(f(emb_n(s, d), S.emb_zones(s, d))), f"WITH g AS ({EMB_N}), z AS (SELECT vec_id::INT AS row, label AS y FROM embeddings) SELECT row, col, round({_sql}, 6) AS value FROM g JOIN z USING (row)")
+add("raster_divide", lambda s, d: cells(A.raster_divide(emb_n(s, d), S.emb_zones(s, d))), f"WITH g AS ({EMB_N}), z AS (SELECT vec_id::INT AS row, label AS y FROM embeddings) SELECT row, col, round(CASE WHEN y <> 0 THEN value / y END, 6) AS value FROM g JOIN z USING (row)")
+simple("raster_apply", emb_n, lambda r: A.raster_apply(r, lambda v: v * v + 1), EMB_N, "value * value + 1")
+simple("raster_apply_python", emb_n, lambda r: A.raster_apply(r, lambda v: v * 3 - 1, vectorised=True), EMB_N, "value * 3 - 1")
+simple("raster_where", emb_n, lambda r: A.raster_where(r.with_value((F.col("value") > 0.1).cast("double")), r, -1.0), EMB_N, "CASE WHEN value IS NOT NULL THEN CASE WHEN value > 0.1 THEN value ELSE -1 END END")
+simple("raster_classify", emb_n, lambda r: A.raster_classify(r, [-0.1, 0.0, 0.1], [10, 20, 30, 40]), EMB_N, "CASE WHEN value < -0.1 THEN 10.0 WHEN value < 0 THEN 20.0 WHEN value < 0.1 THEN 30.0 WHEN value IS NOT NULL THEN 40.0 END")
+
+# --- expressions
+for _name, _expr, _sql in (
+    ("arithmetic", "(a + 2) * -a / 3 - 1", "(value + 2) * -value / 3 - 1"), ("abs_sqrt", "sqrt(abs(a)) + sqrt(a)", "CASE WHEN value >= 0 THEN sqrt(abs(value)) + sqrt(value) END"),
+    ("pow_exp", "pow(a, 2) + exp(a)", "pow(value, 2) + exp(value)"), ("min_max_clamp", "min(a, 0.1) + max(a, 0) + clamp(a, -0.05, 0.05)", "least(value, 0.1) + greatest(value, 0) + least(greatest(value, -0.05), 0.05)"),
+    ("logs", "log(a) + log2(a) + log10(a)", "CASE WHEN value > 0 THEN ln(value) + log2(value) + log10(value) END"), ("trig", "sin(a) + cos(a) + tan(a)", "sin(value) + cos(value) + tan(value)"),
+    ("floor_ceil", "floor(a * 10) + ceil(a * 100)", "floor(value * 10) + ceil(value * 100)"),
+):
+    # DuckDB's least and greatest skip NULL as Spark's do, so nodata is asked for
+    simple(f"expression_{_name}", emb_n, lambda r, e=_expr: A.raster_expression(e, a=r), EMB_N, f"CASE WHEN value IS NOT NULL THEN {_sql} END")
+_two = f"WITH g AS ({_PART}) SELECT row, col, round({{}}, 6) AS value FROM g"
+add("raster_ndvi", lambda s, d: cells(A.raster_ndvi(S.parts(s, d), 2, 1)), _two.format("(b2 - b1) / (b2 + b1)"))
+add("raster_band_ratio", lambda s, d: cells(A.raster_band_ratio(S.parts(s, d), 2, 1)), _two.format("b2 / b1"))
+add("raster_band_math", lambda s, d: cells(A.raster_band_math(S.parts(s, d), "b[1] - 2 * b[0]")), _two.format("b2 - 2 * b1"))
+add("band_select", lambda s, d: cells(S.parts(s, d).band(2)), _two.format("b2"))
+add("band_stack", lambda s, d: (lambda r: stack_bands([r, A.raster_apply(r, lambda v: -v)]).df.select("band", "row", "col", F.round("value", 6).alias("value")))(emb_n(s, d)), f"WITH g AS ({EMB_N}) SELECT 1 AS band, row, col, round(value, 6) AS value FROM g UNION ALL SELECT 2, row, col, round(-value, 6) FROM g")
+add("read_window", lambda s, d: cells(emb(s, d).window(RasterWindow(8, 10, 20, 30))), f"WITH g AS ({EMB}) SELECT row - 10 AS row, col - 8 AS col, round(value, 6) AS value FROM g WHERE row BETWEEN 10 AND 39 AND col BETWEEN 8 AND 27")
+add("nodata_mask", lambda s, d: emb_n(s, d).nodata_mask().select("row", "col", "value"), f"WITH g AS ({EMB_N}) SELECT row, col, value IS NULL AS value FROM g")
+
+# --- neighbourhoods
+def around(grid: str, ry: int, rx: int) -> str:
+    return f"g AS ({grid}), o AS (SELECT x AS dr, y AS dc FROM range({-ry}, {ry + 1}) t(x), range({-rx}, {rx + 1}) u(y)), p AS (SELECT g.row, g.col, g.value AS c, dr, dc, h.value AS v FROM g, o JOIN g h ON h.row = g.row + dr AND h.col = g.col + dc)"
+
+
+for _name, _op, _agg in (
+    ("min", N.raster_focal_min, "min(v)"), ("max", N.raster_focal_max, "max(v)"), ("mean", N.raster_focal_mean, "avg(v)"), ("std", N.raster_focal_std, "stddev_pop(v)"),
+    ("range", N.raster_focal_range, "max(v) - min(v)"), ("variety", N.raster_focal_variety, "count(DISTINCT v)::DOUBLE"),
+):
+    add(f"focal_{_name}", lambda s, d, f=_op: cells(f(emb_n(s, d), (1, 2))), f"WITH {around(EMB_N, 1, 2)} SELECT row, col, round(CASE WHEN any_value(c) IS NOT NULL THEN {_agg} END, 6) AS value FROM p GROUP BY row, col")
+_KERNEL = np.array([[1.0, 2.0, 1.0], [0.5, 4.0, 3.0], [1.0, 0.0, 2.0]])
+_K = "CASE " + " ".join(f"WHEN dr = {i - 1} AND dc = {j - 1} THEN {_KERNEL[i, j]}" for i in range(3) for j in range(3)) + " END"
+add("raster_convolve", lambda s, d: cells(N.raster_convolve(emb_n(s, d), _KERNEL)), f"WITH {around(EMB_N, 1, 1)} SELECT row, col, round(CASE WHEN any_value(c) IS NOT NULL THEN sum(v * {_K}) / sum(CASE WHEN v IS NOT NULL THEN {_K} END) END, 6) AS value FROM p GROUP BY row, col")
+_G = "exp(-(dr * dr + dc * dc) / 2.0)"
+add("gaussian_filter", lambda s, d: cells(N.raster_gaussian_filter(emb_n(s, d), 1.0)), f"WITH {around(EMB_N, 3, 3)} SELECT row, col, round(CASE WHEN any_value(c) IS NOT NULL THEN sum(v * {_G}) / sum(CASE WHEN v IS NOT NULL THEN {_G} END) END, 6) AS value FROM p GROUP BY row, col")
+
+
+def stencil_sql(grid: str, value: str, replicate: bool) -> str:
+    """The 3 x 3 window as columns v<dr><dc>, dr and dc from 0 to 2."""
+    at = "greatest(0, least((SELECT max(row) FROM g), g.row + dr))", "greatest(0, least((SELECT max(col) FROM g), g.col + dc))"
+    on = f"h.row = {at[0]} AND h.col = {at[1]}" if replicate else "h.row = g.row + dr AND h.col = g.col + dc"
+    pick = ", ".join(f"max(CASE WHEN dr = {i - 1} AND dc = {j - 1} THEN v END) AS v{i}{j}" for i in range(3) for j in range(3))
+    return (
+        f"WITH g AS ({grid}), o AS (SELECT x AS dr, y AS dc FROM range(-1, 2) t(x), range(-1, 2) u(y)), p AS (SELECT g.row, g.col, dr, dc, h.value AS v FROM g, o JOIN g h ON {on}), "
+        f"w AS (SELECT row, col, count(v) AS n, {pick} FROM p GROUP BY row, col), "
+        "s AS (SELECT *, ((v02 + 2 * v12 + v22) - (v00 + 2 * v10 + v20)) / 8 AS dx, ((v20 + 2 * v21 + v22) - (v00 + 2 * v01 + v02)) / 8 AS dy FROM w) "
+        f"SELECT row, col, CASE WHEN n = 9 THEN {value} END AS value FROM s"
+    )
+
+
+add("raster_slope", lambda s, d: cells(N.raster_slope(emb_n(s, d))), stencil_sql(EMB_N, "round(degrees(atan(sqrt(dx * dx + dy * dy))), 6)", True))
+add("raster_aspect", lambda s, d: cells(N.raster_aspect(emb_n(s, d))), stencil_sql(EMB_N, "round(((90 - degrees(atan2(-dy, dx))) % 360 + 360) % 360, 6)", True))
+_SHADE = "cos(radians(45)) * cos(atan(sqrt(dx * dx + dy * dy))) + sin(radians(45)) * sin(atan(sqrt(dx * dx + dy * dy))) * cos(radians(315) - atan2(-dy, dx))"
+add("raster_hillshade", lambda s, d: cells(N.raster_hillshade(emb_n(s, d))), stencil_sql(EMB_N, f"floor(least(greatest({_SHADE}, 0), 1) * 255 + 0.5)", True))
+_AROUND = [f"v{i}{j}" for i in range(3) for j in range(3) if (i, j) != (1, 1)]
+add("raster_tri", lambda s, d: cells(N.raster_tri(dem_n(s, d))), stencil_sql(DEM_N, f"round(({' + '.join(f'abs({x} - v11)' for x in _AROUND)}) / 8, 6)", False))
+add("raster_tpi", lambda s, d: cells(N.raster_tpi(dem_n(s, d))), stencil_sql(DEM_N, f"round(v11 - ({' + '.join(_AROUND)}) / 8, 6)", False))
+add("raster_curvature", lambda s, d: cells(N.raster_curvature(emb_n(s, d)), 4), stencil_sql(EMB_N, "round(-2 * ((v10 + v12) / 2 - v11 + (v01 + v21) / 2 - v11) * 100, 4)", False))
+
+# --- zonal, histogram
+_ZONE = f"WITH g AS ({EMB_N}), z AS (SELECT vec_id::INT AS row, label::BIGINT AS zone FROM embeddings)"
+_STATS = "count(value)::DOUBLE AS count, round(sum(value), 6) AS sum, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max, round(stddev_pop(value), 6) AS std, round(median(value), 6) AS median"
+ALL_STATS = ["count", "sum", "mean", "min", "max", "std", "median"]
+_r6 = lambda df, *names: df.withColumns({n: F.round(n, 6) for n in names})
+add("zonal_stats", lambda s, d: _r6(Z.zonal_stats(S.emb_zones(s, d), emb_n(s, d), ALL_STATS), "sum", "mean", "std", "median"), f"{_ZONE} SELECT zone, {_STATS} FROM g JOIN z USING (row) WHERE value IS NOT NULL GROUP BY zone")
+add("zonal_stats_multiband", lambda s, d: _r6(Z.zonal_stats(S.parts(s, d).band(1), S.parts(s, d), ["count", "max", "mean"]), "band_1_mean", "band_2_mean"), f"WITH g AS ({_PART}) SELECT b1::BIGINT AS zone, count(b1)::DOUBLE AS band_1_count, max(b1) AS band_1_max, round(avg(b1), 6) AS band_1_mean, count(b2)::DOUBLE AS band_2_count, max(b2) AS band_2_max, round(avg(b2), 6) AS band_2_mean FROM g GROUP BY 1")
+add("flagship_tpi_zonal", lambda s, d: _r6(Z.zonal_stats(S.emb_zones(s, d), N.raster_tpi(emb(s, d)), ["count", "mean"]), "mean"), f"WITH t AS ({stencil_sql(EMB, f'v11 - ({" + ".join(_AROUND)}) / 8', False)}), z AS (SELECT vec_id::INT AS row, label::BIGINT AS zone FROM embeddings) SELECT zone, count(value)::DOUBLE AS count, round(avg(value), 6) AS mean FROM t JOIN z USING (row) WHERE value IS NOT NULL GROUP BY zone")
+_HIST = f"WITH g AS ({EV_N}), l AS (SELECT min(value) AS lo, max(value) AS hi FROM g), b AS (SELECT least(floor((value - lo) / (hi - lo) * 32), 31)::INT AS bin, count(*) AS n FROM g, l WHERE value IS NOT NULL GROUP BY 1), e AS (SELECT k::INT AS bin, coalesce(n, 0)::BIGINT AS count, lo + k * ((hi - lo) / 32) AS lo0, lo, hi FROM l, range(0, 32) r(k) LEFT JOIN b ON b.bin = k)"
+add("raster_histogram", lambda s, d: Z.raster_histogram(ev_n(s, d), 32).select("bin", "count", F.round("edge_lo", 6).alias("edge_lo")), f"{_HIST} SELECT bin, count, round(lo0, 6) AS edge_lo FROM e")
+add("raster_cumulative_distribution", lambda s, d: Z.raster_cumulative_distribution(ev_n(s, d), 32).select("bin", "cdf"), f"{_HIST} SELECT bin, sum(count) OVER (ORDER BY bin)::BIGINT AS cdf FROM e")
+add("raster_percentile", lambda s, d: Z.raster_percentile(ev_n(s, d), [5, 50, 95], 32).select("percentile", F.round("value", 6).alias("value")), f"{_HIST}, c AS (SELECT lo0, sum(count) OVER (ORDER BY bin) AS cdf, sum(count) OVER () AS total FROM e) SELECT p AS percentile, round(min(lo0), 6) AS value FROM c, (VALUES (5.0::DOUBLE), (50.0::DOUBLE), (95.0::DOUBLE)) q(p) WHERE cdf >= p / 100 * total GROUP BY p")
+add("raster_histogram_equalize", lambda s, d: cells(Z.raster_histogram_equalize(ev_n(s, d))), f"WITH g AS ({EV_N}), l AS (SELECT min(value) AS lo, max(value) AS hi FROM g), u AS (SELECT row, col, CASE WHEN value IS NOT NULL THEN floor(least(greatest((value - lo) / (hi - lo) * 255, 0), 255)) END AS level FROM g, l), h AS (SELECT level, sum(count(*)) OVER (ORDER BY level) AS cdf FROM u WHERE level IS NOT NULL GROUP BY level), t AS (SELECT level, round_even((cdf - min(cdf) OVER ()) / (max(cdf) OVER () - min(cdf) OVER ()) * 254 + 1, 0)::DOUBLE AS new FROM h) SELECT row, col, new AS value FROM u LEFT JOIN t USING (level)")
+
+# --- regions
+_MASK = f"SELECT row, col, CASE WHEN value > 0.12 THEN 1.0 ELSE 0.0 END AS value FROM ({_EMB})"
+mask = lambda s, d: (lambda r: r.with_value((F.col("value") > 0.12).cast("double")))(emb(s, d))
+
+
+def label_sql(near: str) -> str:
+    return (
+        f"WITH RECURSIVE g AS ({_MASK}), f AS (SELECT row, col, row * 64 + col AS id FROM g WHERE value <> 0), e AS (SELECT a.id AS u, b.id AS v FROM f a, (VALUES {near}) o(dr, dc) JOIN f b ON b.row = a.row + dr AND b.col = a.col + dc), "
+        "r AS (SELECT id AS u, id AS root FROM f UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.u WHERE r.root < e.v), m AS (SELECT u, min(root) AS root FROM r GROUP BY u), "
+        "n AS (SELECT u, dense_rank() OVER (ORDER BY root)::DOUBLE AS label FROM m)"
+    )
+
+
+_N4, _N8 = "(0, 1), (1, 0), (0, -1), (-1, 0)", "(0, 1), (1, 0), (0, -1), (-1, 0), (1, 1), (1, -1), (-1, 1), (-1, -1)"
+for _c, _near in ((4, _N4), (8, _N8)):
+    add(f"label_connected_components_{_c}", lambda s, d, c=_c: cells(L.label_connected_components(mask(s, d), c)), f"{label_sql(_near)} SELECT row, col, coalesce(label, 0.0) AS value FROM g LEFT JOIN n ON n.u = g.row * 64 + g.col")
+add("sieve_filter", lambda s, d: cells(L.sieve_filter(ev(s, d).with_value(F.floor(F.col("value") / 10)), 40)), f"WITH g AS (SELECT row, col, floor(value / 10) AS value FROM ({_EV})), n AS (SELECT value, count(*) AS n FROM g GROUP BY value) SELECT row, col, CASE WHEN n < 40 THEN 0.0 ELSE value END AS value FROM g JOIN n USING (value)")
+
+
+def morph_sql(*steps: str) -> str:
+    """e and d steps of the 4-neighbour cross."""
+    out, last = f"WITH g0 AS ({_MASK}), o(dr, dc) AS (VALUES (0, 0), {_N4})", "g0"
+    for k, step in enumerate(steps, 1):
+        test = "sum(h.value) = 5" if step == "e" else "sum(h.value) > 0"
+        out += f", g{k} AS (SELECT a.row, a.col, CASE WHEN {test} THEN 1.0 ELSE 0.0 END AS value FROM {last} a, o JOIN {last} h ON h.row = a.row + dr AND h.col = a.col + dc GROUP BY a.row, a.col)"
+        last = f"g{k}"
+    return out
+
+
+for _op, _steps in (("erode", "e"), ("dilate", "d"), ("open", "ed"), ("close", "de")):
+    add(f"morphology_{_op}", lambda s, d, o=_op: cells(L.raster_morphology(mask(s, d), o)), f"{morph_sql(*_steps)} SELECT row, col, value FROM g{len(_steps)}")
+add("morphology_tophat", lambda s, d: cells(L.raster_morphology_tophat(mask(s, d))), f"{morph_sql('e', 'd')} SELECT row, col, g0.value * (1 - g2.value) AS value FROM g0 JOIN g2 USING (row, col)")
+add("morphology_blackhat", lambda s, d: cells(L.raster_morphology_blackhat(mask(s, d))), f"{morph_sql('d', 'e')} SELECT row, col, g2.value * (1 - g0.value) AS value FROM g0 JOIN g2 USING (row, col)")
+_GAP = "least(row - max(CASE WHEN value <> 0 THEN row END) OVER (PARTITION BY col ORDER BY row), min(CASE WHEN value <> 0 THEN row END) OVER (PARTITION BY col ORDER BY row DESC) - row)"
+add("distance_transform", lambda s, d: cells(L.raster_distance_transform(mask(s, d))), f"WITH g AS ({_MASK}), c AS (SELECT row, col, {_GAP} AS gap FROM g) SELECT a.row, a.col, round(sqrt(min((a.col - b.col) * (a.col - b.col) + b.gap * b.gap)), 6) AS value FROM c a JOIN c b ON a.row = b.row WHERE b.gap IS NOT NULL GROUP BY a.row, a.col")
+add("fill_sinks", lambda s, d: cells(L.raster_fill_sinks(dem_n(s, d))))
+
+# --- grids
+_TARGET = GridSpec((0.75, 0.0, 2.0, 0.0, -1.5, -3.0), 60, 100)
+_DST = "d AS (SELECT (k // 60)::INT AS row, (k % 60)::INT AS col FROM range(0, 6000) t(k)), s AS (SELECT row, col, 0.75 * (col + 0.5) + 2 AS sx, 1.5 * (row + 0.5) + 3 AS sy FROM d)"
+for _m, _tap in (("nearest", None), ("bilinear", "(0), (1)"), ("bicubic", "(-1), (0), (1), (2)")):
+    if _tap is None:
+        _sql = f"WITH g AS ({EMB_N}), {_DST} SELECT s.row, s.col, round(g.value, 6) AS value FROM s LEFT JOIN g ON g.row = floor(sy) AND g.col = floor(sx)"
+    else:
+        _w = "(CASE WHEN {0} <= 1 THEN 1 - {0} ELSE 0 END)" if _m == "bilinear" else "(CASE WHEN {0} <= 1 THEN 1.5 * {0} * {0} * {0} - 2.5 * {0} * {0} + 1 WHEN {0} < 2 THEN -0.5 * {0} * {0} * {0} + 2.5 * {0} * {0} - 4 * {0} + 2 ELSE 0 END)"
+        _n = 4 if _m == "bilinear" else 16
+        _sql = (
+            f"WITH g AS ({EMB_N}), {_DST}, t AS (SELECT row, col, sx - 0.5 AS sx, sy - 0.5 AS sy, i, j FROM s, (VALUES {_tap}) a(i), (VALUES {_tap}) b(j)), "
+            f"p AS (SELECT t.row, t.col, abs(sx - floor(sx) - j) AS wx, abs(sy - floor(sy) - i) AS wy, g.value FROM t LEFT JOIN g ON g.row = floor(sy) + i AND g.col = floor(sx) + j) "
+            f"SELECT row, col, round(CASE WHEN count(value) = {_n} THEN sum(value * {_w.format('wx')} * {_w.format('wy')}) END, 6) AS value FROM p GROUP BY row, col"
+        )
+    add(f"resample_{_m}", lambda s, d, m=_m: cells(raster_resample(emb_n(s, d), _TARGET, m)), _sql)
+_BOXES = [(2.25 + 9 * i, 3.25 + 7 * j, 2.25 + 9 * i + 10.5, 3.25 + 7 * j + 5) for i in range(5) for j in range(8)]
+_WKT = [f"POLYGON (({x1} {y1}, {x2} {y1}, {x2} {y2}, {x1} {y2}, {x1} {y1}))" for x1, y1, x2, y2 in _BOXES]
+_GRID = GridSpec.from_bounds(0, 0, 64, 60, 1.0)
+_BOX_SQL = "b(feature, x1, y1, x2, y2) AS (VALUES " + ", ".join(f"({k}, {x1}, {y1}, {x2}, {y2})" for k, (x1, y1, x2, y2) in enumerate(_BOXES, 1)) + "), c AS (SELECT (k // 64)::INT AS row, (k % 64)::INT AS col FROM range(0, 3840) t(k)), u AS (SELECT row, col, max(feature) AS feature FROM c JOIN b ON col + 0.5 > x1 AND col + 0.5 <= x2 AND 60 - row - 0.5 >= y1 AND 60 - row - 0.5 < y2 GROUP BY row, col)"
+add("rasterize", lambda s, d: V.rasterize(s, _WKT, None, _GRID).df.select("row", "col", "value"), f"WITH {_BOX_SQL} SELECT row, col, feature::DOUBLE AS value FROM c LEFT JOIN u USING (row, col)")
+add("zonal_stats_polygons", lambda s, d: _r6(V.zonal_stats_polygons(s, _WKT, emb_n(s, d), ["count", "sum", "max"], _GRID), "sum").drop("zone"), f"WITH g AS ({EMB_N}), {_BOX_SQL} SELECT (feature - 1)::BIGINT AS feature_index, count(value)::DOUBLE AS count, round(sum(value), 6) AS sum, max(value) AS max FROM u JOIN g USING (row, col) WHERE value IS NOT NULL GROUP BY feature")
+_REGION = f"SELECT row, col, floor(value / 25) AS value FROM ({_EV})"
+regions = lambda s, d: ev(s, d).with_value(F.floor(F.col("value") / 25))
+add("polygonize", lambda s, d: V.polygonize(regions(s, d)))
+add("polygonize_area_by_value", lambda s, d: V.polygonize(regions(s, d)).groupBy("value").agg(F.sum("n_cells").alias("n_cells"), F.round(F.sum("area"), 6).alias("area")), f"WITH g AS ({_REGION}) SELECT value::FLOAT::DOUBLE AS value, count(*)::BIGINT AS n_cells, count(*)::DOUBLE AS area FROM g WHERE value IS NOT NULL GROUP BY value")
+add("contour_edges", lambda s, d: V.contour_edges(mask(s, d), 1.0))
+
+# --- tiles
+_plan = T.RasterPlan(T.TilingStrategy.TILED, (48, 24))
+simple("dispatch_tiled", emb_n, lambda r: T.dispatch_tiled(r, lambda a, m: a * 2, _plan), EMB_N, "value * 2")
+add("dispatch_tiled_binary", lambda s, d: cells(T.dispatch_tiled_binary(emb_n(s, d), S.emb_zones(s, d), np.add, _plan)), f"WITH g AS ({EMB_N}), z AS (SELECT vec_id::INT AS row, label AS y FROM embeddings) SELECT row, col, round(value + y, 6) AS value FROM g JOIN z USING (row)")
+
+
+def _box(a: np.ndarray, meta) -> np.ndarray:
+    p = np.pad(a, 1, constant_values=np.nan)
+    return np.fmax.reduce([p[i : i + a.shape[0], j : j + a.shape[1]] for i in range(3) for j in range(3)])
+
+
+add("dispatch_tiled_halo", lambda s, d: cells(T.dispatch_tiled_halo(emb(s, d), _box, _plan, 1)), f"WITH {around(EMB, 1, 1)} SELECT row, col, round(max(v), 6) AS value FROM p GROUP BY row, col")
+add("dispatch_tiled_multipass", lambda s, d: cells(T.dispatch_tiled_multipass(emb_n(s, d), lambda a, m: a + 1, lambda r, bounds: A.raster_apply(r, lambda v: v * len(bounds)), T.RasterPlan(T.TilingStrategy.TILED, (4096, 32)))), f"WITH g AS ({EMB_N}) SELECT row, col, round((value + 1) * 2, 6) AS value FROM g")
