@@ -96,19 +96,20 @@ def format_conversations(messages: DataFrame, top_k: int = 1, loss_roles: tuple[
     )
     largest = nodes.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 1
     jumps: list[DataFrame] = []
+    done: DataFrame = step.where(F.col("up").isNull())
+    # a round joins only pointers that aren't at a root yet
     while len(jumps) <= int(largest).bit_length() and not (open_ := step.where(F.col("up").isNotNull())).isEmpty():
         jumps.append(open_.select("conv_id", F.col("msg_id").alias("node"), "up"))
-        over = step.select("conv_id", F.col("msg_id").alias("up"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("n").alias("n2"))
+        over = open_.unionByName(done).select("conv_id", F.col("msg_id").alias("up"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("n").alias("n2"))
         step = cut(
-            step.join(over, ["conv_id", "up"], "left").select(
-                "conv_id", "msg_id", F.col("up2").alias("up"), (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"),
-                (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"),
-            )
+            open_.join(over, ["conv_id", "up"])
+            .select("conv_id", "msg_id", F.col("up2").alias("up"), (F.col("score") + F.col("s2")).alias("score"), (F.col("n") + F.col("n2")).alias("n"))
         )
+        done = done.unionByName(step.where(F.col("up").isNull()))
     parents = nodes.select("conv_id", F.col("parent_id").alias("msg_id")).where(F.col("msg_id").isNotNull())
     best = Window.partitionBy("conv_id").orderBy(F.col("score").desc(), F.col("n").desc(), "msg_id")
     chosen = (
-        step.where(F.col("up").isNull()).join(parents, ["conv_id", "msg_id"], "left_anti")
+        done.join(parents, ["conv_id", "msg_id"], "left_anti")
         .withColumn("branch_rank", F.row_number().over(best)).where(F.col("branch_rank") <= top_k)
         .select("conv_id", F.col("msg_id").alias("leaf_id"), F.col("msg_id").alias("node"), F.lit(0).cast("long").alias("back"),
                 "branch_rank", F.col("score").alias("branch_score"))
