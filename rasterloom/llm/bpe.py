@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONG = 64
-_AT_ONCE = 1 << 18
+_AT_ONCE = 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -236,7 +236,7 @@ def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 
 
 def groups(texts: list[str]) -> Iterator[slice]:
-    """Slices of about 260,000 characters, so that a batch of long texts needs no more memory than one of short."""
+    """Slices of about a million characters, so that a batch of long texts needs no more memory than one of short."""
     i = 0
     while i < len(texts):
         k, size = i, 0
