@@ -5,10 +5,13 @@ Equal 100-byte windows must meet in one task without sending every suffix anywhe
 1. *Anchors.* In each window the 40-byte gram of least hash (leftmost on ties) is its anchor, so equal windows have
    equal anchors at equal places. Consecutive windows share an anchor; a run of them is one anchor entry.
 2. *Which anchors repeat.* Tasks send packed hashes by bucket, each hash once per task with a mark if the task itself
-   holds it twice; only entries a task holds once carry a reference to be answered. A hot anchor costs a task one entry.
+   holds it twice and how often; answers say which entries repeat. A hot anchor costs a task one entry. Anchors that
+   occur more than ``spread`` times are marked as hot for everyone who holds them.
 3. *Segments.* Documents with repeated anchors are joined with their text; the bytes of each repeated run are cut out.
    Equal segments are combined in the task (the earliest stays, the others' windows are known to be repeats), and the
-   rest goes to the bucket of its anchor.
+   rest goes to the bucket of its anchor. A hot anchor may have very many different segments (one passage, each time
+   in other surroundings), so its segments are cut into pairs of windows, which go to the bucket of the ``depth - 1``
+   bytes that both windows hold. Segments that meet there differ in their outermost bytes only: 65,536 at most.
 4. *Transforms.* A bucket combines equal segments again. Anchors left with several different segments get shard
    Burrows-Wheeler transforms, merged by interleave refinement (``bwt``); intervals of 100 common bytes give each
    repeated window its first start. Nothing is sorted a second time.
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -117,11 +121,14 @@ def _encoded(batch: pd.DataFrame) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in batch["text"]]
 
 
-_ASK = "bucket int, origin long, kind int, a binary, b binary, c binary"
+_ANSWER = "origin long, kind int, a binary, b binary, c binary, d binary"
+_ASK = f"bucket int, {_ANSWER}"
 
 
 def _asks(depth: int, buckets: int):
-    """Kind 0: a = hashes, b = 1 if the task holds it twice or more, c = anchor numbers. Kind 1: a, b = documents, c = anchors of each."""
+    """Kind 0: a = hashes, b = 1 if the task holds it twice or more, c = number of the first such anchor, d = how often
+    it holds those of b. Kind 1: a = documents, b = 1 if the task holds the anchor twice or more, c = anchors of each
+    document, d = number of the first equal anchor for those of b."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, seq = TaskContext.get().partitionId(), 0
@@ -138,19 +145,22 @@ def _asks(depth: int, buckets: int):
             new = np.ones(len(h), dtype=bool)
             new[1:] = h[1:] != h[:-1]
             first = np.flatnonzero(new)
-            many = np.diff(np.append(first, len(h))) > 1
+            times = np.diff(np.append(first, len(h)))
+            many = times > 1
             rows = []
             known = np.ones(len(h), dtype=bool)
             known[order[first[~many]]] = False
-            rows.append((int(origin % buckets), origin, 1, ids.tobytes() + xs.tobytes(), np.packbits(known).tobytes(), counts.astype(np.int64).tobytes()))
             u, ref = h[first], order[first].astype(np.uint32)
+            leader = np.empty(len(h), dtype=np.uint32)
+            leader[order] = np.repeat(ref, times)
+            rows.append((int(origin % buckets), origin, 1, ids.tobytes() + xs.tobytes(), np.packbits(known).tobytes(), counts.astype(np.int64).tobytes(), leader[known].tobytes()))
             to = (u % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(to, kind="stable")
             cuts = np.searchsorted(to[by], np.arange(buckets + 1))
             for k in np.flatnonzero(np.diff(cuts)):
                 at = by[cuts[k] : cuts[k + 1]]
-                rows.append((int(k), origin, 0, u[at].tobytes(), np.packbits(many[at]).tobytes(), ref[at][~many[at]].tobytes()))
-            return pd.DataFrame(rows, columns=["bucket", "origin", "kind", "a", "b", "c"])
+                rows.append((int(k), origin, 0, u[at].tobytes(), np.packbits(many[at]).tobytes(), ref[at].tobytes(), times[at][many[at]].astype(np.uint32).tobytes()))
+            return pd.DataFrame(rows, columns=["bucket", "origin", "kind", "a", "b", "c", "d"])
 
         size = 0
         for batch in batches:
@@ -166,44 +176,60 @@ def _asks(depth: int, buckets: int):
     return run
 
 
-def _answers(group: pd.DataFrame) -> pd.DataFrame:
-    """Which references have a hash that occurs elsewhere; document lists pass through."""
-    asks, passed = group[group["kind"] == 0], group[group["kind"] == 1]
-    rows = list(passed[["origin", "kind", "a", "b", "c"]].itertuples(index=False, name=None))
-    if len(asks):
-        h = [np.frombuffer(a, dtype=np.uint64) for a in asks["a"]]
-        many = np.concatenate([np.unpackbits(np.frombuffer(b, dtype=np.uint8), count=len(x)).astype(bool) for b, x in zip(asks["b"], h)])
-        from_ = np.repeat(np.arange(len(h)), [len(x) for x in h])
-        h = np.concatenate(h)
-        ref = np.zeros(len(h), dtype=np.uint32)
-        ref[~many] = np.concatenate([np.frombuffer(c, dtype=np.uint32) for c in asks["c"]])
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        same = s[1:] == s[:-1]
-        shared = np.zeros(len(h), dtype=bool)
-        shared[order[1:][same]] = True
-        shared[order[:-1][same]] = True
-        for k, origin in enumerate(asks["origin"]):
-            lo, hi = np.searchsorted(from_, [k, k + 1])
-            hit = ref[lo:hi][shared[lo:hi] & ~many[lo:hi]]
-            if len(hit):
-                rows.append((int(origin), 0, hit.tobytes(), b"", b""))
-    return pd.DataFrame(rows, columns=["origin", "kind", "a", "b", "c"])
+def _answers(spread: int):
+    """a: the references whose hash occurs elsewhere, b: those (or a task's first) of hashes that occur over ``spread``
+    times; document lists pass through."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        asks, passed = group[group["kind"] == 0], group[group["kind"] == 1]
+        rows = list(passed[["origin", "kind", "a", "b", "c", "d"]].itertuples(index=False, name=None))
+        if len(asks):
+            h = [np.frombuffer(a, dtype=np.uint64) for a in asks["a"]]
+            ends = np.cumsum([len(x) for x in h])
+            many = np.concatenate([np.unpackbits(np.frombuffer(b, dtype=np.uint8), count=len(x)).astype(bool) for b, x in zip(asks["b"], h)])
+            h = np.concatenate(h)
+            ref = np.concatenate([np.frombuffer(c, dtype=np.uint32) for c in asks["c"]])
+            times = np.ones(len(h), dtype=np.int64)
+            times[many] = np.concatenate([np.frombuffer(d, dtype=np.uint32) for d in asks["d"]])
+            order = np.argsort(h, kind="stable")
+            s = h[order]
+            first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+            total, size = np.add.reduceat(times[order], first), np.diff(np.append(first, len(s)))
+            shared, hot = np.zeros(len(h), dtype=bool), np.zeros(len(h), dtype=bool)
+            shared[order] = np.repeat(total > 1, size)
+            hot[order] = np.repeat(total > spread, size)
+            shared &= ~many
+            for origin, lo, hi in zip(asks["origin"], np.append(0, ends[:-1]), ends):
+                part = ref[lo:hi]
+                hit, over = part[shared[lo:hi]], part[hot[lo:hi]]
+                if len(hit) or len(over):
+                    rows.append((int(origin), 0, hit.tobytes(), over.tobytes(), b"", b""))
+        return pd.DataFrame(rows, columns=["origin", "kind", "a", "b", "c", "d"])
+
+    return run
 
 
 def _by_document(group: pd.DataFrame) -> pd.DataFrame:
-    """Of one task's documents: the numbers of their repeated anchors."""
+    """Of one task's documents: which of their anchors repeat, and which are hot (null: none)."""
     lists = group[group["kind"] == 1].iloc[0]
     ids = np.frombuffer(lists["a"], dtype=np.int64)
     counts = np.frombuffer(lists["c"], dtype=np.int64)
     ids, xs = ids[: len(counts)], ids[len(counts) :]
     hit = np.unpackbits(np.frombuffer(lists["b"], dtype=np.uint8), count=int(counts.sum())).astype(bool)
-    for a in group.loc[group["kind"] == 0, "a"]:
+    known, hot = np.flatnonzero(hit), np.zeros(len(hit), dtype=bool)
+    answers = group[group["kind"] == 0]
+    for a, b in zip(answers["a"], answers["b"]):
         hit[np.frombuffer(a, dtype=np.uint32)] = True
+        hot[np.frombuffer(b, dtype=np.uint32)] = True
+    hot[known] = hot[np.frombuffer(lists["d"], dtype=np.uint32)]
     ends = np.cumsum(counts)
-    sums = np.concatenate([[0], np.cumsum(hit)])
+    sums, hots = (np.concatenate([[0], np.cumsum(x)]) for x in (hit, hot))
     got = np.flatnonzero(sums[ends] > sums[ends - counts])
-    return pd.DataFrame({"doc": ids[got], "x": xs[got], "hits": [np.packbits(hit[ends[k] - counts[k] : ends[k]]).tobytes() for k in got]})
+    stretches = [(ends[k] - counts[k], ends[k]) for k in got]
+    return pd.DataFrame({
+        "doc": ids[got], "x": xs[got], "hits": [np.packbits(hit[i:k]).tobytes() for i, k in stretches],
+        "hot": [np.packbits(hot[i:k]).tobytes() if hots[k] > hots[i] else None for i, k in stretches],
+    })
 
 
 #: With b packed segments (compressed); without b the runs of repeated windows of one document, which pass through.
@@ -213,7 +239,18 @@ NULL_DOC = np.iinfo(np.int64).max
 
 
 def _run_rows(runs: dict[tuple[int, int], list[tuple[int, int]]]) -> list[tuple]:
-    return [(doc, x, np.array(r, dtype=np.int64).tobytes()) for (doc, x), r in runs.items()]
+    return [(doc, x, _covered([np.array(r, dtype=np.int64).tobytes()]).tobytes()) for (doc, x), r in runs.items()]
+
+
+def _pairs(content: bytes, anchor: int, depth: int) -> Iterator[tuple[int, bytes, int]]:
+    """(start, bytes, hash of the bytes that both hold) of each pair of windows of a segment; one alone at an end.
+
+    Windows are paired by their distance to the anchor, so equal windows of different segments are paired alike.
+    """
+    n = len(content) - depth + 1
+    for at in range(-(anchor % 2 == 0), n, 2):
+        low = max(at, 0)
+        yield low, content[low : min(at + 1, n - 1) + depth], xxhash.xxh64_intdigest(content[at + 1 : at + depth])
 
 
 def _segments(depth: int, buckets: int):
@@ -221,28 +258,47 @@ def _segments(depth: int, buckets: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[bytes, tuple[int, int, int, int]] = {}
+        hot: dict[bytes, int] = {}  # segments of hot anchors, and where their anchor is
         runs: dict = defaultdict(list)
 
-        def flush() -> pd.DataFrame:
-            rows = _packed(best, buckets) + [(x % buckets, doc, x, a, None) for doc, x, a in _run_rows(runs)]
-            best.clear()
+        def sent(segments: dict[bytes, tuple[int, int, int, int]]) -> pd.DataFrame:
+            rows = _packed(segments, buckets) + [(x % buckets, doc, x, a, None) for doc, x, a in _run_rows(runs)]
+            segments.clear()
             runs.clear()
             return pd.DataFrame(rows, columns=["bucket", "doc", "x", "a", "b"])
 
+        def flush() -> Iterator[pd.DataFrame]:
+            pairs: dict[bytes, tuple[int, int, int, int]] = {}
+            for content, anchor in hot.items():
+                doc, x, start, _ = best.pop(content)
+                for at, pair, h in _pairs(content, anchor, depth):
+                    _offer(pairs, runs, pair, (doc, x, start + at, h), depth)
+                if len(pairs) > 200_000:
+                    yield sent(pairs)
+            hot.clear()
+            if pairs:
+                yield sent(pairs)
+            yield sent(best)
+
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
                 texts = _encoded(part)
-                d, _, first, last, h = _text_anchors(texts, depth)
+                d, place, first, last, h = _text_anchors(texts, depth)
                 counts = np.bincount(d, minlength=len(part))
                 bits = [np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=int(n)) for x, n in zip(part["hits"], counts)]
                 hit = np.concatenate(bits).astype(bool)
+                over = [np.zeros(n, dtype=np.uint8) if x is None else np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=int(n)) for x, n in zip(part["hot"], counts)]
+                offset = np.where(np.concatenate(over), place - first, -1)
                 ids, xs = part["doc"].tolist(), part["x"].tolist()
-                for k, f, e, g in zip(d[hit].tolist(), first[hit].tolist(), last[hit].tolist(), h[hit].tolist()):
-                    _offer(best, runs, texts[k][f : e + depth], (ids[k], xs[k], f, g), depth)
+                for k, f, e, g, anchor in zip(d[hit].tolist(), first[hit].tolist(), last[hit].tolist(), h[hit].tolist(), offset[hit].tolist()):
+                    content = texts[k][f : e + depth]
+                    _offer(best, runs, content, (ids[k], xs[k], f, g), depth)
+                    if anchor >= 0:
+                        hot[content] = anchor
                 if len(best) > 100_000:
-                    yield flush()
-        yield flush()
+                    yield from flush()
+        yield from flush()
 
     return run
 
@@ -358,9 +414,10 @@ def _removed(outputs: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, depth: int = 100, outputs: bool = True, block: int = 1 << 16) -> DataFrame:
+def suffix_dedup(docs: DataFrame, depth: int = 100, outputs: bool = True, block: int = 1 << 16, spread: int = 4096) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``outputs`` also kept (binary, null
-    if nothing was removed) and spans (start, end, start, end, ...). ``depth`` is a multiple of 4, 64 to 128."""
+    if nothing was removed) and spans (start, end, start, end, ...). ``depth`` is a multiple of 4, 64 to 128. Anchors that occur
+    more than ``spread`` times are split by their surroundings; the result is the same for every value."""
     if depth % 4 or not 64 <= depth <= 128:
         raise ValueError("depth must be a multiple of 4, from 64 to 128")
     spark = docs.sparkSession
@@ -369,8 +426,8 @@ def suffix_dedup(docs: DataFrame, depth: int = 100, outputs: bool = True, block:
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(NULL_DOC)).alias("doc"), F.xxhash64(text).alias("x"), text.alias("text"))
     keyed = rows.select("doc", "x", "text")
     asked = keyed.where(F.octet_length("text") >= depth).mapInPandas(_asks(depth, buckets), _ASK)
-    answers = asked.groupBy("bucket").applyInPandas(_answers, "origin long, kind int, a binary, b binary, c binary")
-    hits = answers.groupBy("origin").applyInPandas(_by_document, "doc long, x long, hits binary")
+    answers = asked.groupBy("bucket").applyInPandas(_answers(spread), _ANSWER)
+    hits = answers.groupBy("origin").applyInPandas(_by_document, "doc long, x long, hits binary, hot binary")
     hits = cut(hits.dropDuplicates(["doc", "x"]))
     found = keyed.join(hits.hint("merge"), ["doc", "x"])
     segments = found.mapInPandas(_segments(depth, buckets), _SEG)

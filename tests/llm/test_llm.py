@@ -282,16 +282,35 @@ def test_suffix_dedup(spark, rows, depth):
         want[d, t] = (len(b), int(covered.sum()), spans, hashlib.sha256(kept).hexdigest())
     # ties of one doc_id are ordered by the text's hash, so their results are compared as a set
     df = spark.createDataFrame(rows, DOCS).withColumn("x", F.lit(0)).repartition(5)
-    got = suffix_dedup.suffix_dedup(df, depth)
-    out = got.collect()
-    assert len(out) == len(rows)
     key = lambda i: null if i is None else i
-    assert {(key(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out if key(r.doc_id) not in (7, null)} == {(d, *v) for (d, _), v in want.items() if d not in (7, null)}
+    for spread in (4096, 8, 1):  # every repeated anchor is hot at 1
+        out = suffix_dedup.suffix_dedup(df, depth, spread=spread).collect()
+        assert len(out) == len(rows)
+        assert {(key(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out if key(r.doc_id) not in (7, null)} == {(d, *v) for (d, _), v in want.items() if d not in (7, null)}
     assert suffix_dedup.suffix_dedup(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         suffix_dedup.suffix_dedup(df, 30)
 
 
+def test_suffix_dedup_hot_passage(spark):
+    """One passage in many documents, each with its own surroundings: no group holds more than the bound on pairs."""
+    draw = random.Random(5)
+    passage = prose(draw, 40).encode()[:140].decode("utf-8", "ignore")
+    texts = ["".join(draw.choice("abcdef ") for _ in range(80)) + passage + "".join(draw.choice("abcdef ") for _ in range(80)) for _ in range(300)]
+    size = len(passage.encode())
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(3)
+    for spread in (4096, 10):
+        got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(df, spread=spread).collect()}
+        assert got[0].n_removed == 0 and all(got[i].n_spans == 1 and size <= got[i].n_removed <= size + 12 for i in range(1, 300))
+    raw = np.frombuffer(texts[0].encode(), np.uint8)
+    _, place, first, last, _ = suffix_dedup.anchors(raw, np.zeros(1, np.int64), np.array([len(raw)]), 100)
+    for p, f, e in zip(place.tolist(), first.tolist(), last.tolist()):
+        content = raw[f : e + 100].tobytes()
+        windows = [start + k for start, pair, _ in suffix_dedup._pairs(content, p - f, 100) for k in range(len(pair) - 99)]
+        assert windows == list(range(e - f + 1))
+        assert all(content[start : start + len(pair)] == pair for start, pair, _ in suffix_dedup._pairs(content, p - f, 100))
+
+
 def test_pipeline(spark):
     """Each stage against a brute-force version of its decision on its own input."""
     import corpus_pipeline as P
