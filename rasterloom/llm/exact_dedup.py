@@ -34,10 +34,12 @@ def exact_dedup(docs: DataFrame, salts: int = 16, digest: Callable[[Column], Col
     # partial aggregation: a task sends a digest once, however often it occurs
     row = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "uid")
     first = cut(meta.groupBy("d").agg(F.min(row).alias("w"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d", F.col("w.uid").alias("first_uid")))
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts))
+    # the join is by salted digest too: else its partitioning would serve the grouping, and a hot digest be one task
+    key, salt = F.xxhash64("d").alias("key"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt")
+    salted = first.select(key, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")).distinct()
     winners = (
-        full.join(first.select("d").hint("merge"), "d", "left_semi").withColumn("salt", salt)
-        .groupBy("d", "t", "salt").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        full.select("*", key, salt).join(salted.hint("merge"), ["key", "salt"], "left_semi")
+        .groupBy("key", "salt", "d", "t").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .groupBy("d", "t").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     )
     sizes = cut(winners.groupBy("d").agg(F.count(F.lit(1)).alias("texts"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")))
