@@ -43,8 +43,9 @@ def exact_dedup(docs: DataFrame, salts: int = 16, digest: Callable[[Column], Col
         .groupBy("d", "t").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     )
     sizes = cut(winners.groupBy("d").agg(F.count(F.lit(1)).alias("texts"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")))
-    groups = sizes.where("texts = 1").join(first, "d")
-    one = meta.join(sizes.where("texts > 1"), "d", "left_anti").join(groups, "d", "left").select(
+    # rows go straight from their exchange into one join, so Spark can split the partition of a hot digest
+    groups = cut(sizes.join(first, "d"))
+    one = meta.join(groups.hint("merge"), "d", "left").where("coalesce(texts, 1) = 1").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
