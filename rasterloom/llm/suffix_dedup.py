@@ -11,7 +11,7 @@ Equal 100-byte windows must meet in one task without sending every suffix anywhe
    Equal segments are combined in the task (the earliest stays, the others' windows are known to be repeats), and the
    rest goes to the bucket of its anchor. A hot anchor may have very many different segments (one passage, each time
    in other surroundings), so its segments are cut into pairs of windows, which go to the bucket of the ``depth - 1``
-   bytes that both windows hold. Segments that meet there differ in their outermost bytes only: 65,536 at most.
+   bytes that both windows hold. Segments that meet there differ in their outermost bytes only: 66,048 at most.
 4. *Transforms.* A bucket combines equal segments again. Anchors left with several different segments get shard
    Burrows-Wheeler transforms, merged by interleave refinement (``bwt``); intervals of 100 common bytes give each
    repeated window its first start. Nothing is sorted a second time.
