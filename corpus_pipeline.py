@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import bpe, decontaminate, exact_dedup, lang_id, simhash
-from rasterloom.llm.common import shared_dir
+from rasterloom.llm import bpe, decontaminate, exact_dedup, lang_id, minhash
+from rasterloom.llm.common import cut, shared_dir
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -27,14 +27,26 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS).join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with row_id, written once: it tells rows apart whose doc_id is null or repeated."""
+    return cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_id")))
+
+
+def _as_ids(docs: DataFrame) -> DataFrame:
+    """Rows of ``_numbered`` for an operator: their identity as doc_id, in the order of doc_id, null ones last."""
+    return docs.select(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row_id").alias("doc_id"), "text")
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the smallest doc_id."""
     return _only(docs, exact_dedup.exact_dedup(docs).where("kept"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component, one document: the one with the smallest doc_id."""
-    return _only(docs, simhash.simhash_groups(docs).where("keep"))
+    """Of documents linked by a five-word Jaccard similarity of at least 0.8, the one with the smallest doc_id."""
+    docs = _numbered(docs)
+    kept = minhash.similar_groups(_as_ids(docs)).where("keep").select("doc_id.row_id")
+    return docs.join(kept, "row_id", "left_semi").select(*COLUMNS)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +62,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("exact_copies", exact_copies), ("near_copies", near_copies), ("leaks", leaks), ("tokens", tokens)]
 
-#: Language models and SimHash components can't be written in SQL; tests hold run() against brute force.
+#: Language models and components of near copies can't be written in SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
