@@ -22,11 +22,6 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return got.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """One row of each doc_id in ``ids``. Ids are unique after this: of repeated ids a row that sorts first stays."""
-    return docs.select(*COLUMNS).join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
-
-
 def _numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with row_id, written once: it tells rows apart whose doc_id is null or repeated."""
     return cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_id")))
@@ -37,22 +32,28 @@ def _as_ids(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row_id").alias("doc_id"), "text")
 
 
+def _only(docs: DataFrame, rows: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of ``_numbered`` whose row_id is in ``rows`` (``left_anti``: isn't): null and repeated doc_ids included."""
+    return docs.join(rows.select("row_id"), "row_id", how).select(*COLUMNS)
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the smallest doc_id."""
-    return _only(docs, exact_dedup.exact_dedup(docs).where("kept"))
+    """Of equal texts, one row: the one with the smallest doc_id."""
+    docs = _numbered(docs)
+    return _only(docs, exact_dedup.exact_dedup(_as_ids(docs)).where("kept").select("doc_id.row_id"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a five-word Jaccard similarity of at least 0.8, the one with the smallest doc_id."""
+    """Of documents linked by a five-word Jaccard similarity of at least 0.8, one row: the one with the smallest doc_id."""
     docs = _numbered(docs)
-    kept = minhash.similar_groups(_as_ids(docs)).where("keep").select("doc_id.row_id")
-    return docs.join(kept, "row_id", "left_semi").select(*COLUMNS)
+    return _only(docs, minhash.similar_groups(_as_ids(docs)).where("keep").select("doc_id.row_id"))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.select(*COLUMNS).join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """Rows that contain no benchmark item."""
+    docs = _numbered(docs)
+    found = decontaminate.contaminated(docs.select(F.col("row_id").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _only(docs, found.select(F.col("doc_id").alias("row_id")).distinct(), "left_anti")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
