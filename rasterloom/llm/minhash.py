@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,15 +54,20 @@ def shingle_set(text: str | None, shingle: int, known: dict[bytes, int]) -> np.n
     return np.unique(out)
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *parts]))
+
+
 def _signatures(shingle: int, bands: int, rows: int):
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def run(texts: pa.Array) -> pa.Array:
         draw, known = np.random.default_rng(SEED), {}
         a = draw.integers(0, 1 << 63, bands * rows, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
         b = draw.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
         band = np.arange(1, bands + 1, dtype=np.uint64)
         sizes, classes, keys = [], [], []
-        for t in texts:
-            s = shingle_set(t, shingle, known)
+        for t in texts:  # one text at a time as a Python string
+            s = shingle_set(t.as_py(), shingle, known)
             sizes.append(len(s))
             classes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             if not len(s):
@@ -74,17 +79,17 @@ def _signatures(shingle: int, bands: int, rows: int):
             for column in least.reshape(bands, rows).T:
                 key = _mixed(key ^ column) + np.uint64(1)
             keys.append(key.view(np.int64))
-        return pd.DataFrame({"n": sizes, "class": classes, "keys": keys})
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(classes, pa.binary()), _lists(keys)], ["n", "class", "keys"])
 
-    return F.pandas_udf(run, "n int, class binary, keys array<bigint>")
+    return F.arrow_udf(run, "n int, class binary, keys array<bigint>")
 
 
 def _sets(shingle: int):
-    def run(texts: pd.Series) -> pd.Series:
+    def run(texts: pa.Array) -> pa.Array:
         known: dict[bytes, int] = {}
-        return pd.Series([shingle_set(t, shingle, known).view(np.int64) for t in texts], dtype=object)
+        return _lists([shingle_set(t.as_py(), shingle, known).view(np.int64) for t in texts])
 
-    return F.pandas_udf(run, "array<bigint>")
+    return F.arrow_udf(run, "array<bigint>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
