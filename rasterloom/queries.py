@@ -191,6 +191,28 @@ _GRID = GridSpec.from_bounds(0, 0, 64, 60, 1.0)
 _BOX_SQL = "b(feature, x1, y1, x2, y2) AS (VALUES " + ", ".join(f"({k}, {x1}, {y1}, {x2}, {y2})" for k, (x1, y1, x2, y2) in enumerate(_BOXES, 1)) + "), c AS (SELECT (k // 64)::INT AS row, (k % 64)::INT AS col FROM range(0, 3840) t(k)), u AS (SELECT row, col, max(feature) AS feature FROM c JOIN b ON col + 0.5 > x1 AND col + 0.5 <= x2 AND 60 - row - 0.5 >= y1 AND 60 - row - 0.5 < y2 GROUP BY row, col)"
 add("rasterize", lambda s, d: V.rasterize(s, _WKT, None, _GRID).df.select("row", "col", "value"), f"WITH {_BOX_SQL} SELECT row, col, feature::DOUBLE AS value FROM c LEFT JOIN u USING (row, col)")
 add("zonal_stats_polygons", lambda s, d: _r6(V.zonal_stats_polygons(s, _WKT, emb_n(s, d), ["count", "sum", "max"], _GRID), "sum").drop("zone"), f"WITH g AS ({EMB_N}), {_BOX_SQL} SELECT (feature - 1)::BIGINT AS feature_index, count(value)::DOUBLE AS count, round(sum(value), 6) AS sum, max(value) AS max FROM u JOIN g USING (row, col) WHERE value IS NOT NULL GROUP BY feature")
+
+
+# the same over all rows of the table: grid and boxes follow its height; no SQL, held against NumPy in tests/test_whole_table.py
+def whole_target(r: Raster) -> GridSpec:
+    return GridSpec((0.75, 0.0, 0.0, 0.0, -1.5, 0.0), int(np.ceil(r.meta.width / 0.75)), int(np.ceil(r.meta.height / 1.5)))
+
+
+def whole_boxes(r: Raster) -> list[tuple[float, float, float, float]]:
+    """5 x 8 boxes that together cover the grid; neighbours overlap along columns."""
+    w, h = r.meta.width / 5, r.meta.height / 8
+    return [(w * i, h * j, w * (i + 1) + 1.5, h * (j + 1)) for i in range(5) for j in range(8)]
+
+
+def whole_zonal(r: Raster) -> DataFrame:
+    wkt = [f"POLYGON (({x1} {y1}, {x2} {y1}, {x2} {y2}, {x1} {y2}, {x1} {y1}))" for x1, y1, x2, y2 in whole_boxes(r)]
+    spec = GridSpec.from_bounds(0, 0, r.meta.width, r.meta.height, 1.0)
+    return _r6(V.zonal_stats_polygons(r.df.sparkSession, wkt, r, ["count", "sum", "max"], spec), "sum").drop("zone")
+
+
+for _m in ("nearest", "bilinear", "bicubic"):
+    add(f"resample_{_m}_whole", lambda s, d, m=_m: (lambda r: cells(raster_resample(r, whole_target(r), m)))(emb_n(s, d)))
+add("zonal_stats_polygons_whole", lambda s, d: whole_zonal(emb_n(s, d)))
 _REGION = f"SELECT row, col, floor(value / 25) AS value FROM ({_EV})"
 regions = lambda s, d: ev(s, d).with_value(F.floor(F.col("value") / 25))
 add("polygonize", lambda s, d: V.polygonize(regions(s, d)))
