@@ -1,22 +1,31 @@
 """Main text of web pages by the maximum-scoring subsequence of their tokens.
 
-A page is read once as words and tags. A word scores positively, by where it stands (paragraph, heading, link, bare
-container), but negatively in menus, adverts, forms and the like; a tag scores negatively. One linear scan finds the
-contiguous region of the greatest sum. Inside it, boilerplate elements are left out; blocks are joined by a space.
+A page is read once as words and tags. A word scores its probability of being main text less a constant, given where it
+stands: the names of the open elements, the words of their classes, ids and roles, and the nearest block. A tag scores
+the log of the share of such tags that stand in main texts, times a constant, so tags are always negative. One linear
+scan finds the contiguous region of the greatest sum: the main text. (Both constants are those that extract the prior
+pages best.) Inside the region a block element whose words have a negative sum is left out (an advert in the middle).
+Class names are features whose weights are learnt; no element goes for its class alone. The class of a wrapper (an
+element that holds the page's first heading and over half of its paragraph words) says nothing about its parts and is
+no feature.
 
-Weights are log-odds from labelled pages: those that mark their article up (one ``article`` or ``main`` element) label
-their own tokens as inside or outside. At most ``sample_pages`` of them (by page_id's hash) are counted, on top of
-fixed prior counts, so pages without any such markup are still read. Everything else covers every page whole.
+Weights are fitted to labelled pages by logistic regression: those of the table that mark their article up (one
+``article`` or ``main`` element, which is hidden from their own features, so what is learnt is how articles look without
+the mark), and prior pages that ``prior_pages`` builds by rule. At most ``sample_pages`` marked pages (by page_id's
+hash) are read, and their ``vocabulary`` most frequent features kept; both bound what the classifier is fitted to and
+nothing else. Everything else covers every page whole.
 
-Defined results: null and empty html give an empty text; unclosed and stray tags are tolerated (an end tag closes what
-was opened inside its element, ``article`` and ``main`` end open boilerplate); repeated rows give repeated results; an
-empty table gives an empty result; other columns are ignored.
+Defined results: null and empty html give an empty text, as does a page without any word that scores above zero;
+unclosed elements end with what holds them, stray end tags are ignored, a tag that never ends is dropped as browsers
+do; a ``header`` inside the article belongs to it, so its headline stays; repeated rows give repeated results; an empty
+table gives an empty result; other columns are ignored. Reading is linear in the page's length.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,185 +33,376 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# HTML element names and the names that sites give to boilerplate.
-RAW = "script style noscript template svg math iframe object canvas textarea select"
-BOILERPLATE = "head nav header footer aside form button dialog menu fieldset label".split()
+from .linear import logistic, sigmoid
+
+# HTML element names by what they are.
+RAW = "script style textarea title iframe xmp noembed noframes"
+UNSEEN = frozenset("head template noscript svg math canvas object audio video select datalist".split())
+HEAD_PARTS = frozenset("title meta link base script style noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-HINTS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation sidebar side aside footer foot header masthead topbar comment comments "
-    "discussion reply replies respond cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations "
-    "breadcrumb breadcrumbs pagination pager widget toolbar skip copyright legal disclaimer hidden".split()
-)
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
+PARAGRAPH = frozenset("p li td th dd dt blockquote pre figcaption caption summary".split())
+ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+BOILERPLATE = "nav header footer aside form button dialog menu fieldset label".split()
+# Names that sites give to parts of pages, for the prior pages.
+CONTENT_NAMES = "content article post entry story main body text prose document page single".split()
+OTHER_NAMES = (
+    "ad adv advert advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation sidebar side aside footer foot header masthead topbar comment "
+    "discussion reply respond cookie consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendation "
+    "popular trending breadcrumb pagination pager widget toolbar skip copyright legal disclaimer hidden complementary contentinfo search dialog"
+).split()
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW.split())})\b[^>]*>(?:.*?</(?P=raw)\s*>|(?=.))|<[!?][^>]*>"
-    r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^'">])*+)>|(?P<text>[^<]+|<)""",
+    rf"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?P<raw>{'|'.join(RAW.split())})(?=[\s/>])[^>]*+(?:>.*?(?:</(?P=raw)(?=[\s/>])[^>]*+>|\Z)|\Z)|<[!?][^>]*+(?:>|\Z)|</(?![a-zA-Z])[^>]*+(?:>|\Z)"
+    r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>])*+)(?P<close>>|\Z)|(?P<text>[^<]++|<)""",
     re.S | re.I,
 )
-ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)(?![\w-])(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 
-PLACES = ("boilerplate", "link", "heading", "paragraph", "bare")
-_PARAGRAPH = frozenset("p li td th dd dt blockquote pre figcaption caption summary".split())
-
 
-def is_boilerplate(name: str, attrs: str) -> bool:
-    if name in BOILERPLATE:
-        return True
-    if not attrs or name in ("html", "body", "article", "main"):
-        return False
+def named(attrs: str) -> tuple[str, ...]:
+    """Features of a start tag's class, id and role words (without a plural's s), or ".hidden"."""
+    found = []
     for m in ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value.lower() in ROLES:
-            return True
-        if key in ("class", "id") and HINTS.intersection(x for x in SPLIT.split(value) for x in (x.lower(),)):
-            return True
-    return False
+        if key == "hidden" or key == "aria-hidden":
+            found += [".hidden"] if key == "hidden" or value.lower() == "true" else []
+        else:
+            found += ["." + (w[:-1] if len(w) > 2 and w[-1] == "s" else w).lower() for w in SPLIT.split(value) if w and not w.isdigit()]
+    return tuple(found)
+
 
+def tokens(page: str) -> list[list]:
+    """[value, end, features] of each token: the decoded text and 0; or a start tag's name, where its element ends and
+    its features; or "/name" and 0 of an end tag. Text that isn't shown has no token."""
+    out: list[list] = []
+    open_: list[tuple[str, list]] = []
+    at: dict[str, list[int]] = {}  # places in open_ by name
+    blocks: list[int] = []
+    unseen = 0
 
-def tokens(page: str) -> list[tuple[str, str, str]]:
-    """(kind, value, place): kind "tag" (value the name, "/name" at the end) or "text" (decoded), place of PLACES.
+    def close(k: int) -> None:
+        nonlocal unseen
+        while len(open_) > k:
+            name, token = open_.pop()
+            token[1] = len(out)
+            at[name].pop()
+            unseen -= name in UNSEEN
+            if blocks and blocks[-1] == len(open_):
+                blocks.pop()
+
+    def top() -> str:
+        return open_[blocks[-1]][0] if blocks else ""
 
-    The place of a tag is "boilerplate" or "" ; texts keep their white space.
-    """
-    out: list[tuple[str, str, str]] = []
-    open_: list[tuple[str, bool]] = []
-    bad = 0
     for m in TOKEN.finditer(page):
         name = m["name"]
         if name is not None:
+            if not m["close"]:
+                break
             name = name.lower()
             if m["end"]:
-                k = len(open_) - 1
-                while k >= 0 and open_[k][0] != name:
-                    k -= 1
-                was = bad
-                if k >= 0:
-                    bad -= sum(b for _, b in open_[k:])
-                    del open_[k:]
-                out.append(("tag", "/" + name, "boilerplate" if was else ""))
+                k = at[name][-1] if at.get(name) else -1
+                if k >= 0 and not (name in INLINE and blocks and blocks[-1] > k):
+                    close(k)
+                    out.append(["/" + name, 0, ()])
                 continue
-            if name in ("article", "main", "body") and bad:
-                open_ = [(n, False) for n, _ in open_]
-                bad = 0
-            if name == "p" and open_ and open_[-1][0] == "p":
-                open_.pop()
-            worse = is_boilerplate(name, m["attrs"])
-            out.append(("tag", name, "boilerplate" if bad or worse else ""))
-            if name not in VOID and not m["attrs"].endswith("/"):
-                open_.append((name, worse))
-                bad += worse
-        elif m["text"] is not None:
-            place = "bare"
-            if bad:
-                place = "boilerplate"
-            else:
-                for n, _ in reversed(open_[-4:]):
-                    if n == "a":
-                        place = "link"
-                    elif n in _PARAGRAPH:
-                        place = "paragraph"
-                    elif len(n) == 2 and n[0] == "h" and n[1].isdigit():
-                        place = "heading"
-                    else:
-                        continue
+            if at.get("head") and name not in HEAD_PARTS:
+                close(at["head"][-1])
+            if name in ENDS_P and top() == "p":
+                close(blocks[-1])
+            while name in ITEMS and (top() == "p" or top() in ITEMS[name]):
+                last = top()
+                close(blocks[-1])
+                if last == ITEMS[name][-1] and last != "dd":
                     break
-            text = html_lib.unescape(m["text"]) if "&" in m["text"] else m["text"]
-            out.append(("text", text, place))
-        else:  # a comment, declaration or raw element parts no words
-            continue
+            token = [name, len(out) + 1, (name, *named(m["attrs"]))]
+            out.append(token)
+            if name not in VOID and not (m["attrs"].endswith("/") and name in UNSEEN):
+                at.setdefault(name, []).append(len(open_))
+                if name not in INLINE:
+                    blocks.append(len(open_))
+                open_.append((name, token))
+                unseen += name in UNSEEN
+        elif m["text"] is not None and not unseen:
+            out.append([html_lib.unescape(m["text"]) if "&" in m["text"] else m["text"], 0, None])
+    close(0)
     return out
 
 
-#: Prior counts inside and outside of the main text: (words by place), (tags by name; others 1, 1).
-PRIOR_WORDS = {"boilerplate": (0, 400), "link": (30, 50), "heading": (60, 20), "paragraph": (900, 60), "bare": (120, 80)}
-PRIOR_TAGS = {"p": (60, 6), "article": (1, 20), "main": (1, 20), "nav": (0, 20), "footer": (0, 20), "header": (0, 20), "aside": (0, 20), "form": (0, 20), "body": (0, 5), "html": (0, 5), "head": (0, 5)}
+def places(seq: list[list], hide: int = -1) -> tuple[list[int], list[tuple[str, ...]]]:
+    """(number of the place of each text, -1 for tags; features of each place). ``hide``: a start tag without features."""
+    size = [0 if f is not None else len(v.split()) for v, _, f in seq]
+    stack: list[tuple[int, int]] = []
+    block, in_block = [], ["html"]
+    for i, (v, end, f) in enumerate(seq):  # the nearest block of each token
+        while stack and stack[-1][0] <= i:
+            stack.pop()
+            in_block.pop()
+        if f and v not in INLINE and v not in VOID:
+            stack.append((end, i))
+            in_block.append(v)
+        block.append(in_block[-1])
+    sums = np.concatenate([[0], np.cumsum([n if b in PARAGRAPH else 0 for n, b in zip(size, block)])]).tolist()
+    heading = next((i for h in ("h1", "h2", "p") for i, t in enumerate(seq) if t[2] and t[0] == h), -1)
+    active: Counter = Counter()
+    held: list[tuple[int, tuple[str, ...]]] = []
+    number: dict[tuple[str, ...], int] = {}
+    where, now = [], ()
+    changed = True
+    for i, (v, end, f) in enumerate(seq):
+        while held and held[-1][0] <= i:
+            for x in held.pop()[1]:
+                active[x] -= 1
+                if not active[x]:
+                    del active[x]
+            changed = True
+        if f and i != hide and v not in VOID:
+            wrapper = i <= heading < end and 2 * (sums[min(end, len(seq))] - sums[i]) > sums[-1]
+            own = () if v in ("html", "body") else f[:1] if wrapper else f
+            if v in BOILERPLATE and ("article" in active or "main" in active):
+                own = ("in>" + v, *own[1:])
+            elif v == "article" and not wrapper:
+                own = ("part>" + v, *own[1:])
+            active.update(own)
+            held.append((end, own))
+            changed = True
+        if f is None and size[i]:
+            if changed:
+                now, changed = (">" + block[i], *sorted(active)), False
+            where.append(number.setdefault(now, len(number)))
+        else:
+            where.append(-1)
+    return where, list(number)
+
+
+WORDS = "one of the many words that a text of this kind would have in it at this place"
+
+
+def prior_pages() -> list[str]:
+    """Labelled pages by rule: content under each usual name, other parts under each of theirs, beside and inside it.
 
+    An attribute ``data-main`` or ``data-rest`` labels what an element holds, up to the next of them inside."""
+    links = "".join(f"<li><a href=x>{w}</a></li>" for w in WORDS.split()[:6])
+    text = f"<h1>{WORDS[:30]}</h1><p>{WORDS} <a href=x>one link</a> {WORDS}</p><h2>{WORDS[:20]}</h2><p>{WORDS}<br>{WORDS}</p><ul><li>{WORDS}</li></ul>"
+    more = f"<blockquote><p>{WORDS}</p></blockquote><table><tr><td>{WORDS}</td></tr></table><pre>{WORDS}</pre><figure><figcaption>{WORDS}</figcaption></figure><dl><dt>one</dt><dd>{WORDS}</dd></dl>"
+    pages = []
+    for k, name in enumerate(OTHER_NAMES + BOILERPLATE):
+        content = CONTENT_NAMES[k % len(CONTENT_NAMES)]
+        kind = "div section aside div ul".split()[k % 5]
+        tag = f'{kind} class="{name}"' if k < len(OTHER_NAMES) else name
+        kind = tag.split()[0]
+        inner = links if kind == "ul" else WORDS[:20] if k % 4 == 3 else f"{WORDS[:40]}<p>{WORDS}</p>"
+        other = f"<{tag} data-rest>{inner}<a href=x>{WORDS[:10]}</a></{kind}>"
+        if name in ("comment", "reply", "discussion", "respond", "related", "recommended", "popular", "trending"):
+            other += f'<section class="{name}s" data-rest><h2>{WORDS[:10]}</h2><article class="{name if k % 2 else "card"}"><p>{WORDS} {WORDS}</p></article></section>'
+        holder = ("article", f'div class="{content}"', "main", f'section id="{content}"', f'article class="{content}"', "div")[k % 6]
+        holder_end = holder.split()[0]
+        head = f"<header><h1>{WORDS[:30]}</h1><p>{WORDS}</p></header>" if holder_end in ("article", "main") else ""
+        tail = more if k % 4 < 3 else f"<p>{WORDS[:18]}</p>"
+        inside = f"{head}{text}{other if k % 2 else ''}{tail}"
+        if k % 3 == 1:  # paragraphs without p
+            inside = f"{head}{re.sub('(</?)p>', r'\1div>', text)}{other if k % 2 else ''}{tail}"
+        if k % 5 == 4:
+            inside = f"<div>{inside}</div>"
+        body = f"<{holder} data-main>{inside}</{holder_end}>"
+        pages.append(
+            f"<html><body><header><h2><a href=x>{WORDS[:8]}</a></h2>{WORDS[:20]}</header><nav><ul>{links}</ul></nav>{'' if k % 2 else other}{body}"
+            f"<div>{WORDS[:20]}<a href=x>one</a></div><footer>{WORDS[:30]}<p>{WORDS}</p><ul>{links}</ul></footer></body></html>"
+        )
+    for name in CONTENT_NAMES:  # lists of articles
+        some = "".join(f"<article><h2>{WORDS[:20]}</h2><p>{WORDS} {WORDS}</p></article>" for _ in range(4))
+        pages.append(f'<html><body><nav><ul>{links}</ul></nav><div class="{name}" data-main>{some}</div><footer>{WORDS}</footer></body></html>')
+    return pages
 
-def _label(page: str) -> tuple[dict, dict] | None:
-    """Counts [inside, outside] of words by place and tags by name, of a page that marks its article up."""
-    seq = tokens(page)
+
+def _marked(seq: list[list]) -> tuple[int, list[int]] | None:
+    """(the start tag that marks the article, label of each token: 1, 0, or -1 for parts of it that may not be main text)."""
     for mark in ("article", "main"):
-        begin = [i for i, t in enumerate(seq) if t[0] == "tag" and t[1] == mark]
-        end = [i for i, t in enumerate(seq) if t[0] == "tag" and t[1] == "/" + mark]
-        if len(begin) == 1 and len(end) == 1 and begin < end:
+        begin = [i for i, t in enumerate(seq) if t[2] and t[0] == mark]
+        if len(begin) == 1:
             break
     else:
         return None
-    word: dict[str, list[int]] = {}
-    tag: dict[str, list[int]] = {}
-    for i, (kind, value, place) in enumerate(seq):
-        inside = begin[0] < i < end[0]
-        if kind == "tag":
-            if place != "boilerplate":
-                tag.setdefault(value.lstrip("/"), [0, 0])[0 if inside else 1] += 1
-        else:
-            word.setdefault(place, [0, 0])[0 if inside and place != "boilerplate" else 1] += len(value.split())
-    return word, tag
+    label = [0] * len(seq)
+    a, b = begin[0], min(seq[begin[0]][1], len(seq))
+    label[a:b] = [1] * (b - a)
+    for i in range(a + 1, b):
+        if seq[i][2] and seq[i][0] in BOILERPLATE:
+            end = min(seq[i][1], b)
+            label[i:end] = [-1] * (end - i)
+    return a, label
+
+
+def _prior_labels(page: str) -> tuple[list[list], list[int]]:
+    """Tokens of a prior page without its label attributes, and their labels."""
+    seq = tokens(re.sub(r"data-(main|rest)", r'id="data-\1"', page))
+    label, stack = [], []
+    for i, t in enumerate(seq):
+        while stack and stack[-1][0] <= i:
+            stack.pop()
+        if t[2]:
+            got = 1 if ".main" in t[2] and ".data" in t[2] else 0 if ".rest" in t[2] else None
+            if got is not None:
+                stack.append((t[1], got))
+                t[2] = tuple(x for x in t[2] if x != ".data" and x != (".main" if got else ".rest"))
+        label.append(stack[-1][1] if stack else 0)
+    return seq, label
+
+
+def examples(seq: list[list], label: list[int], hide: int = -1) -> list[tuple[str, str, float, float]]:
+    """(kind, features of a place or name of a tag, weight inside, weight outside). A page's words inside and outside
+    have a weight of one each, as have its tags."""
+    where, kinds = places(seq, hide)
+    word, tag = np.zeros((len(kinds), 2)), {}
+    for i, (w, y) in enumerate(zip(where, label)):
+        if y < 0:
+            continue
+        if w >= 0:
+            word[w, 1 - y] += len(seq[i][0].split())
+        elif seq[i][2] is not None and i != hide:
+            tag.setdefault(seq[i][0].lstrip("/"), [0.0, 0.0])[1 - y] += 1
+    word /= np.maximum(word.sum(axis=0), 1)
+    total = np.maximum(np.sum([v for v in tag.values()], axis=0) if tag else np.zeros(2), 1)
+    rows = [("word", " ".join(k), *map(float, v)) for k, v in zip(kinds, word) if v.any()]
+    return rows + [("tag", k, float(v[0] / total[0]), float(v[1] / total[1])) for k, v in sorted(tag.items())]
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for page in batch["html"]:
-            got = _label(page)
+            seq = tokens(page)
+            got = _marked(seq)
             if got:
-                rows += [(k, n, *v) for k, held in zip(("word", "tag"), got) for n, v in held.items()]
+                rows += examples(seq, got[1], got[0])
         yield pd.DataFrame(rows, columns=["kind", "name", "inside", "outside"])
 
 
-def learn(pages: DataFrame, sample_pages: int = 500) -> dict[str, dict[str, float]]:
-    """Weights of words by place and of tags by name."""
+def learn(pages: DataFrame, sample_pages: int = 500, vocabulary: int = 2000) -> dict:
+    """The model of ``fit`` from the pages that mark their article up and the prior pages."""
     some = pages.where(F.col("html").rlike("(?i)<(article|main)[\\s>]")).select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages)
     labelled = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html")).join(F.broadcast(some.distinct()), "page_id", "left_semi")
-    counts = labelled.select("html").mapInPandas(_counted, "kind string, name string, inside long, outside long")
-    rows = counts.groupBy("kind", "name").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).orderBy(F.desc(F.col("i") + F.col("o")), "name").limit(1000).collect()
-    word = {k: list(v) for k, v in PRIOR_WORDS.items()}
-    tag = {k: list(v) for k, v in PRIOR_TAGS.items()}
-    for r in rows:
-        held = (word if r.kind == "word" else tag).setdefault(r.name, [1, 1])
-        held[0] += r.i
-        held[1] += r.o
-    return weights(word, tag)
-
-
-def weights(word: dict, tag: dict) -> dict[str, dict[str, float]]:
-    odds = lambda i, o: float(np.log((i + 1) / (o + 1)))
-    # boilerplate is left out anyway: its words only make it costly to reach across it, however many there are
-    w = {k: min(3.0, max(0.2, odds(*v))) if k != "boilerplate" else max(-0.1, min(-0.01, odds(*v) / 100)) for k, v in word.items()}
-    frame = ("article", "main", "body", "html")
-    return {"word": w, "tag": {k: -0.2 - min(6.0 if k in frame else 2.0, max(0.0, -odds(*v))) for k, v in tag.items()}}
-
-
-def extract(page: str | None, w: dict[str, dict[str, float]]) -> str:
+    counts = labelled.select("html").mapInPandas(_counted, "kind string, name string, inside double, outside double")
+    rows = counts.groupBy("kind", "name").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).collect()
+    return fit(sorted((r.kind, r.name, round(r.inside, 6), round(r.outside, 6)) for r in rows), vocabulary)
+
+
+def fit(rows: list[tuple[str, str, float, float]], vocabulary: int = 2000) -> dict:
+    """Weights of features and tags, and the two constants of the scan."""
+    held: dict[tuple[str, str], np.ndarray] = {}
+    prior = prior_pages()
+    for page in prior:
+        seq, label = _prior_labels(page)
+        for kind, name, i, o in examples(seq, label):
+            held.setdefault((kind, name), np.zeros(2))[:] += np.array([i, o]) * 20
+    for kind, name, i, o in rows:
+        held.setdefault((kind, name), np.zeros(2))[:] += (i, o)
+    word = {tuple(k[1].split()): v for k, v in held.items() if k[0] == "word"}
+    often: Counter = Counter()
+    for k, v in word.items():
+        for f in k:
+            often[f] += float(v.sum())
+    index = {f: j for j, (f, _) in enumerate(sorted(often.items(), key=lambda x: (-x[1], x[0]))[:vocabulary])}
+    x = np.zeros((2 * len(word), len(index)))
+    y, weight = np.zeros(2 * len(word)), np.zeros(2 * len(word))
+    for r, (k, v) in enumerate(sorted(word.items())):
+        some = [index[f] for f in k if f in index]
+        x[2 * r, some] = x[2 * r + 1, some] = 1
+        y[2 * r], weight[2 * r], weight[2 * r + 1] = 1, v[0], v[1]
+    w = logistic(x, y, l2=0.002, weight=weight)
+    tag = {k[1]: float(np.log((v[0] + 0.01) / (v.sum() + 0.02))) for k, v in held.items() if k[0] == "tag"}
+    model = {"word": {f: float(w[j]) for f, j in index.items()}, "base": float(w[-1]), "tag": tag, "other": float(np.log(0.5))}
+    tried = [model | {"less": less, "scale": scale} for less in (0.5, 0.4, 0.3, 0.2, 0.1) for scale in (0.5, 0.2, 0.1, 0.05)]
+    got = [float(np.mean([_agreement(page, m) for page in prior])) for m in tried]
+    return next(m for m, f1 in zip(tried, got) if f1 >= max(got) - 0.003)  # the strictest of about the best
+
+
+def _agreement(page: str, model: dict) -> float:
+    """F1 of a prior page's words."""
+    seq, label = _prior_labels(page)
+    size = np.array([len(t[0].split()) if t[2] is None else 0 for t in seq])
+    kept = np.zeros(len(seq), dtype=bool)
+    kept[main_text(seq, model)] = True
+    return 2 * size[kept & (np.array(label) == 1)].sum() / (size[kept].sum() + size[np.array(label) == 1].sum())
+
+
+def maximal(scores: list[float]) -> list[tuple[int, int]]:
+    """All maximal scoring stretches (begin, end) in order, in linear time (the best of them is the best stretch of all)."""
+    left: list[float] = []  # sum before each stretch
+    right: list[float] = []  # sum at its end
+    span: list[tuple[int, int]] = []
+    back: list[int] = []  # the last stretch before it of a lesser sum before
+    total = 0.0
+    for i, s in enumerate(scores):
+        low, total = total, total + s
+        if s <= 0:
+            continue
+        begin = i
+        while True:
+            j = len(span) - 1
+            while j >= 0 and left[j] >= low:
+                j = back[j]
+            if j < 0 or right[j] >= total:
+                break
+            begin, low = span[j][0], left[j]
+            del left[j:], right[j:], span[j:], back[j:]
+        left.append(low)
+        right.append(total)
+        span.append((begin, i + 1))
+        back.append(j)
+    return span
+
+
+def scored(seq: list[list], model: dict) -> tuple[list[float], list[float]]:
+    """(score, score of its words alone) of each token."""
+    where, kinds = places(seq)
+    weight, tag = model["word"], model["tag"]
+    odds = np.array([model["base"] + sum(weight.get(f, 0.0) for f in k) for k in kinds])
+    word = (sigmoid(odds) - model["less"]).tolist()
+    words = [word[w] * len(t[0].split()) if w >= 0 else 0.0 for t, w in zip(seq, where)]
+    return [s if t[2] is None else model["scale"] * tag.get(t[0].lstrip("/"), model["other"]) for t, s in zip(seq, words)], words
+
+
+def region(scores: list[float]) -> tuple[int, int]:
+    """The stretch of the greatest sum, the first of equals; empty if no score is positive."""
+    sums = np.concatenate([[0.0], np.cumsum(scores)])
+    return max(maximal(scores), key=lambda s: sums[s[1]] - sums[s[0]], default=(0, 0))
+
+
+def main_text(seq: list[list], model: dict) -> list[int]:
+    """Tokens of the main text."""
+    scores, words = scored(seq, model)
+    i, end = region(scores)
+    sums = np.concatenate([[0.0], np.cumsum(words)])
+    kept = []
+    while i < end:
+        value, stop, f = seq[i]
+        if f and value not in INLINE and stop <= end and sums[stop] < sums[i]:
+            kept.append(i)  # the tag alone: it parts what stands around it
+            i = stop
+            continue
+        kept.append(i)
+        i += 1
+    return kept
+
+
+def extract(page: str | None, model: dict) -> str:
     """Main text of one page."""
     if not page:
         return ""
-    seq = tokens(page)
-    word, tag = w["word"], w["tag"]
-    best, here, begin, region = 0.0, 0.0, 0, (0, 0)
-    for i, (kind, value, place) in enumerate(seq):
-        if kind == "text":
-            here += word[place] * len(value.split())
-        else:
-            here += tag.get(value.lstrip("/"), -0.5) if place != "boilerplate" else -0.2
-        if here <= 0:
-            here, begin = 0.0, i + 1
-        elif here > best:
-            best, region = here, (begin, i + 1)
-    parts = []
-    for kind, value, place in seq[region[0] : region[1]]:
-        if kind == "tag":
-            if value.lstrip("/") not in INLINE:
-                parts.append(" ")
-        elif place != "boilerplate":
+    seq, parts = tokens(page), []
+    for i in main_text(seq, model):
+        value, _, f = seq[i]
+        if f is None:
             parts.append(value)
+        elif value.lstrip("/") not in INLINE:
+            parts.append(" ")
     return " ".join("".join(parts).split())
 
 
-def extract_pages(pages: DataFrame, model: dict[str, dict[str, float]] | None = None, sample_pages: int = 500) -> DataFrame:
+def extract_pages(pages: DataFrame, model: dict | None = None, sample_pages: int = 500) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     w = model or learn(pages, sample_pages)
 

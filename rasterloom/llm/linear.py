@@ -31,17 +31,18 @@ def style(text: str) -> list[float]:
     ]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, offset: bool = True, rounds: int = 30) -> np.ndarray:
-    """Weights (the last is the constant, if any) of an L2-regularised logistic regression, by Newton steps."""
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, offset: bool = True, rounds: int = 30, weight: np.ndarray | None = None) -> np.ndarray:
+    """Weights (the last is the constant, if any) of an L2-regularised logistic regression, by Newton steps. ``weight``: of the rows."""
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1) if offset else x
+    weight = np.ones(len(x)) if weight is None else weight
     penalty = np.full(x.shape[1], l2)
     if offset:
         penalty[-1] = 1e-6
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + penalty * w
-        curve = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x
+        gradient = x.T @ (weight * (p - y)) + penalty * w
+        curve = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x
         step = np.linalg.solve(curve + np.diag(penalty), gradient)
         w -= step
         if np.abs(step).max() < 1e-5:

@@ -86,7 +86,7 @@ def test_exact_dedup(spark, rows, digest):
 
 
 def test_html():
-    w = html_extract.weights(html_extract.PRIOR_WORDS, html_extract.PRIOR_TAGS)
+    w = html_extract.fit([])
     page = (
         '<html><body class="home"><header><h1>Site</h1></header><div id="cookie-notice"><p>We use cookies and many words here</p></div><div class="menu"><a href=x>One</a></div>'
         '<div class="content"><h2>Title &eacute;</h2><p>Hello <i>wor</i>ld.<br>Second   line<p>More &lt;text&gt; here<aside>side words</aside><form><input><p>sign up</form><p>Last words stay too.</p>'
