@@ -1,4 +1,4 @@
-"""Connected components of links, by alternating large-star and small-star rounds."""
+"""Connected components of links, by alternating large-star and small-star rounds until nothing changes."""
 
 from __future__ import annotations
 
@@ -13,14 +13,20 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: u, v. Returns node, root (the least node reachable); nodes without links are absent."""
+    """edges: u, v (any orderable type). Returns node, root (the least node reachable); nodes without links are absent.
+
+    A round joins the links to each node's least neighbour; that aggregation combines before its shuffle, and Spark
+    splits joins on a node with many links. Each round is written, so a lost executor repeats one round at most.
+    """
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while (now := _state(edges)) != before and now[0]:
         before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # large star: a node's greater neighbours get the least of its neighbourhood
         large = cut(both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        # small star: a node and its lesser neighbours get the least of them
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         edges = cut(moved.where("u <> v").distinct())

@@ -12,29 +12,45 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary one; on a cluster,
+    where each machine would write its own disk, it is an error."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="rasterloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` from a table in the shared folder; tables go when the driver's Python ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/raster-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def new_path(spark: SparkSession, name: str = "cut") -> str:
+    """A path in the shared folder; what is written there goes when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(_clean)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` from a table in the shared folder: lineage ends, lost executors cost nothing."""
+    path = new_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete what ``new_path`` gave out, before the end."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _made[:] = [(s, p) for s, p in _made if p != path]
 
 
 def _clean() -> None:
-    for spark, path in _made:
+    for spark, path in list(_made):
         try:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session may have ended
+            drop(spark, path)
+        except Exception:  # the session may have ended; the files then stay in the shared folder
             return
