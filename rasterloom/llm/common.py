@@ -1,49 +1,10 @@
-"""What the operators of this subpackage share: cut lineage, bounded samples, byte word splitting."""
+"""What the operators of this subpackage share: bounded samples, byte word splitting."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="rasterloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it again: lineage ends, lost executors cost nothing.
-
-    The tables are removed when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _made:
-        atexit.register(_clean)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session may have ended; the files then stay in the checkpoint folder
-            return
-
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, wanted: list[str], most: int) -> DataFrame:
     """At most ``most`` labelled documents: those whose doc_id hashes lowest. Columns: doc_id, text, ``wanted``.

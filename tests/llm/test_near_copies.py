@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from rasterloom.llm import minhash
+from rasterloom.llm import simhash
 
 ROWS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -54,11 +54,11 @@ def test_similar_groups(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     want = brute_components(texts)
     assert len(set(want)) < 0.6 * len(texts)
-    for bands, rows in ((48, 6), (64, 1)):  # rows of one minimum: buckets of unlike texts, the second round
-        got = {r.doc_id: r for r in minhash.similar_groups(df, bands=bands, rows=rows).collect()}
+    for together, most in ((5, 64), (1, 64), (1, 2)):  # one segment a key: buckets of unlike texts, the second round and finer buckets
+        got = {r.doc_id: r for r in simhash.similar_groups(df, together=together, most=most).collect()}
         assert [got[k].component_id for k in range(len(texts))] == want
         assert {k for k, r in got.items() if r.keep} == set(want)
-    assert minhash.similar_groups(df.limit(0)).count() == 0
+    assert simhash.similar_groups(df.limit(0)).count() == 0
 
 
 def test_near_copies_stage(spark, texts):
@@ -67,3 +67,19 @@ def test_near_copies_stage(spark, texts):
     df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], ROWS)
     got = sorted(r.doc_id for r in P.near_copies(spark, df, "").collect())
     assert got == sorted(set(brute_components(texts)))
+
+
+def test_segments_agree_as_texts_are_similar():
+    """Of pairs with a given Jaccard similarity: the share of equal codeword indices, and of pairs that share a key."""
+    import numpy as np
+
+    draw, code, chosen = np.random.default_rng(3), simhash.Golay(), simhash.subsets(32, 5, 40)
+    for similarity, least in ((0.95, 1.0), (0.9, 1.0), (0.8, 0.98)):
+        found, agree = 0, []
+        for _ in range(200):
+            c = round(480 * similarity / (1 + similarity))
+            base = draw.integers(0, 1 << 63, 480 - c, dtype=np.uint64)
+            a, b = (code.nearest(simhash.weighted_segments(np.unique(x), 32)) for x in (base[:240], np.concatenate([base[:c], base[240:]])))
+            agree.append((a == b).mean())
+            found += any((a == b)[k].all() for k in chosen)
+        assert abs(np.mean(agree) - similarity) < 0.03 and found >= least * 200
