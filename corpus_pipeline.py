@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import bpe, decontaminate, exact_dedup, lang_id, minhash
-from rasterloom.llm.common import cut, shared_dir
+from rasterloom.llm import bpe, decontaminate, exact_dedup, lang_id, simhash
+from rasterloom.plans.lineage import cut, drop, new_path
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -46,7 +44,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a five-word Jaccard similarity of at least 0.8, one row: the one with the smallest doc_id."""
     docs = _numbered(docs)
-    return _only(docs, minhash.similar_groups(_as_ids(docs)).where("keep").select("doc_id.row_id"))
+    return _only(docs, simhash.similar_groups(_as_ids(docs)).where("keep").select("doc_id.row_id"))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,10 +66,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``, each written as Parquet in the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages applied to ``documents``, each written as Parquet in the shared folder and read again; what a stage
+    was given goes when it is through."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
+        path = new_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop(spark, before)
+        before = path
     return docs
