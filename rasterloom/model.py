@@ -135,10 +135,10 @@ class Raster:
 
     def with_value(self, value: Column, **meta) -> Raster:
         """The same grid with another value; inf and NaN become nodata."""
-        return Raster(self.df.select("band", "row", "col", clean(value).alias("value")), replace(self.meta, **meta), self.events)
+        return Raster(self.df.select("band", "row", "col", clean(value).alias("value")), replace(self.meta, **meta), [*self.events])
 
     def derive(self, df: DataFrame, **meta) -> Raster:
-        return Raster(df.select("band", "row", "col", "value"), replace(self.meta, **meta), self.events)
+        return Raster(df.select("band", "row", "col", "value"), replace(self.meta, **meta), [*self.events])
 
     def band(self, n: int) -> Raster:
         if not 1 <= n <= self.meta.band_count:
@@ -172,6 +172,7 @@ class Raster:
         empty = m.nodata if m.nodata is not None else np.nan if kind.kind == "f" else 0
         out = np.full((m.band_count, m.height, m.width), empty, dtype=kind)
         rows = self.df.where(F.col("value").isNotNull()).toPandas()
+        self.events.append(f"materialised {m.band_count} x {m.height} x {m.width} on the driver")
         out[rows["band"] - 1, rows["row"], rows["col"]] = rows["value"].to_numpy().astype(kind)
         return out[0] if m.band_count == 1 else out
 
@@ -184,6 +185,12 @@ class Raster:
         return self
 
 
+def result_dtype(*metas: RasterMeta) -> str:
+    """NumPy's result type; of integers the widest, since values are computed exactly and never wrap."""
+    t = np.result_type(*(np.dtype(m.dtype) for m in metas))
+    return str(t) if t.kind == "f" else "int64"
+
+
 def clean(value: Column) -> Column:
     """NaN and infinities as NULL."""
     v = value.cast("double")

@@ -6,12 +6,13 @@ import warnings
 from collections.abc import Callable
 from dataclasses import replace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expression import Parser
-from ..model import Raster, clean
+from ..model import Raster, clean, result_dtype
 
 
 def pair(a: Raster, b: Raster) -> DataFrame:
@@ -29,7 +30,7 @@ def pair(a: Raster, b: Raster) -> DataFrame:
 def _binary(a: Raster, b: Raster, f: Callable[[Column, Column], Column], dtype: str | None = None) -> Raster:
     nodata = a.meta.nodata if a.meta.nodata is not None else b.meta.nodata
     df = pair(a, b).select("band", "row", "col", clean(f(F.col("x"), F.col("y"))).alias("value"))
-    return Raster(df, replace(a.meta, nodata=nodata, band_count=max(a.meta.band_count, b.meta.band_count), dtype=dtype or a.meta.dtype))
+    return Raster(df, replace(a.meta, nodata=nodata, band_count=max(a.meta.band_count, b.meta.band_count), dtype=dtype or result_dtype(a.meta, b.meta)))
 
 
 def raster_add(a: Raster, b: Raster) -> Raster:
@@ -45,12 +46,14 @@ def raster_multiply(a: Raster, b: Raster) -> Raster:
 
 
 def raster_divide(a: Raster, b: Raster) -> Raster:
-    """True division; by zero gives nodata."""
-    return _binary(a, b, F.try_divide, "float64")
+    """True division; by zero gives nodata. Float32 operands give float32, integers float64."""
+    dtype = result_dtype(a.meta, b.meta)
+    return _binary(a, b, F.try_divide, dtype if np.dtype(dtype).kind == "f" else "float64")
 
 
-def raster_apply(r: Raster, func: Callable, nodata: float | None = None, vectorised: bool = False) -> Raster:
-    """``func`` maps a Column to a Column; with ``vectorised`` it maps a numpy array, in Arrow batches. Nodata stays."""
+def raster_apply(r: Raster, func: Callable, nodata: float | None = None, vectorised: bool = False, dtype: str = "float64") -> Raster:
+    """``func`` maps a Column to a Column; with ``vectorised`` it maps a numpy array, in Arrow batches. Nodata stays. The
+    result is tagged with ``dtype``, since nothing is known of what ``func`` returns."""
     v = F.col("value")
     if vectorised:
         def run(values: pd.Series) -> pd.Series:
@@ -59,7 +62,7 @@ def raster_apply(r: Raster, func: Callable, nodata: float | None = None, vectori
         out = F.pandas_udf(run, "double")(F.coalesce(v, F.lit(0.0)))
     else:
         out = func(v)
-    return r.with_value(F.when(v.isNotNull(), out), nodata=r.meta.nodata if nodata is None else nodata)
+    return r.with_value(F.when(v.isNotNull(), out), nodata=r.meta.nodata if nodata is None else nodata, dtype=dtype)
 
 
 def raster_where(condition: Raster, true_value: Raster | float, false_value: Raster | float) -> Raster:
@@ -128,8 +131,10 @@ def raster_expression(expression: str, **rasters: Raster) -> Raster:
     for c in used.values():
         value = F.when(F.col(c).isNotNull(), value)
     nodata = next((m.nodata for m in metas if m.nodata is not None), None)
-    out = clean(value)
-    return Raster(df.select(F.lit(1).alias("band"), "row", "col", out.alias("value")), replace(base.meta, band_count=1, nodata=nodata, dtype="float64"))
+    # float32 if no operand needs more; the values are computed in double either way
+    t = np.result_type(*(np.dtype(m.dtype) for m in metas))
+    dtype = "float64" if t.itemsize > 4 or t.kind in "iu" and t.itemsize == 4 else "float32"
+    return Raster(df.select(F.lit(1).alias("band"), "row", "col", clean(value).alias("value")), replace(base.meta, band_count=1, nodata=nodata, dtype=dtype))
 
 
 def _bands(r: Raster, *bands: int) -> None:

@@ -22,11 +22,21 @@ def _tiles(df: DataFrame, tile: int) -> DataFrame:
     return df.withColumns({"trow": F.floor(F.col("row") / tile).cast("int"), "tcol": F.floor(F.col("col") / tile).cast("int")})
 
 
-def _find(parent: np.ndarray, i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return int(i)
+def _joined(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Least number that each of n is connected to: roots hook onto lesser ones, then all point to their roots."""
+    parent = np.arange(n)
+    a, b = (np.concatenate(x) for x in zip(*pairs))
+    while len(a):
+        pa, pb = parent[a], parent[b]
+        apart = pa != pb
+        a, b, pa, pb = a[apart], b[apart], pa[apart], pb[apart]
+        np.minimum.at(parent, np.maximum(pa, pb), np.minimum(pa, pb))
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent = up
+    return parent
 
 
 def region_roots(r: Raster, connectivity: int = 4, by_value: bool = False, tile: int = TILE) -> DataFrame:
@@ -43,18 +53,15 @@ def region_roots(r: Raster, connectivity: int = 4, by_value: bool = False, tile:
         r0, c0 = row.min(), col.min()
         at = np.full((row.max() - r0 + 3, col.max() - c0 + 3), -1, dtype=np.int64)
         at[row - r0 + 1, col - c0 + 1] = np.arange(len(row))
-        parent = np.arange(len(row))
+        pairs = []
         for dr, dc in near:
             a, b = at[1:-1, 1:-1], at[1 + dr : at.shape[0] - 1 + dr, 1 + dc : at.shape[1] - 1 + dc]
             ok = (a >= 0) & (b >= 0)
             a, b = a[ok], b[ok]
             if by_value:
                 a, b = a[value[a] == value[b]], b[value[a] == value[b]]
-            for i, j in zip(a.tolist(), b.tolist()):
-                i, j = _find(parent, i), _find(parent, j)
-                if i != j:
-                    parent[max(i, j)] = min(i, j)
-        root = np.array([_find(parent, i) for i in range(len(row))], dtype=np.int64)
+            pairs.append((a, b))
+        root = _joined(len(row), pairs)
         return pd.DataFrame({"band": pdf["band"].iloc[0], "row": row, "col": col, "value": value, "local": row[root].astype(np.int64) * width + col[root]})
 
     inside = r.df.where("value is not null") if by_value else r.df.where("value is not null and value <> 0")
@@ -161,25 +168,58 @@ def raster_morphology_blackhat(r: Raster, **how) -> Raster:
     return _differs(raster_morphology(r, "close", **how), r)
 
 
+def _line_minima(g2: np.ndarray, sweep: int = 64) -> np.ndarray:
+    """min over c of (x - c)^2 + g2[:, c] for each x of each row (inf: no term). Offsets are swept for all rows at once
+    until none can be less; rows that aren't through after ``sweep`` offsets get the lower envelope of their parabolas."""
+    w = g2.shape[1]
+    out = g2.copy()
+    for k in range(1, w):
+        if k > sweep or k * k >= out.max(initial=0):
+            break
+        np.minimum(out[:, k:], g2[:, :-k] + k * k, out=out[:, k:])
+        np.minimum(out[:, :-k], g2[:, k:] + k * k, out=out[:, :-k])
+    for i in np.flatnonzero((out > sweep * sweep).any(axis=1)):
+        held = np.flatnonzero(np.isfinite(g2[i]))
+        if not len(held):
+            continue
+        top, start = [], []
+        for c in held.tolist():
+            at = -np.inf
+            while top:
+                v = top[-1]
+                at = (g2[i, c] + c * c - g2[i, v] - v * v) / (2 * (c - v))
+                if at > start[-1]:
+                    break
+                top.pop()
+                start.pop()
+            start.append(at if top else -np.inf)
+            top.append(c)
+        x = np.arange(w)
+        nearest = np.array(top)[np.searchsorted(start, x, side="right") - 1]
+        out[i] = (x - nearest) ** 2 + g2[i, nearest]
+    return out
+
+
 def raster_distance_transform(r: Raster) -> Raster:
-    """Exact distance in pixels to the nearest foreground cell; without any, 0. Columns by windows, rows in batches."""
+    """Exact distance in pixels to the nearest foreground cell; without any, 0. Columns by windows, then rows in numpy, as
+    many at a time as make 65,536 cells."""
     fg = F.when(F.col("value").isNotNull() & (F.col("value") != 0), F.col("row"))
     up, down = Window.partitionBy("band", "col").orderBy("row"), Window.partitionBy("band", "col").orderBy(F.col("row").desc())
     gap = F.least(F.col("row") - F.last(fg, True).over(up), F.last(fg, True).over(down) - F.col("row")).cast("double")
-    df = r.df.withColumn("g", gap)
-
-    def line(pdf: pd.DataFrame) -> pd.DataFrame:
-        col, g = pdf["col"].to_numpy(np.float64), pdf["g"].to_numpy(np.float64)
-        held = ~np.isnan(g)
-        out = np.zeros(len(col))
-        if held.any():
-            c2, g2 = col[held], g[held] ** 2
-            for at in range(0, len(col), 512):
-                out[at : at + 512] = ((col[at : at + 512, None] - c2) ** 2 + g2).min(axis=1)
-        return pdf[["band", "row", "col"]].assign(value=np.where(pdf["hole"], np.nan, np.sqrt(out)))
-
-    lines = df.select("band", "row", "col", "g", F.col("value").isNull().alias("hole")).groupBy("band", "row").applyInPandas(line, "band int, row int, col int, value double")
-    return r.derive(lines.withColumn("value", F.nanvl("value", F.lit(None).cast("double"))), dtype="float64", nodata=float("nan") if r.meta.nodata is not None else None)
+    w = r.meta.width
+    some = max(1, 65536 // w)
+
+    def lines(pdf: pd.DataFrame) -> pd.DataFrame:
+        row, col = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+        number, at = np.unique(row, return_inverse=True)
+        g2 = np.full((len(number), w), np.inf)
+        g2[at, col] = np.where(np.isnan(g := pdf["g"].to_numpy(np.float64)), np.inf, g * g)
+        out = _line_minima(g2)[at, col]
+        return pdf[["band", "row", "col"]].assign(value=np.where(pdf["hole"], np.nan, np.sqrt(np.where(np.isinf(out), 0.0, out))))
+
+    part = r.df.withColumn("g", gap).select("band", "row", "col", "g", F.col("value").isNull().alias("hole"), F.floor(F.col("row") / some).alias("part"))
+    done = part.groupBy("band", "part").applyInPandas(lines, "band int, row int, col int, value double")
+    return r.derive(done.withColumn("value", F.nanvl("value", F.lit(None).cast("double"))), dtype="float64", nodata=float("nan") if r.meta.nodata is not None else None)
 
 
 def raster_fill_sinks(dem: Raster, tile: int = TILE) -> Raster:

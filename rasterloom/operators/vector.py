@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import GridSpec, PolygonizeSpec, Raster, RasterMeta, grid, invert_affine, one_band
+from ..plans.lineage import cut
+from .components import components
 from .regions import region_roots
 from .zonal import stat_names, zonal_aggregate
 
@@ -115,74 +117,93 @@ def _area(ring: Ring) -> float:
     return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:])) / 2
 
 
-def trace(cells: set[tuple[int, int]], diagonal: bool) -> list[Ring]:
-    """Rings along cell borders in (col, row) corners, the inside to the right on the screen; the outer one first."""
+#: Corners from which and to which a cell's top, right, bottom and left sides run, the cell to the right on the screen.
+SIDES = (((0, 0), (1, 0)), ((1, 0), (1, 1)), ((1, 1), (0, 1)), ((0, 1), (0, 0)))
+
+
+def trace(edges: list[tuple[int, int, int]], diagonal: bool) -> list[Ring]:
+    """Rings of cell sides (row, col, number in SIDES), in (col, row) corners; the outer one first."""
     step: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for r, c in cells:
-        if (r - 1, c) not in cells:
-            step.setdefault((c, r), []).append((c + 1, r))
-        if (r, c + 1) not in cells:
-            step.setdefault((c + 1, r), []).append((c + 1, r + 1))
-        if (r + 1, c) not in cells:
-            step.setdefault((c + 1, r + 1), []).append((c, r + 1))
-        if (r, c - 1) not in cells:
-            step.setdefault((c, r + 1), []).append((c, r))
+    for r, c, k in edges:
+        (x1, y1), (x2, y2) = SIDES[k]
+        step.setdefault((c + x1, r + y1), []).append((c + x2, r + y2))
     rings = []
-    while step:
-        start = min(step)
-        ring, at, way = [start], start, (0, 0)
-        while True:
-            ways = step[at]
-            if len(ways) > 1:  # two cells meet in this corner: turn away, or through it if diagonal cells join
-                turn = lambda to: way[0] * (to[1] - at[1]) - way[1] * (to[0] - at[0])
-                ways.sort(key=turn, reverse=not diagonal)
-            to = ways.pop(0)
-            if not ways:
-                del step[at]
-            new = (to[0] - at[0], to[1] - at[1])
-            if new == way:
-                ring[-1] = to
-            else:
-                ring.append(to)
-            at, way = to, new
-            if at == start:
-                break
-        rings.append(ring)
+    for start in sorted(step):
+        while step.get(start):
+            ring, at, way = [start], start, (0, 0)
+            while True:
+                ways = step[at]
+                if len(ways) > 1:  # two cells meet in this corner: turn away, or through it if diagonal cells join
+                    turn = lambda to: way[0] * (to[1] - at[1]) - way[1] * (to[0] - at[0])
+                    ways.sort(key=turn, reverse=not diagonal)
+                to = ways.pop(0)
+                new = (to[0] - at[0], to[1] - at[1])
+                if new == way:
+                    ring[-1] = to
+                else:
+                    ring.append(to)
+                at, way = to, new
+                if at == start:
+                    break
+            rings.append(ring)
     rings.sort(key=lambda g: -abs(_area(g)))
     return rings
 
 
+def border_sides(cells: DataFrame) -> DataFrame:
+    """band, root, value, row, col, side of each side that parts a cell of ``region_roots`` from another region."""
+    line = {1: ("row", "col", 1), 3: ("row", "col", -1), 2: ("col", "row", 1), 0: ("col", "row", -1)}
+    other = {}
+    for side, (same, along, way) in line.items():
+        w = Window.partitionBy("band", same).orderBy(along)
+        near = F.lead if way > 0 else F.lag
+        touches = (near(along).over(w) == F.col(along) + way) & (near("root").over(w) == F.col("root"))
+        other[f"s{side}"] = ~F.coalesce(touches, F.lit(False))
+    # two sorts: by row, then by column
+    marked = cells.withColumns({k: other[k] for k in ("s1", "s3")}).withColumns({k: other[k] for k in ("s0", "s2")})
+    sides = F.filter(F.array(*(F.when(F.col(f"s{k}"), F.lit(k)) for k in range(4))), lambda x: x.isNotNull())
+    return marked.select("band", "root", "value", "row", "col", F.explode(sides).alias("side"))
+
+
 def wkt(rings: list[Ring]) -> str:
     return "POLYGON (" + ", ".join("(" + ", ".join(f"{x!r} {y!r}" for x, y in ring) + ")" for ring in rings) + ")"
 
 
 def polygonize(r: Raster, spec: PolygonizeSpec | None = None, band: int | None = None) -> DataFrame:
-    """One polygon per region of equal values: region, value, n_cells, area, n_rings, wkt.
+    """One polygon per region of equal values: region, value, n_cells, area, n_rings, wkt. The first ``max_polygons`` by
+    region are kept, with a warning if there are more.
 
-    Regions are labelled in tiles and joined; a region's rings are then chained in one task, which holds its cells.
+    Regions are labelled in tiles and joined. A region's rings are chained in one task from its border's sides alone, so
+    the group grows with the polygon that it makes, not with the region's area.
     """
     spec = spec or PolygonizeSpec()
     r = r.band(band) if band is not None else one_band(r, "polygonize")
     a, b, c, d, e, f = r.meta.affine
-    cells = region_roots(r, spec.connectivity, by_value=True)
-    inner = cells.select("band", "row", "col", "root", F.col("value").cast("float").cast("double").alias("value"))
+    cells = cut(region_roots(r, spec.connectivity, by_value=True))
+    sides = border_sides(cells).withColumn("value", F.col("value").cast("float").cast("double"))
 
     def rings(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = trace(set(zip(pdf["row"].tolist(), pdf["col"].tolist())), spec.connectivity == 8)
+        found = trace(list(zip(pdf["row"].tolist(), pdf["col"].tolist(), pdf["side"].tolist())), spec.connectivity == 8)
+        cell_area = abs(_area(found[0])) - sum(abs(_area(g)) for g in found[1:])
         world = [[(float(a * x + b * y + c), float(d * x + e * y + f)) for x, y in ring] for ring in found]
         if spec.simplify_tolerance:
             world = [simplify(ring, spec.simplify_tolerance) for ring in world]
         area = abs(_area(world[0])) - sum(abs(_area(g)) for g in world[1:])
-        return pd.DataFrame({"region": [int(pdf["root"].iloc[0])], spec.value_field: [float(pdf["value"].iloc[0])], "n_cells": [len(pdf)], "area": [area], "n_rings": [len(world)], "wkt": [wkt(world)]})
+        return pd.DataFrame({"region": [int(pdf["root"].iloc[0])], spec.value_field: [float(pdf["value"].iloc[0])], "n_cells": [round(cell_area)], "area": [area], "n_rings": [len(world)], "wkt": [wkt(world)]})
+
+    out = sides.groupBy("band", "root").applyInPandas(rings, f"region long, {spec.value_field} double, n_cells long, area double, n_rings long, wkt string")
+    return limit_polygons(cut(out), spec.max_polygons)
+
 
-    out = inner.groupBy("band", "root").applyInPandas(rings, f"region long, {spec.value_field} double, n_cells long, area double, n_rings long, wkt string")
-    return out
+def polygonize_table(r: Raster, spec: PolygonizeSpec | None = None, band: int | None = None) -> DataFrame:
+    """``polygonize`` with the raster's reference system beside each polygon."""
+    return polygonize(r, spec, band).withColumn("crs", F.lit(r.meta.crs))
 
 
 def limit_polygons(polygons: DataFrame, most: int) -> DataFrame:
     """The first ``most`` by region, with a warning if some are left out."""
     if polygons.count() > most:
-        warnings.warn(f"more than {most} polygons, the rest is left out", UserWarning, stacklevel=2)
+        warnings.warn(f"Polygon explosion: more than {most}, the rest is left out", UserWarning, stacklevel=3)
         return polygons.orderBy("region").limit(most)
     return polygons
 
@@ -207,3 +228,27 @@ def contour_edges(r: Raster, level: float) -> DataFrame:
     return got.select(x("s.u1", "s.v1").alias("x1"), y("s.u1", "s.v1").alias("y1"), x("s.u2", "s.v2").alias("x2"), y("s.u2", "s.v2").alias("y2"))
 
 
+def contour_rings(r: Raster, level: float) -> DataFrame:
+    """The edges of ``contour_edges`` chained to rings: x, y (its first point), n_points, closed, length, wkt.
+
+    Connected edges are found by components over their ends; each chain is then put in order in one task, which holds
+    that ring alone. Chains that end at the raster's border are not closed."""
+    ends = contour_edges(r, level).select(*(F.round(x, 9).alias(x) for x in ("x1", "y1", "x2", "y2")))
+    edges = cut(ends.select(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")).alias("u"), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")).alias("v")))
+    roots = components(edges)
+    held = edges.join(roots.withColumnRenamed("node", "u"), "u").select("root", "u.x", "u.y", F.col("v.x").alias("x2"), F.col("v.y").alias("y2"))
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        nxt = dict(zip(zip(pdf["x"], pdf["y"]), zip(pdf["x2"], pdf["y2"])))  # each end is left once and reached once
+        starts = set(nxt) - set(nxt.values())
+        at = min(starts) if starts else min(nxt)
+        points = [at]
+        while at in nxt:
+            at = nxt.pop(at)
+            points.append(at)
+        length = sum(math.dist(a, b) for a, b in zip(points, points[1:]))
+        name = "POLYGON ((" if points[0] == points[-1] else "LINESTRING ("
+        text = name + ", ".join(f"{x!r} {y!r}" for x, y in points) + (")" * name.count("("))
+        return pd.DataFrame({"x": [points[0][0]], "y": [points[0][1]], "n_points": [len(points)], "closed": [points[0] == points[-1]], "length": [length], "wkt": [text]})
+
+    return held.groupBy("root").applyInPandas(chain, "x double, y double, n_points long, closed boolean, length double, wkt string")

@@ -25,7 +25,7 @@ class RasterPlan:
     strategy: TilingStrategy
     tile_shape: tuple[int, int] | None = None
     halo: int = 0
-    n_tiles: int = 1
+    n_tiles: int = 0
     bytes_per_tile: int = 0
 
 
@@ -38,23 +38,26 @@ def executor_memory_bytes(spark: SparkSession) -> int:
     return int(number * unit * 0.85 / int(conf.get("spark.executor.cores", "1")))
 
 
-def max_bands_for_budget(meta: RasterMeta, budget: int, itemsize: int = 8) -> int:
-    return max(1, int(budget // max(1, meta.pixel_count * itemsize)))
-
-
-def analyze_raster_plan(height: int, width: int, bands: int, itemsize: int, budget: int, halo: int = 0, buffers: int = 2) -> RasterPlan:
-    """WHOLE if everything fits in 0.7 of the budget (or there is none), else tiles from 4096 on, halved down to 256."""
-    need = height * width * bands * itemsize * buffers
-    if budget <= 0 or need <= 0.7 * budget:
-        return RasterPlan(TilingStrategy.WHOLE, None, halo, 1, need)
-    round_up = lambda n: max(256, math.ceil(n / 256) * 256)
-    th, tw = min(4096, round_up(height)), min(4096, round_up(width))
-    size = lambda: (th + 2 * halo) * (tw + 2 * halo) * bands * itemsize * buffers
-    while size() > 0.7 * budget and (th > 256 or tw > 256):
-        if th >= tw and th > 256:
-            th = round_up(th // 2)
+def max_bands_for_budget(meta: RasterMeta, budget: int, buffers: int = 2, scratch: int = 0) -> int:
+    """Bands whose ``buffers`` fit beside the scratch bytes, one at least."""
+    size = meta.pixel_count * np.dtype(meta.dtype).itemsize * buffers
+    return max(1, int(max(0, budget - scratch) // size)) if size > 0 else 1
+
+
+def analyze_raster_plan(height: int, width: int, bands: int, itemsize: int, budget: int, halo: int = 0, buffers: int = 2, scratch: int = 0) -> RasterPlan:
+    """WHOLE (of 0 tiles) if everything fits in 0.7 of the budget or there is no budget; else tiles from 4096 on, multiples
+    of 256, halved down to 256."""
+    need, most = height * width * bands * itemsize * buffers + scratch, int(0.7 * budget)
+    if budget <= 0 or need <= most:
+        return RasterPlan(TilingStrategy.WHOLE, None, halo, 0, need if budget > 0 else 0)
+    down = lambda n: max(256, n // 256 * 256)
+    th, tw = down(min(4096, height)), down(min(4096, width))
+    size = lambda: (th + 2 * halo) * (tw + 2 * halo) * bands * itemsize * buffers + scratch
+    while size() > most and (th > 256 or tw > 256):
+        if th >= tw:
+            th = down(th // 2)
         else:
-            tw = round_up(tw // 2)
+            tw = down(tw // 2)
     return RasterPlan(TilingStrategy.TILED, (th, tw), halo, math.ceil(height / th) * math.ceil(width / tw), size())
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ from .operators import vector as V
 from .operators import zonal as Z
 from .operators.resample import raster_resample
 from .plans import tiling as T
+from .plans.lineage import new_path
+from .sources import io
 from .sources import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +65,24 @@ simple("raster_apply_python", emb_n, lambda r: A.raster_apply(r, lambda v: v * 3
 simple("raster_where", emb_n, lambda r: A.raster_where(r.with_value((F.col("value") > 0.1).cast("double")), r, -1.0), EMB_N, "CASE WHEN value IS NOT NULL THEN CASE WHEN value > 0.1 THEN value ELSE -1 END END")
 simple("raster_classify", emb_n, lambda r: A.raster_classify(r, [-0.1, 0.0, 0.1], [10, 20, 30, 40]), EMB_N, "CASE WHEN value < -0.1 THEN 10.0 WHEN value < 0 THEN 20.0 WHEN value < 0.1 THEN 30.0 WHEN value IS NOT NULL THEN 40.0 END")
 
+
+def typed(r: Raster) -> DataFrame:
+    return cells(r).withColumn("dtype", F.lit(r.meta.dtype))
+
+
+_ZONES = "SELECT vec_id::INT AS row, (generate_subscripts(embedding, 1) - 1)::INT AS col, label AS y FROM embeddings"
+bytes_ = lambda s, d: (lambda r: Raster(r.df.withColumn("value", F.col("value") + 200), replace(r.meta, dtype="uint8")))(S.emb_zones(s, d))
+single = lambda r: Raster(r.df, replace(r.meta, dtype="float32"))
+add("add_mixed_dtype", lambda s, d: typed(A.raster_add(S.emb_zones(s, d), emb(s, d))), f"WITH g AS ({EMB}), z AS ({_ZONES}) SELECT row, col, round(value + y, 6) AS value, 'float64' AS dtype FROM g JOIN z USING (row, col)")
+add("add_bytes", lambda s, d: typed(A.raster_add(bytes_(s, d), bytes_(s, d))), f"SELECT row, col, (2 * y + 400)::DOUBLE AS value, 'int64' AS dtype FROM ({_ZONES})")
+add("divide_float32", lambda s, d: typed(A.raster_divide(single(emb(s, d)), single(emb(s, d)))), f"WITH g AS ({EMB}) SELECT row, col, CASE WHEN value <> 0 THEN 1.0 END AS value, 'float32' AS dtype FROM g")
+add("divide_no_sentinel", lambda s, d: cells(A.raster_divide(emb(s, d), S.emb_zones(s, d))), f"WITH g AS ({EMB}), z AS ({_ZONES}) SELECT row, col, round(CASE WHEN y <> 0 THEN value / y END, 6) AS value FROM g JOIN z USING (row, col)")
+add("apply_integer", lambda s, d: typed(A.raster_apply(S.emb_zones(s, d), F.sqrt)), f"SELECT row, col, round(sqrt(y), 6) AS value, 'float64' AS dtype FROM ({_ZONES})")
+add("add_one_band_to_all", lambda s, d: A.raster_add(S.parts(s, d), S.parts(s, d).band(1)).df.select("band", "row", "col", F.round("value", 6).alias("value")), f"WITH g AS ({_PART}) SELECT 1 AS band, row, col, b1 + b1 AS value FROM g UNION ALL SELECT 2, row, col, round(b2 + b1, 6) FROM g")
+add("dispatch_per_band", lambda s, d: T.dispatch_per_band(S.parts(s, d), lambda r: A.raster_apply(r, lambda v: v / 4)).df.select("band", "row", "col", F.round("value", 6).alias("value")), f"WITH g AS ({_PART}) SELECT 1 AS band, row, col, round(b1 / 4, 6) AS value FROM g UNION ALL SELECT 2, row, col, round(b2 / 4, 6) FROM g")
+add("expression_float32", lambda s, d: typed(A.raster_expression("a * 2", a=single(emb(s, d)))), f"WITH g AS ({EMB}) SELECT row, col, round(value * 2, 6) AS value, 'float32' AS dtype FROM g")
+add("expression_no_sentinel", lambda s, d: cells(A.raster_expression("log(a) / 2", a=emb(s, d))), f"WITH g AS ({EMB}) SELECT row, col, round(CASE WHEN value > 0 THEN ln(value) / 2 END, 6) AS value FROM g")
+
 # --- expressions
 for _name, _expr, _sql in (
     ("arithmetic", "(a + 2) * -a / 3 - 1", "(value + 2) * -value / 3 - 1"), ("abs_sqrt", "sqrt(abs(a)) + sqrt(a)", "CASE WHEN value >= 0 THEN sqrt(abs(value)) + sqrt(value) END"),
@@ -78,6 +99,22 @@ add("raster_band_math", lambda s, d: cells(A.raster_band_math(S.parts(s, d), "b[
 add("band_select", lambda s, d: cells(S.parts(s, d).band(2)), _two.format("b2"))
 add("band_stack", lambda s, d: (lambda r: stack_bands([r, A.raster_apply(r, lambda v: -v)]).df.select("band", "row", "col", F.round("value", 6).alias("value")))(emb_n(s, d)), f"WITH g AS ({EMB_N}) SELECT 1 AS band, row, col, round(value, 6) AS value FROM g UNION ALL SELECT 2, row, col, round(-value, 6) FROM g")
 add("read_window", lambda s, d: cells(emb(s, d).window(RasterWindow(8, 10, 20, 30))), f"WITH g AS ({EMB}) SELECT row - 10 AS row, col - 8 AS col, round(value, 6) AS value FROM g WHERE row BETWEEN 10 AND 39 AND col BETWEEN 8 AND 27")
+
+
+def stored(spark: SparkSession, sf_dir: str) -> str:
+    path = new_path(spark, "raster")
+    io.write_raster(path, emb_n(spark, sf_dir), block=16)
+    return path
+
+
+def processed(spark: SparkSession, sf_dir: str) -> Raster:
+    path = new_path(spark, "raster")
+    io.process_raster(spark, stored(spark, sf_dir), path, lambda a, m: a * 2 + 1, T.RasterPlan(T.TilingStrategy.TILED, (48, 24)))
+    return io.read_raster(spark, path)
+
+
+add("read_window_file", lambda s, d: cells(io.read_raster(s, stored(s, d), window=RasterWindow(8, 20, 20, 30))), f"WITH g AS ({EMB_N}) SELECT row - 20 AS row, col - 8 AS col, round(value, 6) AS value FROM g WHERE row BETWEEN 20 AND 49 AND col BETWEEN 8 AND 27")
+add("process_raster", lambda s, d: cells(processed(s, d)), f"WITH g AS ({EMB_N}) SELECT row, col, round(value * 2 + 1, 6) AS value FROM g")
 add("nodata_mask", lambda s, d: emb_n(s, d).nodata_mask().select("row", "col", "value"), f"WITH g AS ({EMB_N}) SELECT row, col, value IS NULL AS value FROM g")
 
 # --- neighbourhoods
@@ -166,6 +203,8 @@ for _op, _steps in (("erode", "e"), ("dilate", "d"), ("open", "ed"), ("close", "
     add(f"morphology_{_op}", lambda s, d, o=_op: cells(L.raster_morphology(mask(s, d), o)), f"{morph_sql(*_steps)} SELECT row, col, value FROM g{len(_steps)}")
 add("morphology_tophat", lambda s, d: cells(L.raster_morphology_tophat(mask(s, d))), f"{morph_sql('e', 'd')} SELECT row, col, g0.value * (1 - g2.value) AS value FROM g0 JOIN g2 USING (row, col)")
 add("morphology_blackhat", lambda s, d: cells(L.raster_morphology_blackhat(mask(s, d))), f"{morph_sql('d', 'e')} SELECT row, col, g2.value * (1 - g0.value) AS value FROM g0 JOIN g2 USING (row, col)")
+_DISK = ", ".join(f"({i}, {j})" for i in range(-2, 3) for j in range(-2, 3) if i * i + j * j <= 4)
+add("morphology_disk", lambda s, d: cells(L.raster_morphology(mask(s, d), "dilate", structuring_element=L.make_structuring_element("disk", 2))), f"WITH g AS ({_MASK}), o(dr, dc) AS (VALUES {_DISK}) SELECT a.row, a.col, CASE WHEN sum(h.value) > 0 THEN 1.0 ELSE 0.0 END AS value FROM g a, o JOIN g h ON h.row = a.row + dr AND h.col = a.col + dc GROUP BY a.row, a.col")
 _GAP = "least(row - max(CASE WHEN value <> 0 THEN row END) OVER (PARTITION BY col ORDER BY row), min(CASE WHEN value <> 0 THEN row END) OVER (PARTITION BY col ORDER BY row DESC) - row)"
 add("distance_transform", lambda s, d: cells(L.raster_distance_transform(mask(s, d))), f"WITH g AS ({_MASK}), c AS (SELECT row, col, {_GAP} AS gap FROM g) SELECT a.row, a.col, round(sqrt(min((a.col - b.col) * (a.col - b.col) + b.gap * b.gap)), 6) AS value FROM c a JOIN c b ON a.row = b.row WHERE b.gap IS NOT NULL GROUP BY a.row, a.col")
 add("fill_sinks", lambda s, d: cells(L.raster_fill_sinks(dem_n(s, d))))
@@ -217,7 +256,14 @@ _REGION = f"SELECT row, col, floor(value / 25) AS value FROM ({_EV})"
 regions = lambda s, d: ev(s, d).with_value(F.floor(F.col("value") / 25))
 add("polygonize", lambda s, d: V.polygonize(regions(s, d)))
 add("polygonize_area_by_value", lambda s, d: V.polygonize(regions(s, d)).groupBy("value").agg(F.sum("n_cells").alias("n_cells"), F.round(F.sum("area"), 6).alias("area")), f"WITH g AS ({_REGION}) SELECT value::FLOAT::DOUBLE AS value, count(*)::BIGINT AS n_cells, count(*)::DOUBLE AS area FROM g WHERE value IS NOT NULL GROUP BY value")
-add("contour_edges", lambda s, d: V.contour_edges(mask(s, d), 1.0))
+_CASES = "(8, 0, .5, .5, 0), (4, .5, 0, 1, .5), (2, 1, .5, .5, 1), (1, .5, 1, 0, .5), (12, 0, .5, 1, .5), (6, .5, 0, .5, 1), (3, 1, .5, 0, .5), (9, .5, 1, .5, 0), (10, 0, .5, .5, 0), (10, 1, .5, .5, 1), (5, .5, 0, 1, .5), (5, .5, 1, 0, .5), (14, 0, .5, .5, 1), (13, .5, 1, 1, .5), (11, 1, .5, .5, 0), (7, .5, 0, 0, .5)"
+_EDGES = (
+    f"WITH g AS ({_MASK}), q AS (SELECT row + i AS r, col + j AS c, sum(bit) AS k FROM g, (VALUES (0, 0, 8), (0, -1, 4), (-1, -1, 2), (-1, 0, 1)) t(i, j, bit) WHERE value = 1 GROUP BY 1, 2), "
+    f"e AS (SELECT (c + 0.5 + u1)::DOUBLE AS x1, -(r + 0.5 + v1)::DOUBLE AS y1, (c + 0.5 + u2)::DOUBLE AS x2, -(r + 0.5 + v2)::DOUBLE AS y2 FROM q JOIN (VALUES {_CASES}) t(k, u1, v1, u2, v2) USING (k))"
+)
+add("contour_edges", lambda s, d: V.contour_edges(mask(s, d), 1.0), f"{_EDGES} SELECT x1, y1, x2, y2 FROM e")
+add("contour_rings_length", lambda s, d: V.contour_rings(mask(s, d), 1.0).agg(F.round(F.sum("length"), 4).alias("length"), F.sum(F.col("n_points") - 1).alias("n_edges")), f"{_EDGES} SELECT round(sum(sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))), 4) AS length, count(*)::BIGINT AS n_edges FROM e")
+add("polygonize_sides_by_value", lambda s, d: V.border_sides(L.region_roots(regions(s, d), 4, by_value=True)).groupBy("value").agg(F.count(F.lit(1)).alias("n_sides")), f"WITH g AS ({_REGION}) SELECT a.value, count(*)::BIGINT AS n_sides FROM g a CROSS JOIN (VALUES {_N4}) o(dr, dc) LEFT JOIN g b ON b.row = a.row + dr AND b.col = a.col + dc WHERE a.value IS NOT NULL AND b.value IS DISTINCT FROM a.value GROUP BY a.value")
 
 # --- tiles
 _plan = T.RasterPlan(T.TilingStrategy.TILED, (48, 24))
@@ -232,3 +278,12 @@ def _box(a: np.ndarray, meta) -> np.ndarray:
 
 add("dispatch_tiled_halo", lambda s, d: cells(T.dispatch_tiled_halo(emb(s, d), _box, _plan, 1)), f"WITH {around(EMB, 1, 1)} SELECT row, col, round(max(v), 6) AS value FROM p GROUP BY row, col")
 add("dispatch_tiled_multipass", lambda s, d: cells(T.dispatch_tiled_multipass(emb_n(s, d), lambda a, m: a + 1, lambda r, bounds: A.raster_apply(r, lambda v: v * len(bounds)), T.RasterPlan(T.TilingStrategy.TILED, (4096, 32)))), f"WITH g AS ({EMB_N}) SELECT row, col, round((value + 1) * 2, 6) AS value FROM g")
+
+
+def accumulated(r: Raster) -> DataFrame:
+    n, total = T.dispatch_tiled_accumulator(r, lambda a: np.array([np.isfinite(a).sum(), np.nansum(a)]), np.add, _plan)
+    return r.df.sparkSession.createDataFrame([(float(n), float(round(total, 4)))], "n double, total double")
+
+
+add("dispatch_tiled_accumulator", lambda s, d: accumulated(emb_n(s, d)), f"WITH g AS ({EMB_N}) SELECT count(value)::DOUBLE AS n, round(sum(value), 4) AS total FROM g")
+add("zonal_stats_empty", lambda s, d: Z.zonal_stats(S.emb_zones(s, d), (lambda r: r.with_value(F.lit(None).cast("double")))(emb(s, d)), ["count", "mean"]), "SELECT label::BIGINT AS zone, 0.0::DOUBLE AS count, 0.0::DOUBLE AS mean FROM embeddings WHERE false")

@@ -1,200 +1,81 @@
-"""Raster tables in Parquet, and GeoTIFF files (strips or tiles, uncompressed or deflate)."""
+"""Raster tables in Parquet, GeoTIFF files (``geotiff``), and file-to-file processing."""
 
 from __future__ import annotations
 
-import struct
-import zlib
 from collections.abc import Callable
 from dataclasses import asdict, replace
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..model import PIXELS, Affine, Raster, RasterMeta, RasterWindow, from_dataframe
+from ..model import Raster, RasterMeta, RasterWindow
+from ..plans import tiling
+from .geotiff import geokeys_to_affine, geokeys_to_crs, read_geotiff, read_metadata, with_sentinel, write_geotiff  # noqa: F401
 
 BLOCK = 256
-_META = "height int, width int, band_count int, dtype string, nodata double, affine array<double>, crs string, driver string"
+_META = "height int, width int, band_count int, dtype string, nodata double, affine array<double>, crs string, driver string, block int"
+
+
+def _is_tiff(path: str) -> bool:
+    return path.lower().endswith((".tif", ".tiff"))
 
 
 def write_raster(path: str, r: Raster, block: int = BLOCK) -> None:
-    """Pixels partitioned by band and block row, so windows and bands prune files; metadata beside them."""
+    """Pixels partitioned by band and block row, so windows and bands prune files; metadata, the block's size among them,
+    beside them. A path that ends in .tif gets a GeoTIFF on the driver's disk."""
+    if _is_tiff(path):
+        write_geotiff(path, r)
+        return
     spark = r.df.sparkSession
-    m = asdict(r.meta)
-    spark.createDataFrame([tuple(list(v) if isinstance(v, tuple) else v for v in m.values())], _META).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    m = [list(v) if isinstance(v, tuple) else v for v in asdict(r.meta).values()]
+    spark.createDataFrame([(*m, block)], _META).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
     blocks = r.df.withColumn("block_row", F.floor(F.col("row") / block).cast("int"))
     blocks.repartition("band", "block_row").sortWithinPartitions("row", "col").write.mode("overwrite").partitionBy("band", "block_row").parquet(f"{path}/pixels")
+    r.events.append(f"written {path.rsplit('/', 1)[-1]}")
 
 
-def read_raster_metadata(spark: SparkSession, path: str) -> RasterMeta:
-    if path.lower().endswith((".tif", ".tiff")):
-        return tiff_metadata(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]))
+def _table_metadata(spark: SparkSession, path: str) -> tuple[RasterMeta, int]:
     row = spark.read.parquet(f"{path}/meta").first()
-    return RasterMeta(row.height, row.width, row.band_count, row.dtype, row.nodata, tuple(row.affine), row.crs, row.driver)
+    return RasterMeta(row.height, row.width, row.band_count, row.dtype, row.nodata, tuple(row.affine), row.crs, row.driver), row.block
+
+
+def read_raster_metadata(spark: SparkSession, path: str) -> RasterMeta:
+    return read_metadata(spark, path)[0] if _is_tiff(path) else _table_metadata(spark, path)[0]
 
 
-def read_raster(spark: SparkSession, path: str, bands: list[int] | None = None, window: RasterWindow | None = None) -> Raster:
-    """Bands (from 1) and a window; both reach the Parquet scan as partition and row filters."""
-    if path.lower().endswith((".tif", ".tiff")):
-        r = read_geotiff(spark, path)
+def read_raster(spark: SparkSession, path: str, bands: list[int] | None = None, window: RasterWindow | None = None, overview: int | None = None) -> Raster:
+    """Bands (from 1) and a window: partition and row filters of a Parquet scan, or the blocks that are read of a GeoTIFF.
+    ``overview``: one of a GeoTIFF's smaller images, from 0."""
+    if _is_tiff(path):
+        r = read_geotiff(spark, path, bands, window, overview)
     else:
+        if overview is not None:
+            raise ValueError("a raster table has no overviews")
+        meta, block = _table_metadata(spark, path)
         df = spark.read.parquet(f"{path}/pixels")
         if window:
-            df = df.where(F.col("block_row").between(window.row_off // BLOCK, (window.row_off + window.height - 1) // BLOCK))
-        r = Raster(df.select(F.col("band").cast("int"), "row", "col", "value"), read_raster_metadata(spark, path))
+            df = df.where(F.col("block_row").between(window.row_off // block, (window.row_off + window.height - 1) // block))
+        r = Raster(df.select(F.col("band").cast("int"), "row", "col", "value"), meta, [f"read {path.rsplit('/', 1)[-1]} by Parquet blocks"])
     if bands:
         if min(bands) < 1 or max(bands) > r.meta.band_count:
             raise IndexError(f"the raster has {r.meta.band_count} bands")
         number = F.element_at(F.create_map(*(F.lit(x) for k, b in enumerate(bands, 1) for x in (b, k))), F.col("band"))
-        r = Raster(r.df.where(F.col("band").isin(bands)).withColumn("band", number), replace(r.meta, band_count=len(bands)))
+        r = Raster(r.df.where(F.col("band").isin(bands)).withColumn("band", number), replace(r.meta, band_count=len(bands)), r.events)
     return r.window(window) if window else r
 
 
-def process_raster(spark: SparkSession, source: str, target: str, op: Callable[[Raster], Raster]) -> None:
-    """Read, transform, write: Spark's partitions bound the memory, whatever the raster's size."""
-    r = read_raster(spark, source)
-    out = op(r)
-    write_raster(target, Raster(out.df, replace(out.meta, dtype=r.meta.dtype, nodata=r.meta.nodata)))
-
-
-def with_sentinel(r: Raster) -> DataFrame:
-    """Pixels as stored outside: nodata is the sentinel."""
-    return r.df.withColumn("value", F.coalesce("value", F.lit(r.meta.nodata).cast("double")))
-
-
-# TIFF tags, field sizes and sample formats.
-_FIELD = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
-_KIND = {1: "u", 2: "i", 3: "f"}
-WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, SAMPLES, ROWS_PER_STRIP, STRIP_SIZES, PLANAR, PREDICTOR = 256, 257, 258, 259, 273, 277, 278, 279, 284, 317
-TILE_WIDTH, TILE_HEIGHT, TILES, TILE_SIZES, FORMAT, PIXEL_SCALE, TIEPOINT, TRANSFORM, GEO_KEYS, NODATA = 322, 323, 324, 325, 339, 33550, 33922, 34264, 34735, 42113
-
-
-def _tags(raw: bytes) -> tuple[str, dict[int, tuple]]:
-    order = {b"II": "<", b"MM": ">"}.get(raw[:2])
-    if not order or struct.unpack(order + "H", raw[2:4])[0] != 42:
-        raise ValueError("not a classic TIFF file")
-    at = struct.unpack(order + "I", raw[4:8])[0]
-    tags = {}
-    for k in range(struct.unpack(order + "H", raw[at : at + 2])[0]):
-        e = at + 2 + 12 * k
-        tag, kind, n = struct.unpack(order + "HHI", raw[e : e + 8])
-        if kind not in _FIELD:
-            continue
-        code = _FIELD[kind]
-        size = struct.calcsize("=" + code) * n
-        start = e + 8 if size <= 4 else struct.unpack(order + "I", raw[e + 8 : e + 12])[0]
-        data = raw[start : start + size]
-        tags[tag] = (data.split(b"\0")[0].decode("latin-1"),) if kind == 2 else struct.unpack(order + code * n, data)
-    return order, tags
-
-
-def geokeys_to_affine(pixel_scale=None, tiepoint=None, transformation=None) -> Affine | None:
-    """A 4 x 4 transformation wins; else scale and tiepoint; else nothing."""
-    if transformation is not None and len(transformation) >= 8:
-        t = transformation
-        return (t[0], t[1], t[3], t[4], t[5], t[7])
-    if pixel_scale is not None and tiepoint is not None and len(pixel_scale) >= 2 and len(tiepoint) >= 6:
-        (sx, sy), (i, j, _, x, y) = pixel_scale[:2], tiepoint[:5]
-        return (sx, 0.0, x - i * sx, 0.0, -sy, y + j * sy)
-    return None
-
-
-def geokeys_to_crs(keys: dict[int, int]) -> str | None:
-    """EPSG code as text, the projected one before the geodetic one."""
-    code = keys.get(3072) or keys.get(2048)
-    return f"EPSG:{code}" if code and code != 32767 else None
-
-
-def tiff_metadata(raw: bytes) -> RasterMeta:
-    _, t = _tags(raw)
-    kind, bits = _KIND[t.get(FORMAT, (1,))[0]], t[BITS][0]
-    dtype = str(np.dtype(f"{kind}{bits // 8}"))
-    geo = t.get(GEO_KEYS, ())
-    keys = {geo[k]: geo[k + 3] for k in range(4, len(geo) - 3, 4) if geo[k + 1] == 0}
-    nodata = float(t[NODATA][0]) if NODATA in t and t[NODATA][0].strip() else None
-    affine = geokeys_to_affine(t.get(PIXEL_SCALE), t.get(TIEPOINT), t.get(TRANSFORM)) or (1.0, 0.0, 0.0, 0.0, -1.0, 0.0)
-    return RasterMeta(t[HEIGHT][0], t[WIDTH][0], t.get(SAMPLES, (1,))[0], dtype, nodata, affine, geokeys_to_crs(keys), "GTiff")
-
-
-def decode_tiff(raw: bytes) -> np.ndarray:
-    """(bands, rows, cols)."""
-    order, t = _tags(raw)
-    m = tiff_metadata(raw)
-    kind = np.dtype(m.dtype).newbyteorder(order)
-    packing = t.get(COMPRESSION, (1,))[0]
-    if packing not in (1, 8, 32946):
-        raise ValueError(f"compression {packing} isn't read")
-    planes = m.band_count if t.get(PLANAR, (1,))[0] == 2 else 1
-    samples = 1 if planes > 1 else m.band_count
-    tiled = TILES in t
-    bh, bw = (t[TILE_HEIGHT][0], t[TILE_WIDTH][0]) if tiled else (min(m.height, t.get(ROWS_PER_STRIP, (m.height,))[0]), m.width)
-    down, across = -(-m.height // bh), -(-m.width // bw)
-    out = np.zeros((m.band_count, down * bh, across * bw), dtype=m.dtype)
-    for k, (at, size) in enumerate(zip(t[TILES if tiled else STRIPS], t[TILE_SIZES if tiled else STRIP_SIZES])):
-        data = raw[at : at + size] if packing == 1 else zlib.decompress(raw[at : at + size])
-        plane, rest = divmod(k, down * across)
-        r, c = divmod(rest, across)
-        values = np.frombuffer(data, dtype=kind)
-        rows = len(values) // (bw * samples)
-        block = values[: rows * bw * samples].reshape(rows, bw, samples)
-        if t.get(PREDICTOR, (1,))[0] == 2:
-            block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
-        out[plane if planes > 1 else slice(None), r * bh : r * bh + rows, c * bw : (c + 1) * bw] = block[..., 0] if planes > 1 else block.transpose(2, 0, 1)
-    return out[:, : m.height, : m.width]
-
-
-def read_geotiff(spark: SparkSession, path: str) -> Raster:
-    """One file, decoded on an executor; the driver sees its header only."""
-    files = spark.read.format("binaryFile").load(path)
-    meta = tiff_metadata(bytes(files.select("content").first()[0]))
-
-    def run(batches):
-        for batch in batches:
-            for raw in batch["content"]:
-                cube = decode_tiff(raw)
-                for band, plane in enumerate(cube, 1):
-                    for at in range(0, plane.shape[0], BLOCK):
-                        part = plane[at : at + BLOCK]
-                        rows, cols = np.indices(part.shape)
-                        yield pd.DataFrame({"band": band, "row": rows.ravel() + at, "col": cols.ravel(), "value": part.ravel().astype(float)})
-
-    return from_dataframe(files.select("content").mapInPandas(run, PIXELS), meta)
-
-
-def encode_geotiff(data: np.ndarray, meta: RasterMeta, compress: bool = True) -> bytes:
-    """A little-endian GeoTIFF of one strip a band."""
-    cube = (data if data.ndim == 3 else data[None]).astype(np.dtype(meta.dtype).newbyteorder("<"))
-    strips = [zlib.compress(p.tobytes()) if compress else p.tobytes() for p in cube]
-    a, b, c, d, e, f = meta.affine
-    n = len(strips)
-    entries: list[tuple[int, int, tuple]] = [
-        (WIDTH, 4, (meta.width,)), (HEIGHT, 4, (meta.height,)), (BITS, 3, (cube.itemsize * 8,) * n), (COMPRESSION, 3, (8 if compress else 1,)), (262, 3, (1,)),
-        (STRIPS, 4, (0,) * n), (SAMPLES, 3, (n,)), (ROWS_PER_STRIP, 4, (meta.height,)), (STRIP_SIZES, 4, tuple(map(len, strips))), (PLANAR, 3, (2,)),
-        (FORMAT, 3, ({"u": 1, "i": 2, "f": 3}[cube.dtype.kind],) * n), (TRANSFORM, 12, (a, b, 0.0, c, d, e, 0.0, f, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0)),
-    ]
-    if meta.crs and meta.crs.startswith("EPSG:"):
-        entries.append((GEO_KEYS, 3, (1, 1, 0, 1, 3072, 0, 1, int(meta.crs[5:]))))
-    if meta.nodata is not None:
-        entries.append((NODATA, 2, tuple(bytes([x]) for x in f"{meta.nodata!r}\0".encode())))
-    head = 8 + 2 + 12 * len(entries) + 4
-    sizes = [struct.calcsize("<" + _FIELD[k] * len(v)) for _, k, v in entries]
-    strip_at = head + sum(s for s in sizes if s > 4)
-    at, places = strip_at, []
-    for s in strips:
-        places.append(at)
-        at += len(s)
-    ifd, extra = struct.pack("<H", len(entries)), b""
-    for (tag, kind, values), size in zip(entries, sizes):
-        packed = struct.pack("<" + _FIELD[kind] * len(values), *(places if tag == STRIPS else values))
-        ifd += struct.pack("<HHI", tag, kind, len(values)) + (packed.ljust(4, b"\0") if size <= 4 else struct.pack("<I", head + len(extra)))
-        extra += packed if size > 4 else b""
-    return b"II*\0" + struct.pack("<I", 8) + ifd + b"\0\0\0\0" + extra + b"".join(strips)
-
-
-def write_geotiff(path: str, r: Raster, compress: bool = True) -> None:
-    """A local file from a raster that fits the driver."""
-    with open(path, "wb") as out:
-        out.write(encode_geotiff(r.to_numpy(), r.meta, compress))
+def process_raster(spark: SparkSession, source: str, target: str, op: Callable, plan: tiling.RasterPlan | None = None, halo: int = 0) -> RasterMeta:
+    """Read, transform, write; the metadata of what was written.
 
+    Without a plan ``op`` maps a Raster to a Raster by DataFrame operations, and Spark's partitions bound the memory.
+    With one it maps a tile's array and metadata to an array, with ``halo`` cells around, as in ``dispatch_tiled``. The
+    source's dtype and nodata tag stay.
+    """
+    if plan is not None and plan.strategy == tiling.TilingStrategy.TILED and not plan.tile_shape:
+        raise ValueError("a tiled plan has a tile shape")
+    r = read_raster(spark, source)
+    out = op(r) if plan is None else tiling.dispatch_tiled_halo(r, op, plan, halo)
+    done = Raster(out.df, replace(out.meta, dtype=r.meta.dtype, nodata=r.meta.nodata, driver="GTiff" if _is_tiff(target) else None), [*r.events])
+    write_raster(target, done)
+    return done.meta
 
