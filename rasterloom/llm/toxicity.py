@@ -26,7 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, words
+from ..plans.lineage import cut
+from .common import labelled_sample, small_batches, words
 from .linear import N_STYLE, logistic, sigmoid, style
 
 
@@ -62,8 +63,8 @@ def _vector(text: str, index: dict[bytes, int], lexicon: np.ndarray) -> np.ndarr
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], sample_rows: int = 10_000, vocabulary: int = 400, folds: int = 5) -> dict:
     """categories: label columns (0 or 1) in chain order."""
     known = labels.dropna(subset=list(categories))
-    sample = labelled_sample(docs, known, list(categories), sample_rows)
-    counts = sample.select("text", *categories).mapInPandas(_word_counts, "label string, word string, n long").groupBy("label", "word").agg(F.sum("n").alias("n"))
+    sample = cut(labelled_sample(docs, known, list(categories), sample_rows))  # the documents are read once to train
+    counts = cut(sample.select("text", *categories).mapInPandas(_word_counts, "label string, word string, n long").groupBy("label", "word").agg(F.sum("n").alias("n")))
     totals = {f"{c}={r[0]}": r[1] for c in categories for r in sample.groupBy(c).count().collect()}
     index: dict[bytes, int] = {}
     lexicons: list[tuple[int, int]] = []
@@ -90,7 +91,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], sampl
         for batch in batches:
             yield pd.Series([_vector(t, index, lexicon) for t in batch])
 
-    got = sample.select(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(folds)).cast("int").alias("fold"), "doc_id", *categories, F.pandas_udf(features, "array<float>")("text").alias("f")).toArrow().sort_by("doc_id")
+    got = sample.select(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(folds)).cast("int").alias("fold"), "doc_id", *categories, F.pandas_udf(features, "array<float>")("text").alias("f")).toArrow().sort_by("doc_id")  # ids are unique in a sample
     width = len(index) + 3 * len(categories) + N_STYLE
     n = got.num_rows
     x = got["f"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(n, width) if n else np.zeros((0, width))
@@ -141,6 +142,7 @@ def predict(x: np.ndarray, model: dict) -> np.ndarray:
 
 def score(docs: DataFrame, model: dict, *keep: str | Column) -> DataFrame:
     """doc_id, columns ``keep``, and scores: one probability for each category, in chain order."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
