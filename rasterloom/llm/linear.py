@@ -32,18 +32,23 @@ def style(text: str) -> list[float]:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, offset: bool = True, rounds: int = 30, weight: np.ndarray | None = None) -> np.ndarray:
-    """Weights (the last is the constant, if any) of an L2-regularised logistic regression, by Newton steps. ``weight``: of the rows."""
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1) if offset else x
+    """Weights (the last is the constant, if any) of an L2-regularised logistic regression, by Newton steps over blocks of
+    rows. ``weight``: of the rows."""
+    n = x.shape[1] + offset
     weight = np.ones(len(x)) if weight is None else weight
-    penalty = np.full(x.shape[1], l2)
+    penalty = np.full(n, l2)
     if offset:
         penalty[-1] = 1e-6
-    w = np.zeros(x.shape[1])
+    w = np.zeros(n)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (weight * (p - y)) + penalty * w
-        curve = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x
-        step = np.linalg.solve(curve + np.diag(penalty), gradient)
+        gradient, curve = penalty * w, np.diag(penalty)
+        for at in range(0, len(x), 4096):
+            part = x[at : at + 4096].astype(np.float64)
+            part = np.concatenate([part, np.ones((len(part), 1))], axis=1) if offset else part
+            p, k = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30))), weight[at : at + 4096]
+            gradient = gradient + part.T @ (k * (p - y[at : at + 4096]))
+            curve = curve + (part * (k * p * (1 - p) + 1e-9)[:, None]).T @ part
+        step = np.linalg.solve(curve, gradient)
         w -= step
         if np.abs(step).max() < 1e-5:
             break
