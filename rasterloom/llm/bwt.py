@@ -26,6 +26,15 @@ def stable_order(keys: np.ndarray, bits: int) -> np.ndarray:
     return packed & ((1 << low) - 1)
 
 
+def distributed(keys: np.ndarray) -> np.ndarray:
+    """Stable order of unsigned keys by counting: one distribution for each 16 bits, the least significant first (numpy's
+    stable order of 16-bit numbers is a radix sort)."""
+    order = np.argsort((keys & 0xFFFF).astype(np.uint16), kind="stable")
+    for shift in range(16, 8 * keys.itemsize, 16):
+        order = order[np.argsort((keys >> keys.dtype.type(shift)).astype(np.uint16)[order], kind="stable")]
+    return order
+
+
 class Shard:
     """Sorted rotations of some strings: where each starts, and the four bytes before it."""
 
@@ -69,14 +78,14 @@ class Shard:
 def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(interleave, interval): each merged place's shard, and the number of its interval of ``depth`` common bytes."""
     take = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(s.before) for s in shards])
-    before, bits = np.concatenate([s.before for s in shards]), max(1, int(len(shards) - 1).bit_length())
+    before = np.concatenate([s.before for s in shards])
     interval = np.zeros(len(take), dtype=np.int32)
     symbol = before.copy()
     split = np.zeros(len(take), dtype=bool)
     for _ in range(depth // STEP):
         if len(shards) > 1:  # the places of a shard, in order, take its rotations in order
-            symbol[stable_order(take, bits)] = before
-        place = stable_order(symbol, 32)
+            symbol[distributed(take)] = before
+        place = distributed(symbol)
         take, was, ordered = take[place], interval[place], symbol[place]
         np.not_equal(ordered[1:], ordered[:-1], out=split[1:])
         split[1:] |= was[1:] != was[:-1]

@@ -14,7 +14,7 @@ Equal 100-byte windows must meet in one task without sending every suffix anywhe
    bytes that both windows hold. Segments that meet there differ in their outermost bytes only: 66,048 at most.
 4. *Transforms.* A bucket combines equal segments again. Anchors left with several different segments get shard
    Burrows-Wheeler transforms, merged by interleave refinement (``bwt``); intervals of 100 common bytes give each
-   repeated window its first start. Nothing is sorted a second time.
+   repeated window its first start. Suffixes are sorted within shards only; the merge distributes by counting.
 5. *Removal.* Repeat runs are joined with the documents that have some; their covered bytes go.
 
 Order of starts: doc_id (null last), then place. Rows that repeat both doc_id and text count as one document, each row
@@ -414,15 +414,17 @@ def _removed(outputs: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, depth: int = 100, outputs: bool = True, block: int = 1 << 16, spread: int = 4096) -> DataFrame:
+def suffix_dedup(docs: DataFrame, depth: int = 100, outputs: bool = True, block: int = 1 << 16, spread: int = 4096, bucket_bytes: int = 1 << 22) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``outputs`` also kept (binary, null
     if nothing was removed) and spans (start, end, start, end, ...). ``depth`` is a multiple of 4, 64 to 128. Anchors that occur
-    more than ``spread`` times are split by their surroundings; the result is the same for every value."""
+    more than ``spread`` times are split by their surroundings; groups are as many as the text has ``bucket_bytes``, so
+    their size stays the same as the input grows; the result is the same for every value."""
     if depth % 4 or not 64 <= depth <= 128:
         raise ValueError("depth must be a multiple of 4, from 64 to 128")
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce("text", F.lit(""))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // bucket_bytes)
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(NULL_DOC)).alias("doc"), F.xxhash64(text).alias("x"), text.alias("text"))
     keyed = rows.select("doc", "x", "text")
     asked = keyed.where(F.octet_length("text") >= depth).mapInPandas(_asks(depth, buckets), _ASK)
