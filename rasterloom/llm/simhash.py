@@ -42,8 +42,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.lineage import cut
 from ..operators.components import components
+from ..plans.lineage import cut
+from .common import small_batches
 
 SEED = 42
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
@@ -167,6 +168,7 @@ def hex64(fp: Column) -> Column:
 
 def simhash_groups(docs: DataFrame, most: int = 256) -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id, keep (one row of each component has it)."""
+    small_batches(docs.sparkSession)
     base = cut(docs.select("doc_id", fingerprints(F.coalesce("text", F.lit(""))).alias("fp"), F.monotonically_increasing_id().alias("uid")))
     row = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "uid")
     classes = cut(base.groupBy("fp").agg(F.min(row).alias("w")))
@@ -179,7 +181,7 @@ def simhash_groups(docs: DataFrame, most: int = 256) -> DataFrame:
     )
 
 
-_HEAVY, _POWER = 6, 8
+_HEAVY, _POWER = 4, 8
 #: (buckets of each crowded bucket, further segments of each) of the rounds.
 _FINER = ((12, 8), (12, 14), (8, 24))
 
@@ -190,35 +192,50 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, shingle: int, known: dict[bytes, int]) -> np.ndarray:
-    """Distinct shingle hashes in order (a text of fewer words is one shingle). ``known``: hashes of words met before."""
+class _Words(dict):
+    """Hashes of words, worked out once; it starts anew when it has grown large."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1 << 18:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
+
+def shingle_set(text: str | None, shingle: int, known: _Words) -> np.ndarray:
+    """Distinct shingle hashes in order (a text of fewer words is one shingle)."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
         return np.zeros(0, np.uint64)
-    if len(known) > 1 << 18:
-        known.clear()
-    for t in set(tokens):
-        if t not in known:
-            known[t] = xxhash.xxh64_intdigest(t, SEED)
-    words = np.fromiter((known[t] for t in tokens), dtype=np.uint64, count=len(tokens))
+    words = np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
     n = max(1, len(words) - shingle + 1)
-    out = np.zeros(n, np.uint64)
-    for k in range(min(shingle, len(words))):  # words of a shingle in their order
-        out = _mixed(out ^ words[k : k + n]) + np.uint64(k + 1)
-    return np.unique(out)
+    out = np.full(n, np.uint64(min(shingle, len(words))))
+    for k in range(min(shingle, len(words))):  # each place has a multiplier of its own
+        out += words[k : k + n] * np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64))
+    return np.unique(_mixed(out))
 
 
-def weighted_segments(s: np.ndarray, segments: int) -> np.ndarray:
-    """23 bits of each segment: the weighted SimHash of the shingles, by its ``_HEAVY`` heaviest ones."""
+def _heaviest(s: np.ndarray, segments: int) -> np.ndarray:
+    """segments x ``_HEAVY``: the least u of the shingles (the heaviest), filled with the greatest number."""
     a, b = _multipliers(segments)
-    u = np.zeros((segments, 0), np.uint64)
+    out = np.full((segments, _HEAVY), np.uint64(0xFFFFFFFFFFFFFFFF))
     for at in range(0, len(s), 1 << 14):
-        u = np.concatenate([u, a * s[at : at + (1 << 14)] + b], axis=1)
+        u = a * s[at : at + (1 << 14)] + b
         if u.shape[1] > _HEAVY:
             u = np.partition(u, _HEAVY - 1, axis=1)[:, :_HEAVY]
-    weight = ((u.min(axis=1, keepdims=True).astype(float) + 1) / (u.astype(float) + 1)) ** _POWER
-    sign = ((_mixed(u)[:, :, None] >> np.arange(23, dtype=np.uint64)) & np.uint64(1)).astype(float) * 2 - 1
-    return (((sign * weight[:, :, None]).sum(axis=1) > 0) << np.arange(23)).sum(axis=1)
+        out = np.sort(np.concatenate([out, u], axis=1), axis=1)[:, :_HEAVY] if at else np.concatenate([u, out[:, u.shape[1] :]], axis=1)
+    return out
+
+
+def weighted_segments(sets: list[np.ndarray], segments: int) -> np.ndarray:
+    """texts x segments: 23 bits each, the weighted SimHash of a text's shingles, by its ``_HEAVY`` heaviest ones."""
+    if not sets:
+        return np.zeros((0, segments), np.int64)
+    u = np.stack([_heaviest(s, segments) for s in sets])
+    weight = ((u.min(axis=2, keepdims=True).astype(np.float32) + 1) / (u.astype(np.float32) + 1)) ** _POWER
+    bits = np.unpackbits(_mixed(u).view(np.uint8).reshape(*u.shape, 8)[..., :3], axis=-1, bitorder="little")[..., :23]
+    on = np.einsum("tsh,tshb->tsb", weight, bits.astype(np.float32)) > weight.sum(axis=2, keepdims=True) / 2
+    return (on << np.arange(23)).sum(axis=2)
 
 
 @cache
@@ -246,23 +263,27 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 def _signatures(shingle: int, segments: int):
     def run(texts: pa.Array) -> pa.Array:
-        code, known = Golay(), {}
-        sizes, classes, words = [], [], []
+        code, known = Golay(), _Words()
+        sizes, classes, words, held = [], [], [], []
         for t in texts:  # one text at a time as a Python string
             s = shingle_set(t.as_py(), shingle, known)
             sizes.append(len(s))
             classes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            words.append(weighted_segments(s, segments) if len(s) else np.zeros(0, np.int64))
-        index = code.nearest(np.concatenate([np.zeros(0, np.int64), *words])).astype(np.int64)
-        ends = np.cumsum([0, *map(len, words)])
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(classes, pa.binary()), _lists([index[i:j] for i, j in zip(ends, ends[1:])])], ["n", "class", "code"])
+            if len(s):
+                held.append(s)
+            if len(held) == 64:
+                words.append(weighted_segments(held, segments))
+                held = []
+        index = iter(code.nearest(np.concatenate([*words, weighted_segments(held, segments)]).astype(np.int64)).astype(np.int64))
+        codes = [next(index) if n else np.zeros(0, np.int64) for n in sizes]
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(classes, pa.binary()), _lists(codes)], ["n", "class", "code"])
 
     return F.arrow_udf(run, "n int, class binary, code array<bigint>")
 
 
 def _sets(shingle: int):
     def run(texts: pa.Array) -> pa.Array:
-        known: dict[bytes, int] = {}
+        known = _Words()
         return _lists([shingle_set(t.as_py(), shingle, known).view(np.int64) for t in texts])
 
     return F.arrow_udf(run, "array<bigint>")
@@ -282,6 +303,7 @@ def _keys(of: DataFrame, chosen: list[list[int]], *before: str) -> DataFrame:
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, segments: int = 32, together: int = 5, keys: int = 40, most: int = 64) -> DataFrame:
     """One row per document: doc_id, component_id (the smallest doc_id), keep (one row of each component has it)."""
+    small_batches(docs.sparkSession)
     base = cut(docs.select("doc_id", _signatures(shingle, segments)(F.coalesce("text", F.lit(""))).alias("g")).select("doc_id", "g.*"))
     classes = cut(
         base.groupBy("class").agg(F.min(F.struct("doc_id", "n", "code")).alias("w"))

@@ -108,7 +108,9 @@ def test_decontaminate(spark):
     draw = random.Random(9)
     vocabulary = [f"w{k}" for k in range(300)]
     text = lambda n: " ".join(draw.choice(vocabulary) for _ in range(n))
-    items = [(k, text(draw.randint(3, 50))) for k in range(20)] + [(20, None), (None, text(9)), (21, "")]
+    items = [(k, text(draw.randint(3, 50))) for k in range(20)] + [(20, None), (None, text(9)), (21, ""), (23, "w1 W2, w3"), (24, "w7"), (25, "w5 w6")]
+    phrase = text(8)
+    items += [(30 + k, phrase + " " + text(6)) for k in range(8)]  # shingles that several items share
     items.append((22, items[4][1].upper()))
     docs = []
     for k in range(80):
@@ -119,17 +121,22 @@ def test_decontaminate(spark):
                 item[draw.randrange(len(item))] = "changed"
             t = t[: len(t) // 2] + ", " + "; ".join(item) + " " + t[len(t) // 2 :]
         docs.append((k, t))
-    docs += [(90, None), (None, items[0][1]), docs[0], (91, items[5][1] * 3000)]
+    docs += [(90, None), (None, items[0][1]), docs[0], (91, items[5][1] * 3000), (92, "W1-w2 w3"), (93, "w5"), (94, phrase), (95, f"{phrase} {items[-1][1]} {items[-2][1]}")]
     import re
 
-    def shingles(t):
+    def shingles(t, of=None):
         w = [x for x in re.split(r"[^\w]+|_", (t or "").lower()) if x]
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        k = min(5, len(w)) if of is None else of
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w and k else set()
 
-    want = {(d, i) for d, t in docs for i, s in items if d is not None and i is not None and shingles(s) and len(shingles(t) & shingles(s)) >= 0.8 * len(shingles(s))}
+    def leaks(t, s):
+        own = shingles(s)
+        return own and len(shingles(t, len(next(iter(own)))) & own) >= 0.8 * len(own)
+
+    want = {(d, i) for d, t in docs for i, s in items if d is not None and i is not None and leaks(t, s)}
     a, b = spark.createDataFrame(docs, DOCS).withColumn("rep", F.lit(0)), spark.createDataFrame(items, "item_id long, text string")
-    for most in (500_000, 0):
-        got = decontaminate.contaminated(a, b, broadcast_rows=most).collect()
+    for most, common in ((64 << 20, 16), (0, 16), (64 << 20, 3)):
+        got = decontaminate.contaminated(a, b, broadcast_bytes=most, common=common).collect()
         assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
     assert decontaminate.contaminated(a.limit(0), b).count() == decontaminate.contaminated(a, b.limit(0)).count() == 0
 
@@ -270,7 +277,9 @@ def test_bwt_merge():
 def test_suffix_dedup(spark, rows, depth):
     null = suffix_dedup.NULL_DOC
     seen, want = set(), {}
-    for d, t in sorted({(null if i is None else i, t or "") for i, t in rows}):
+    # rows of one doc_id (7, null) and different texts are in the order of their texts' XXH64, signed
+    place = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63)) % (1 << 64)
+    for d, t in sorted({(null if i is None else i, t or "") for i, t in rows}, key=lambda r: (r[0], place(r[1]))):
         b = t.encode()
         covered = np.zeros(len(b) + 1, dtype=bool)
         for s in range(len(b) - depth + 1):
@@ -280,13 +289,12 @@ def test_suffix_dedup(spark, rows, depth):
         spans = int((np.diff(covered.astype(int), prepend=0) == 1).sum())
         kept = bytes(np.frombuffer(b, np.uint8)[~covered[:-1]])
         want[d, t] = (len(b), int(covered.sum()), spans, hashlib.sha256(kept).hexdigest())
-    # ties of one doc_id are ordered by the text's hash, so their results are compared as a set
     df = spark.createDataFrame(rows, DOCS).withColumn("x", F.lit(0)).repartition(5)
     key = lambda i: null if i is None else i
     for spread in (4096, 8, 1):  # every repeated anchor is hot at 1
         out = suffix_dedup.suffix_dedup(df, depth, spread=spread).collect()
         assert len(out) == len(rows)
-        assert {(key(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out if key(r.doc_id) not in (7, null)} == {(d, *v) for (d, _), v in want.items() if d not in (7, null)}
+        assert {(key(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == {(d, *v) for (d, _), v in want.items()}
     assert suffix_dedup.suffix_dedup(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         suffix_dedup.suffix_dedup(df, 30)
@@ -329,3 +337,20 @@ def test_pipeline(spark):
     left = sorted(r.doc_id for r in steps["near_copies"](spark, once, sf).collect())
     assert left == sorted({given[k].doc_id for k in brute_components([r.text for r in given])}) and len(left) < len(given)
     assert P.run(spark, sf).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_exact_dedup_plan(spark, rows):
+    """Texts of unrepeated digests aren't shuffled: below the first exchange of texts is the tasks' own aggregation, over
+    rows that a broadcast has filtered. Without the broadcast the result is the same; a hot digest too."""
+    hot = rows + [(1000 + k, "hot  text") for k in range(300)] + [(5000, "hot text")]
+    df = spark.createDataFrame(hot, DOCS).repartition(6)
+    full = df.select("doc_id", exact_dedup.normalised(F.col("text")).alias("t")).withColumn("d", F.sha2("t", 256))
+    first = full.groupBy("d").count().where("count > 1").select("d")
+    plan = exact_dedup.combined(full, first, 10, 64, 64 << 20)._jdf.queryExecution().executedPlan().toString()
+    texts = [i for i, line in enumerate(plan.splitlines()) if "Exchange hashpartitioning(" in line and " t#" in line]
+    below = plan.splitlines()[texts[-1] + 1 :]
+    assert "Aggregate" in below[0] and "partial_" in "".join(below[:2]) and any("BroadcastHashJoin" in x and "LeftSemi" in x for x in below)
+    key = lambda df: sorted(map(str, df.collect()))
+    once = key(exact_dedup.exact_dedup(df))
+    assert once == key(exact_dedup.exact_dedup(df, broadcast_bytes=0)) == key(exact_dedup.exact_dedup(df, salts=1))
+    assert sum("group_size=301" in r for r in once) == 301

@@ -79,7 +79,7 @@ def test_segments_agree_as_texts_are_similar():
         for _ in range(200):
             c = round(480 * similarity / (1 + similarity))
             base = draw.integers(0, 1 << 63, 480 - c, dtype=np.uint64)
-            a, b = (code.nearest(simhash.weighted_segments(np.unique(x), 32)) for x in (base[:240], np.concatenate([base[:c], base[240:]])))
+            a, b = code.nearest(simhash.weighted_segments([np.unique(x) for x in (base[:240], np.concatenate([base[:c], base[240:]]))], 32))
             agree.append((a == b).mean())
             found += any((a == b)[k].all() for k in chosen)
         assert abs(np.mean(agree) - similarity) < 0.03 and found >= least * 200
