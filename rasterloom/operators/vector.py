@@ -169,6 +169,32 @@ def wkt(rings: list[Ring]) -> str:
     return "POLYGON (" + ", ".join("(" + ", ".join(f"{x!r} {y!r}" for x, y in ring) + ")" for ring in rings) + ")"
 
 
+def by_group(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
+    """``fn`` maps the columns (arrays by name) of all rows of one group to a row. Groups come sorted in few calls of
+    Python, so that many small ones cost little; a task holds one group and one batch at a time."""
+    def run(batches):
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            held.append(batch)
+            key = batch[keys].to_numpy()
+            if len(batch) and (key[0] == key[-1]).all() and (held[0][keys].iloc[0].to_numpy() == key[-1]).all():
+                continue  # still the group that began before
+            part = pd.concat(held, ignore_index=True)
+            last = (part[keys].to_numpy() != key[-1]).any(axis=1) if len(batch) else np.ones(len(part), dtype=bool)
+            yield rows(part[last])
+            held = [part[~last]]
+        if held:
+            yield rows(pd.concat(held, ignore_index=True))
+
+    def rows(part: pd.DataFrame) -> pd.DataFrame:
+        key, columns = part[keys].to_numpy(), {c: part[c].to_numpy() for c in part}
+        new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1))) if len(part) else np.zeros(0, int)
+        return pd.DataFrame([fn({c: v[a:b] for c, v in columns.items()}) for a, b in zip(new, np.append(new[1:], len(part)))], columns=names)
+
+    names = [x.split()[0] for x in schema.split(",")]
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
 def polygonize(r: Raster, spec: PolygonizeSpec | None = None, band: int | None = None) -> DataFrame:
     """One polygon per region of equal values: region, value, n_cells, area, n_rings, wkt. The first ``max_polygons`` by
     region are kept, with a warning if there are more.
@@ -182,16 +208,16 @@ def polygonize(r: Raster, spec: PolygonizeSpec | None = None, band: int | None =
     cells = cut(region_roots(r, spec.connectivity, by_value=True))
     sides = border_sides(cells).withColumn("value", F.col("value").cast("float").cast("double"))
 
-    def rings(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = trace(list(zip(pdf["row"].tolist(), pdf["col"].tolist(), pdf["side"].tolist())), spec.connectivity == 8)
-        cell_area = abs(_area(found[0])) - sum(abs(_area(g)) for g in found[1:])
+    def rings(g: dict[str, np.ndarray]) -> tuple:
+        found = trace(list(zip(g["row"].tolist(), g["col"].tolist(), g["side"].tolist())), spec.connectivity == 8)
+        cell_area = abs(_area(found[0])) - sum(abs(_area(x)) for x in found[1:])
         world = [[(float(a * x + b * y + c), float(d * x + e * y + f)) for x, y in ring] for ring in found]
         if spec.simplify_tolerance:
             world = [simplify(ring, spec.simplify_tolerance) for ring in world]
-        area = abs(_area(world[0])) - sum(abs(_area(g)) for g in world[1:])
-        return pd.DataFrame({"region": [int(pdf["root"].iloc[0])], spec.value_field: [float(pdf["value"].iloc[0])], "n_cells": [round(cell_area)], "area": [area], "n_rings": [len(world)], "wkt": [wkt(world)]})
+        area = abs(_area(world[0])) - sum(abs(_area(x)) for x in world[1:])
+        return int(g["root"][0]), float(g["value"][0]), round(cell_area), area, len(world), wkt(world)
 
-    out = sides.groupBy("band", "root").applyInPandas(rings, f"region long, {spec.value_field} double, n_cells long, area double, n_rings long, wkt string")
+    out = by_group(sides, ["band", "root"], rings, f"region long, {spec.value_field} double, n_cells long, area double, n_rings long, wkt string")
     return limit_polygons(cut(out), spec.max_polygons)
 
 
@@ -236,19 +262,20 @@ def contour_rings(r: Raster, level: float) -> DataFrame:
     ends = contour_edges(r, level).select(*(F.round(x, 9).alias(x) for x in ("x1", "y1", "x2", "y2")))
     edges = cut(ends.select(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")).alias("u"), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")).alias("v")))
     roots = components(edges)
-    held = edges.join(roots.withColumnRenamed("node", "u"), "u").select("root", "u.x", "u.y", F.col("v.x").alias("x2"), F.col("v.y").alias("y2"))
+    held = edges.join(roots.withColumnRenamed("node", "u"), "u").select(F.col("root.x").alias("rx"), F.col("root.y").alias("ry"), "u.x", "u.y", F.col("v.x").alias("x2"), F.col("v.y").alias("y2"))
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        nxt = dict(zip(zip(pdf["x"], pdf["y"]), zip(pdf["x2"], pdf["y2"])))  # each end is left once and reached once
+    def chain(g: dict[str, np.ndarray]) -> tuple:
+        x, y, x2, y2 = (g[k].tolist() for k in ("x", "y", "x2", "y2"))
+        nxt = dict(zip(zip(x, y), zip(x2, y2)))  # each end is left once and reached once
         starts = set(nxt) - set(nxt.values())
         at = min(starts) if starts else min(nxt)
         points = [at]
         while at in nxt:
             at = nxt.pop(at)
             points.append(at)
-        length = sum(math.dist(a, b) for a, b in zip(points, points[1:]))
+        length = sum(math.dist(p, q) for p, q in zip(points, points[1:]))
         name = "POLYGON ((" if points[0] == points[-1] else "LINESTRING ("
-        text = name + ", ".join(f"{x!r} {y!r}" for x, y in points) + (")" * name.count("("))
-        return pd.DataFrame({"x": [points[0][0]], "y": [points[0][1]], "n_points": [len(points)], "closed": [points[0] == points[-1]], "length": [length], "wkt": [text]})
+        text = name + ", ".join(f"{p!r} {q!r}" for p, q in points) + ")" * name.count("(")
+        return *points[0], len(points), points[0] == points[-1], length, text
 
-    return held.groupBy("root").applyInPandas(chain, "x double, y double, n_points long, closed boolean, length double, wkt string")
+    return by_group(held, ["rx", "ry"], chain, "x double, y double, n_points long, closed boolean, length double, wkt string")
