@@ -210,8 +210,12 @@ add("distance_transform", lambda s, d: cells(L.raster_distance_transform(mask(s,
 add("fill_sinks", lambda s, d: cells(L.raster_fill_sinks(dem_n(s, d))))
 
 # --- grids
-_TARGET = GridSpec((0.75, 0.0, 2.0, 0.0, -1.5, -3.0), 60, 100)
-_DST = "d AS (SELECT (k // 60)::INT AS row, (k % 60)::INT AS col FROM range(0, 6000) t(k)), s AS (SELECT row, col, 0.75 * (col + 0.5) + 2 AS sx, 1.5 * (row + 0.5) + 3 AS sy FROM d)"
+# target grid and boxes follow the table's height, in the SQL too
+def whole_target(r: Raster) -> GridSpec:
+    return GridSpec((0.75, 0.0, 0.0, 0.0, -1.5, 0.0), int(np.ceil(r.meta.width / 0.75)), int(np.ceil(r.meta.height / 1.5)))
+
+
+_DST = "d AS (SELECT (k // 86)::INT AS row, (k % 86)::INT AS col FROM (SELECT unnest(range(0, (SELECT 86 * ceil((max(vec_id) + 1) / 1.5)::BIGINT FROM embeddings))) AS k)), s AS (SELECT row, col, 0.75 * (col + 0.5) AS sx, 1.5 * (row + 0.5) AS sy FROM d)"
 for _m, _tap in (("nearest", None), ("bilinear", "(0), (1)"), ("bicubic", "(-1), (0), (1), (2)")):
     if _tap is None:
         _sql = f"WITH g AS ({EMB_N}), {_DST} SELECT s.row, s.col, round(g.value, 6) AS value FROM s LEFT JOIN g ON g.row = floor(sy) AND g.col = floor(sx)"
@@ -223,18 +227,8 @@ for _m, _tap in (("nearest", None), ("bilinear", "(0), (1)"), ("bicubic", "(-1),
             f"p AS (SELECT t.row, t.col, abs(sx - floor(sx) - j) AS wx, abs(sy - floor(sy) - i) AS wy, g.value FROM t LEFT JOIN g ON g.row = floor(sy) + i AND g.col = floor(sx) + j) "
             f"SELECT row, col, round(CASE WHEN count(value) = {_n} THEN sum(value * {_w.format('wx')} * {_w.format('wy')}) END, 6) AS value FROM p GROUP BY row, col"
         )
-    add(f"resample_{_m}", lambda s, d, m=_m: cells(raster_resample(emb_n(s, d), _TARGET, m)), _sql)
-_BOXES = [(2.25 + 9 * i, 3.25 + 7 * j, 2.25 + 9 * i + 10.5, 3.25 + 7 * j + 5) for i in range(5) for j in range(8)]
-_WKT = [f"POLYGON (({x1} {y1}, {x2} {y1}, {x2} {y2}, {x1} {y2}, {x1} {y1}))" for x1, y1, x2, y2 in _BOXES]
-_GRID = GridSpec.from_bounds(0, 0, 64, 60, 1.0)
-_BOX_SQL = "b(feature, x1, y1, x2, y2) AS (VALUES " + ", ".join(f"({k}, {x1}, {y1}, {x2}, {y2})" for k, (x1, y1, x2, y2) in enumerate(_BOXES, 1)) + "), c AS (SELECT (k // 64)::INT AS row, (k % 64)::INT AS col FROM range(0, 3840) t(k)), u AS (SELECT row, col, max(feature) AS feature FROM c JOIN b ON col + 0.5 > x1 AND col + 0.5 <= x2 AND 60 - row - 0.5 >= y1 AND 60 - row - 0.5 < y2 GROUP BY row, col)"
-add("rasterize", lambda s, d: V.rasterize(s, _WKT, None, _GRID).df.select("row", "col", "value"), f"WITH {_BOX_SQL} SELECT row, col, feature::DOUBLE AS value FROM c LEFT JOIN u USING (row, col)")
-add("zonal_stats_polygons", lambda s, d: _r6(V.zonal_stats_polygons(s, _WKT, emb_n(s, d), ["count", "sum", "max"], _GRID), "sum").drop("zone"), f"WITH g AS ({EMB_N}), {_BOX_SQL} SELECT (feature - 1)::BIGINT AS feature_index, count(value)::DOUBLE AS count, round(sum(value), 6) AS sum, max(value) AS max FROM u JOIN g USING (row, col) WHERE value IS NOT NULL GROUP BY feature")
-
-
-# the same over all rows of the table: grid and boxes follow its height; no SQL, held against NumPy in tests/test_whole_table.py
-def whole_target(r: Raster) -> GridSpec:
-    return GridSpec((0.75, 0.0, 0.0, 0.0, -1.5, 0.0), int(np.ceil(r.meta.width / 0.75)), int(np.ceil(r.meta.height / 1.5)))
+    for _name in (f"resample_{_m}", f"resample_{_m}_whole"):
+        add(_name, lambda s, d, m=_m: (lambda r: cells(raster_resample(r, whole_target(r), m)))(emb_n(s, d)), _sql)
 
 
 def whole_boxes(r: Raster) -> list[tuple[float, float, float, float]]:
@@ -243,15 +237,31 @@ def whole_boxes(r: Raster) -> list[tuple[float, float, float, float]]:
     return [(w * i, h * j, w * (i + 1) + 1.5, h * (j + 1)) for i in range(5) for j in range(8)]
 
 
-def whole_zonal(r: Raster) -> DataFrame:
+def whole_polygons(r: Raster) -> tuple[list[str], GridSpec]:
     wkt = [f"POLYGON (({x1} {y1}, {x2} {y1}, {x2} {y2}, {x1} {y2}, {x1} {y1}))" for x1, y1, x2, y2 in whole_boxes(r)]
-    spec = GridSpec.from_bounds(0, 0, r.meta.width, r.meta.height, 1.0)
+    return wkt, GridSpec.from_bounds(0, 0, r.meta.width, r.meta.height, 1.0)
+
+
+def whole_rasterize(r: Raster) -> DataFrame:
+    wkt, spec = whole_polygons(r)
+    return V.rasterize(r.df.sparkSession, wkt, None, spec).df.select("row", "col", "value")
+
+
+def whole_zonal(r: Raster) -> DataFrame:
+    wkt, spec = whole_polygons(r)
     return _r6(V.zonal_stats_polygons(r.df.sparkSession, wkt, r, ["count", "sum", "max"], spec), "sum").drop("zone")
 
 
-for _m in ("nearest", "bilinear", "bicubic"):
-    add(f"resample_{_m}_whole", lambda s, d, m=_m: (lambda r: cells(raster_resample(r, whole_target(r), m)))(emb_n(s, d)))
-add("zonal_stats_polygons_whole", lambda s, d: whole_zonal(emb_n(s, d)))
+_BOX_SQL = (
+    "h AS (SELECT (max(vec_id) + 1)::DOUBLE AS h FROM embeddings), "
+    "b AS (SELECT 8 * i + j + 1 AS feature, 12.8::DOUBLE * i AS x1, (h / 8) * j AS y1, 12.8::DOUBLE * (i + 1) + 1.5 AS x2, (h / 8) * (j + 1) AS y2 FROM h, range(0, 5) t(i), range(0, 8) u(j)), "
+    "c AS (SELECT (k // 64)::INT AS row, (k % 64)::INT AS col, h - k // 64 - 0.5 AS y FROM (SELECT h, unnest(range(0, 64 * h::BIGINT)) AS k FROM h)), "
+    "u AS (SELECT row, col, max(feature) AS feature FROM c JOIN b ON col + 0.5 > x1 AND col + 0.5 <= x2 AND y >= y1 AND y < y2 GROUP BY row, col)"
+)
+_POLYGONS = f"WITH g AS ({EMB_N}), {_BOX_SQL} SELECT (feature - 1)::BIGINT AS feature_index, count(value)::DOUBLE AS count, round(sum(value), 6) AS sum, max(value) AS max FROM u JOIN g USING (row, col) WHERE value IS NOT NULL GROUP BY feature"
+add("rasterize", lambda s, d: whole_rasterize(emb(s, d)), f"WITH {_BOX_SQL} SELECT row, col, feature::DOUBLE AS value FROM c LEFT JOIN u USING (row, col)")
+for _name in ("zonal_stats_polygons", "zonal_stats_polygons_whole"):
+    add(_name, lambda s, d: whole_zonal(emb_n(s, d)), _POLYGONS)
 _REGION = f"SELECT row, col, floor(value / 25) AS value FROM ({_EV})"
 regions = lambda s, d: ev(s, d).with_value(F.floor(F.col("value") / 25))
 add("polygonize", lambda s, d: V.polygonize(regions(s, d)))
