@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -222,6 +220,23 @@ def raster_distance_transform(r: Raster) -> Raster:
     return r.derive(done.withColumn("value", F.nanvl("value", F.lit(None).cast("double"))), dtype="float64", nodata=float("nan") if r.meta.nodata is not None else None)
 
 
+def _spill(floor: np.ndarray, level: np.ndarray) -> None:
+    """Lower ``level`` to the least for which max(floor, least neighbour) <= level: sweeps down, up, right and left, a line
+    at a time, until none changes a cell."""
+    views = [(floor[::k], level[::k]) for k in (1, -1)] + [(floor.T[::k], level.T[::k]) for k in (1, -1)]
+    changed = True
+    while changed:
+        changed = False
+        for f, v in views:
+            for k in range(1, len(v)):
+                low = v[k - 1].copy()
+                np.minimum(low[1:], v[k - 1, :-1], out=low[1:])
+                np.minimum(low[:-1], v[k - 1, 1:], out=low[:-1])
+                new = np.minimum(v[k], np.maximum(f[k], low))
+                if (new < v[k]).any():
+                    v[k], changed = new, True
+
+
 def raster_fill_sinks(dem: Raster, tile: int = TILE) -> Raster:
     """Each inner cell gets the least level over which it spills to the border (8 neighbours); nodata is a barrier.
 
@@ -233,26 +248,14 @@ def raster_fill_sinks(dem: Raster, tile: int = TILE) -> Raster:
     state = cut(dem.df.where("value is not null").select("band", "row", "col", F.col("value").alias("z"), F.when(border, F.col("value")).otherwise(inf).alias("level")))
 
     def flood(pdf: pd.DataFrame) -> pd.DataFrame:
-        row, col = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-        z, level, own = pdf["z"].to_numpy(float), pdf["level"].to_numpy(float).copy(), pdf["own"].to_numpy()
-        at = {(a, b): k for k, (a, b) in enumerate(zip(row.tolist(), col.tolist()))}
-        heap = [(v, k) for k, v in enumerate(level.tolist()) if v < inf]
-        heapq.heapify(heap)
-        while heap:
-            v, k = heapq.heappop(heap)
-            if v > level[k]:
-                continue
-            a, b = int(row[k]), int(col[k])
-            for da in (-1, 0, 1):
-                for db in (-1, 0, 1):
-                    j = at.get((a + da, b + db))
-                    if j is not None and own[j]:
-                        new = max(z[j], v)
-                        if new < level[j]:
-                            level[j] = new
-                            heapq.heappush(heap, (new, j))
+        row, col, own = pdf["row"].to_numpy(), pdf["col"].to_numpy(), pdf["own"].to_numpy()
+        at = row - row.min(), col - col.min()
+        shape = at[0].max() + 1, at[1].max() + 1
+        z, level, fixed = np.full(shape, inf), np.full(shape, inf), np.ones(shape, dtype=bool)
+        z[at], level[at], fixed[at] = pdf["z"].to_numpy(float), pdf["level"].to_numpy(float), ~own
+        _spill(np.where(fixed, level, z), level)
         out = pdf.loc[own, ["band", "row", "col", "z"]].copy()
-        out["level"], out["old"] = level[own], pdf["level"].to_numpy(float)[own]
+        out["level"], out["old"] = level[at][own], pdf["level"].to_numpy(float)[own]
         return out
 
     while True:
