@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +22,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with row_id, written once: it tells rows apart whose doc_id is null or repeated."""
-    return cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_id")))
+    """``docs`` with row_id, which tells rows apart whose doc_id is null or repeated: a file's hash and the place in it. What
+    isn't read from files is written first, with a number."""
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        return docs.select(*COLUMNS, place.alias("row_id"))
+    except AnalysisException:  # no files behind it
+        return cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_id")))
 
 
 def _as_ids(docs: DataFrame) -> DataFrame:
