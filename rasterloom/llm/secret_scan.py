@@ -5,9 +5,9 @@ grows: a row says which rules (name and version) were run on a blob, and what th
 
 1. addresses all versions, without shuffling a text;
 2. takes from the ledger which of today's rules have seen which of these blobs; what is left are the unseen pairs;
-3. reads one text of each blob that has unseen pairs (its row is named by its place in the files; the list of rows is
-   broadcast if it takes at most ``broadcast_bytes``, counted, else texts and list meet in a join on that place, which no
-   two rows share, so there is no hot key) and runs its unseen rules on it;
+3. reads one text of each blob that has unseen pairs and runs its unseen rules on it. A row is named by its place in the
+   files; texts and the written list of rows meet in a join on that place, which no two rows share, so there is no hot key.
+   Spark knows the list's size and broadcasts it if it is below its threshold, as it is where little is new;
 4. appends one row a scanned blob to the ledger. A row is whole in itself, so what a lost append has left behind is
    neither wrong nor scanned again;
 5. joins the findings of today's rules back to all versions. A hot blob has one row there; Spark can split the
@@ -58,7 +58,6 @@ RULES = BASE_RULES + MORE_RULES
 FOUND = "array<struct<start: long, end: long, rule: string, rule_version: int, secret_sha256: string>>"
 LEDGER = f"blob binary, rules array<struct<rule: string, rule_version: int>>, findings {FOUND}"
 _MATCHES = "array<struct<number: int, nth: int, before: int, chars: int, secret_sha256: string>>"
-_ENTRY = 96  # bytes that a row to read takes in a broadcast table
 
 
 def placed(versions: DataFrame) -> DataFrame:
@@ -119,7 +118,7 @@ def _unseen(blobs: DataFrame, known: DataFrame, rules: tuple[Rule, ...]) -> Data
     return blobs.join(seen, "blob", "left").withColumn("todo", todo).drop("seen").where(F.size("todo") > 0)
 
 
-def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, broadcast_bytes: int = 8 << 20) -> DataFrame:
+def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Bring ``ledger`` (a path) up to date with ``versions`` (path, version, text) and ``rules``, then return path,
     version, blob, findings for each of the versions; ``findings`` is empty where there are none, and is in the order of
     start, end and rule. Findings hold the digest of the secret, never the secret."""
@@ -128,8 +127,7 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, broa
     addressed = cut(rows.select("path", "version", "file", "at", F.unhex(F.sha2("text", 256)).alias("blob")))
     blobs = addressed.groupBy("blob").agg(F.min(F.struct("file", "at")).alias("one")).select("blob", "one.*")
     todo = cut(_unseen(blobs, read_ledger(spark, ledger), rules))
-    few = todo.count() * _ENTRY <= broadcast_bytes
-    texts = rows.select("file", "at", "text").join(F.broadcast(todo) if few else todo.hint("merge"), ["file", "at"])
+    texts = rows.select("file", "at", "text").join(todo, ["file", "at"])
     names = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("rule_version")) for r in rules))
     done = todo.join(found_in(texts, rules), "blob", "left").select(
         "blob", F.transform("todo", lambda k: F.element_at(names, k + 1)).alias("rules"), F.coalesce("findings", F.array().cast(FOUND)).alias("findings")

@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.llm import secret_scan as S
@@ -65,7 +66,7 @@ def test_ledger_grows_by_what_is_new(spark, tmp_path):
     assert pairs == sorted((blob(t), r.name, 1) for t in (TEXTS[1], TEXTS[4], "") for r in rules)
     # a second version, a copy under another path, and nothing else to scan
     second = first + [("a", 2, TEXTS[5]), ("e", 1, TEXTS[4])]
-    got = {(r.path, r.version): len(r.findings) for r in S.scan(versions(spark, second), ledger, rules, broadcast_bytes=0).collect()}
+    got = {(r.path, r.version): len(r.findings) for r in S.scan(versions(spark, second), ledger, rules).collect()}
     assert scanned(spark, ledger) == sorted(pairs + [(blob(TEXTS[5]), r.name, 1) for r in rules])
     assert got[("e", 1)] == got[(None, None)] == len(spans(TEXTS[4], rules).split(",")) and got[("c", 1)] == 0
     before = len(scanned(spark, ledger))
@@ -90,9 +91,12 @@ def test_two_scans_at_once(spark, tmp_path):
     assert once == twice and len(once) == 4
 
 
-def test_files_and_empty_tables(spark, tmp_path):
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_files_and_empty_tables(spark, tmp_path, threshold):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)  # a broadcast list of rows, or a join
     path = str(tmp_path / "docs")
     versions(spark, [(str(k), 1, t) for k, t in TEXTS.items()]).repartition(3).write.parquet(path)
-    got = S.scan(spark.read.parquet(path), str(tmp_path / "l1"), broadcast_bytes=0)
+    got = S.scan(spark.read.parquet(path), str(tmp_path / "l1"))
     assert {r.path: r.said for r in got.select("path", S.joined(F.col("findings"), S.RULES).alias("said")).collect()} == {str(k): spans(t, S.RULES) for k, t in TEXTS.items()}
     assert S.scan(versions(spark, []), str(tmp_path / "l2")).count() == 0
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
