@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import math
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from enum import Enum
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -127,15 +129,32 @@ class PolygonizeSpec:
 
 @dataclass
 class Raster:
-    """Pixels and metadata. ``events`` lists what was done, for ``report``."""
+    """Pixels and metadata. ``events`` lists what was done, for ``report``.
+
+    A raster whose values are a projection of another frame's carries that frame, ``root``, and the projection,
+    ``step``, so that rasters of one root can be computed side by side in one pass instead of being joined (``together``).
+    ``step`` maps a frame of band, row, col, the root's value and columns to keep to the same with this raster's value.
+    """
 
     df: DataFrame
     meta: RasterMeta
     events: list[str] = field(default_factory=list)
+    root: DataFrame | None = None
+    step: Callable[[DataFrame, list[str]], DataFrame] | None = None
+
+    @property
+    def source(self) -> DataFrame:
+        return self.df if self.root is None else self.root
 
     def with_value(self, value: Column, **meta) -> Raster:
         """The same grid with another value; inf and NaN become nodata."""
-        return Raster(self.df.select("band", "row", "col", clean(value).alias("value")), replace(self.meta, **meta), [*self.events])
+        out = clean(value).alias("value")
+
+        def step(frame: DataFrame, kept: list[str]) -> DataFrame:
+            own = frame if self.step is None else self.step(frame, kept)
+            return own.select("band", "row", "col", *kept, out)
+
+        return Raster(self.df.select("band", "row", "col", out), replace(self.meta, **meta), [*self.events], self.source, step)
 
     def derive(self, df: DataFrame, **meta) -> Raster:
         return Raster(df.select("band", "row", "col", "value"), replace(self.meta, **meta), [*self.events])
@@ -185,6 +204,38 @@ class Raster:
         return self
 
 
+_names = count()
+
+
+def one_source(rasters: list[Raster]) -> bool:
+    """Whether all values are projections of one frame, be it one object or two that mean the same."""
+    first = rasters[0].source
+    return all(r.source is first or r.source.sameSemantics(first) for r in rasters[1:])
+
+
+def beside(frame: DataFrame, kept: list[str], rasters: list[Raster], names: list[str]) -> DataFrame:
+    """``frame`` of band, row, col, a source's value and ``kept``; instead of the value each raster's, under its name."""
+    source, done = f"source_{next(_names)}", []
+    frame = frame.select("band", "row", "col", *kept, F.col("value").alias(source))
+    for r, name in zip(rasters, names):
+        keep = [*kept, *done, source]
+        own = frame.select("band", "row", "col", *keep, F.col(source).alias("value"))
+        frame = (own if r.step is None else r.step(own, keep)).select("band", "row", "col", *keep, F.col("value").alias(name))
+        done.append(name)
+    return frame.drop(source)
+
+
+def combined(rasters: list[Raster], value: Callable[..., Column], meta: RasterMeta) -> Raster:
+    """Of rasters of one source: the raster of ``value`` of their values, without a join, and itself of that source."""
+    out = lambda names: clean(value(*(F.col(n) for n in names))).alias("value")
+
+    def step(frame: DataFrame, kept: list[str]) -> DataFrame:
+        names = [f"value_{next(_names)}" for _ in rasters]
+        return beside(frame, kept, rasters, names).select("band", "row", "col", *kept, out(names))
+
+    return Raster(step(rasters[0].source, []), meta, [], rasters[0].source, step)
+
+
 def result_dtype(*metas: RasterMeta) -> str:
     """NumPy's result type; of integers the widest, since values are computed exactly and never wrap."""
     t = np.result_type(*(np.dtype(m.dtype) for m in metas))

@@ -13,12 +13,13 @@ from .model import GridSpec, Raster, RasterWindow, stack_bands
 from .operators import algebra as A
 from .operators import focal as N
 from .operators import regions as L
+from .operators import tiles as TL
 from .operators import vector as V
 from .operators import zonal as Z
 from .operators.resample import raster_resample
 from .plans import tiling as T
 from .plans.lineage import new_path
-from .sources import io
+from .sources import io, tile_tables
 from .sources import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,6 +118,43 @@ add("read_window_file", lambda s, d: cells(io.read_raster(s, stored(s, d), windo
 add("process_raster", lambda s, d: cells(processed(s, d)), f"WITH g AS ({EMB_N}) SELECT row, col, round(value * 2 + 1, 6) AS value FROM g")
 add("nodata_mask", lambda s, d: emb_n(s, d).nodata_mask().select("row", "col", "value"), f"WITH g AS ({EMB_N}) SELECT row, col, value IS NULL AS value FROM g")
 
+
+
+def stored_tiff(spark: SparkSession, sf_dir: str) -> str:
+    path = new_path(spark, "tiff") + ".tif"
+    io.write_raster(path, emb_n(spark, sf_dir))
+    return path
+
+
+def two_bands(spark: SparkSession, sf_dir: str) -> Raster:
+    """Price and size in whole numbers, from the second and first band of a file. Cells without a row read as 0, since there is no sentinel."""
+    path = new_path(spark, "tiff") + ".tif"
+    io.write_raster(path, A.raster_apply(S.parts(spark, sf_dir), lambda v: F.round(v), dtype="int32"))
+    return io.read_raster(spark, path, bands=[2, 1])
+
+
+add("read_window_tiff", lambda s, d: cells(io.read_raster(s, stored_tiff(s, d), window=RasterWindow(8, 20, 20, 30))), f"WITH g AS ({EMB_N}) SELECT row - 20 AS row, col - 8 AS col, round(value, 6) AS value FROM g WHERE row BETWEEN 20 AND 49 AND col BETWEEN 8 AND 27")
+add("write_tiff_round_trip", lambda s, d: cells(io.read_raster(s, stored_tiff(s, d))), f"WITH g AS ({EMB_N}) SELECT row, col, round(value, 6) AS value FROM g")
+add("read_tiff_bands", lambda s, d: two_bands(s, d).df.where(F.col("value").isNotNull() & (F.col("value") != 0)), f"WITH g AS ({_PART}) SELECT 1 AS band, row, col, round(b2) AS value FROM g UNION ALL SELECT 2, row, col, b1 FROM g")
+
+
+# --- tile rows: tables bucketed by tile, joined where they lie
+def tile_table(r: Raster, tile: tuple[int, int] = (64, 32), buckets: int = 4) -> TL.TileRaster:
+    path = new_path(r.df.sparkSession, "tiles")
+    tile_tables.write_tiles(path, TL.to_tiles(r, tile), buckets)
+    return tile_tables.read_tiles(r.df.sparkSession, path)
+
+
+for _name, _op, _sql in (("add", A.raster_add, "value + y"), ("subtract", A.raster_subtract, "value - y"), ("multiply", A.raster_multiply, "value * y"), ("divide", A.raster_divide, "CASE WHEN y <> 0 THEN value / y END")):
+    add(f"tiles_{_name}", lambda s, d, f=_op: cells(TL.to_pixels(f(tile_table(emb_n(s, d)), tile_table(S.emb_zones(s, d))))), f"WITH g AS ({EMB_N}), z AS (SELECT vec_id::INT AS row, label AS y FROM embeddings) SELECT row, col, round({_sql}, 6) AS value FROM g JOIN z USING (row)")
+add("tiles_apply", lambda s, d: cells(TL.to_pixels(A.raster_apply(tile_table(emb_n(s, d)), lambda v: v * v + 1))), f"WITH g AS ({EMB_N}) SELECT row, col, round(value * value + 1, 6) AS value FROM g")
+add("tiles_summary", lambda s, d: TL.summary(tile_table(emb_n(s, d))).select("band", "n", F.round("total", 4).alias("total"), "least", "most"), f"WITH g AS ({EMB_N}) SELECT 1 AS band, count(value) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most FROM g")
+
+# --- values of one source: projections, no join
+_f, _g = (lambda r: A.raster_apply(r, lambda v: v * 2 + 1)), (lambda r: A.raster_apply(r, lambda v: F.sqrt(F.abs(v))))
+add("deferred_add", lambda s, d: (lambda r: cells(A.raster_subtract(A.raster_add(_f(r), _g(r)), r)))(emb_n(s, d)), f"WITH g AS ({EMB_N}) SELECT row, col, round(value * 2 + 1 + sqrt(abs(value)) - value, 6) AS value FROM g")
+add("deferred_expression", lambda s, d: (lambda r: cells(A.raster_expression("a / 2 - b * c", a=_f(r), b=_g(r), c=r)))(emb_n(s, d)), f"WITH g AS ({EMB_N}) SELECT row, col, round((value * 2 + 1) / 2 - sqrt(abs(value)) * value, 6) AS value FROM g")
+
 # --- neighbourhoods
 def around(grid: str, ry: int, rx: int) -> str:
     return f"g AS ({grid}), o AS (SELECT x AS dr, y AS dc FROM range({-ry}, {ry + 1}) t(x), range({-rx}, {rx + 1}) u(y)), p AS (SELECT g.row, g.col, g.value AS c, dr, dc, h.value AS v FROM g, o JOIN g h ON h.row = g.row + dr AND h.col = g.col + dc)"
