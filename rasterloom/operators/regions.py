@@ -1,4 +1,4 @@
-"""Labels, sieve, morphology, distance, sinks."""
+"""Labels, sieve, morphology, distance."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from ..model import Raster
 from ..plans.lineage import cut
 from .components import components
 from .focal import weighted
+from .sinks import raster_fill_sinks  # noqa: F401
 
 TILE = 256
 _NEAR = {4: [(0, 1), (1, 0)], 8: [(0, 1), (1, 0), (1, 1), (1, -1)]}
@@ -218,57 +219,3 @@ def raster_distance_transform(r: Raster) -> Raster:
     part = r.df.withColumn("g", gap).select("band", "row", "col", "g", F.col("value").isNull().alias("hole"), F.floor(F.col("row") / some).alias("part"))
     done = part.groupBy("band", "part").applyInPandas(lines, "band int, row int, col int, value double")
     return r.derive(done.withColumn("value", F.nanvl("value", F.lit(None).cast("double"))), dtype="float64", nodata=float("nan") if r.meta.nodata is not None else None)
-
-
-def _spill(floor: np.ndarray, level: np.ndarray) -> None:
-    """Lower ``level`` to the least for which max(floor, least neighbour) <= level: sweeps down, up, right and left, a line
-    at a time, until none changes a cell."""
-    views = [(floor[::k], level[::k]) for k in (1, -1)] + [(floor.T[::k], level.T[::k]) for k in (1, -1)]
-    changed = True
-    while changed:
-        changed = False
-        for f, v in views:
-            for k in range(1, len(v)):
-                low = v[k - 1].copy()
-                np.minimum(low[1:], v[k - 1, :-1], out=low[1:])
-                np.minimum(low[:-1], v[k - 1, 1:], out=low[:-1])
-                new = np.minimum(v[k], np.maximum(f[k], low))
-                if (new < v[k]).any():
-                    v[k], changed = new, True
-
-
-def raster_fill_sinks(dem: Raster, tile: int = TILE) -> Raster:
-    """Each inner cell gets the least level over which it spills to the border (8 neighbours); nodata is a barrier.
-
-    Tiles are flooded on their own with their neighbours' present levels around them, until no tile changes.
-    """
-    h, w = dem.meta.height, dem.meta.width
-    inf = float("inf")
-    border = (F.col("row") == 0) | (F.col("row") == h - 1) | (F.col("col") == 0) | (F.col("col") == w - 1)
-    state = cut(dem.df.where("value is not null").select("band", "row", "col", F.col("value").alias("z"), F.when(border, F.col("value")).otherwise(inf).alias("level")))
-
-    def flood(pdf: pd.DataFrame) -> pd.DataFrame:
-        row, col, own = pdf["row"].to_numpy(), pdf["col"].to_numpy(), pdf["own"].to_numpy()
-        at = row - row.min(), col - col.min()
-        shape = at[0].max() + 1, at[1].max() + 1
-        z, level, fixed = np.full(shape, inf), np.full(shape, inf), np.ones(shape, dtype=bool)
-        z[at], level[at], fixed[at] = pdf["z"].to_numpy(float), pdf["level"].to_numpy(float), ~own
-        _spill(np.where(fixed, level, z), level)
-        out = pdf.loc[own, ["band", "row", "col", "z"]].copy()
-        out["level"], out["old"] = level[at][own], pdf["level"].to_numpy(float)[own]
-        return out
-
-    while True:
-        # a cell also goes to the tiles it touches, as their surroundings
-        near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-        spread = state.withColumn("a", near).withColumn("b", near).withColumns({
-            "trow": F.floor((F.col("row") + F.col("a")) / tile).cast("int"), "tcol": F.floor((F.col("col") + F.col("b")) / tile).cast("int")
-        }).dropDuplicates(["band", "row", "col", "trow", "tcol"])
-        own = (F.floor(F.col("row") / tile) == F.col("trow")) & (F.floor(F.col("col") / tile) == F.col("tcol"))
-        spread = spread.where((F.col("trow") >= 0) & (F.col("tcol") >= 0)).withColumn("own", own)
-        done = cut(spread.groupBy("band", "trow", "tcol").applyInPandas(flood, "band int, row int, col int, z double, level double, old double"))
-        state = done.select("band", "row", "col", "z", "level")
-        if done.where("level <> old").isEmpty():
-            break
-    filled = state.select("band", "row", "col", "level")
-    return dem.derive(dem.df.join(filled, ["band", "row", "col"], "left").withColumn("value", F.col("level")))

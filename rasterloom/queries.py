@@ -245,7 +245,14 @@ _DISK = ", ".join(f"({i}, {j})" for i in range(-2, 3) for j in range(-2, 3) if i
 add("morphology_disk", lambda s, d: cells(L.raster_morphology(mask(s, d), "dilate", structuring_element=L.make_structuring_element("disk", 2))), f"WITH g AS ({_MASK}), o(dr, dc) AS (VALUES {_DISK}) SELECT a.row, a.col, CASE WHEN sum(h.value) > 0 THEN 1.0 ELSE 0.0 END AS value FROM g a, o JOIN g h ON h.row = a.row + dr AND h.col = a.col + dc GROUP BY a.row, a.col")
 _GAP = "least(row - max(CASE WHEN value <> 0 THEN row END) OVER (PARTITION BY col ORDER BY row), min(CASE WHEN value <> 0 THEN row END) OVER (PARTITION BY col ORDER BY row DESC) - row)"
 add("distance_transform", lambda s, d: cells(L.raster_distance_transform(mask(s, d))), f"WITH g AS ({_MASK}), c AS (SELECT row, col, {_GAP} AS gap FROM g) SELECT a.row, a.col, round(sqrt(min((a.col - b.col) * (a.col - b.col) + b.gap * b.gap)), 6) AS value FROM c a JOIN c b ON a.row = b.row WHERE b.gap IS NOT NULL GROUP BY a.row, a.col")
-add("fill_sinks", lambda s, d: cells(L.raster_fill_sinks(dem_n(s, d))))
+_SINKS = (
+    f"WITH RECURSIVE g AS ({DEM_N}), b AS (SELECT max(row) AS r, max(col) AS c FROM g), o AS (SELECT x AS dr, y AS dc FROM range(-1, 2) t(x), range(-1, 2) u(y)), "
+    "f(row, col, level) USING KEY (row, col) AS (SELECT row, col, value FROM g, b WHERE value IS NOT NULL AND (row IN (0, r) OR col IN (0, c)) UNION "
+    "SELECT n.row, n.col, min(greatest(n.value, f.level)) FROM f CROSS JOIN o JOIN g n ON n.row = f.row + dr AND n.col = f.col + dc LEFT JOIN recurring.f k ON k.row = n.row AND k.col = n.col "
+    "WHERE n.value IS NOT NULL AND (k.level IS NULL OR greatest(n.value, f.level) < k.level) GROUP BY n.row, n.col) "
+    "SELECT row, col, round(CASE WHEN value IS NOT NULL THEN coalesce(level, 'inf'::DOUBLE) END, 6) AS value FROM g LEFT JOIN f USING (row, col)"
+)
+add("fill_sinks", lambda s, d: cells(L.raster_fill_sinks(dem_n(s, d))), _SINKS)
 
 # --- grids
 # target grid and boxes follow the table's height, in the SQL too
