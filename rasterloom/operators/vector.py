@@ -8,13 +8,13 @@ import warnings
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import GridSpec, PolygonizeSpec, Raster, RasterMeta, grid, invert_affine, one_band
 from ..plans.lineage import cut
-from .components import components
 from .regions import region_roots
+from .rings import corner, lines_of_edges, rings_of_sides
 from .zonal import stat_names, zonal_aggregate
 
 Ring = list[tuple[float, float]]
@@ -234,48 +234,77 @@ def limit_polygons(polygons: DataFrame, most: int) -> DataFrame:
     return polygons
 
 
-def contour_edges(r: Raster, level: float) -> DataFrame:
-    """Marching squares around the cells equal to ``level``: x1, y1, x2, y2 between midpoints of cell sides."""
+def polygon_rings(r: Raster, spec: PolygonizeSpec | None = None, tile: int = 256, few: int = 1_000_000) -> DataFrame:
+    """The corners of all regions' rings in order: band, region, value, ring, rank, x, y. No task holds a ring."""
+    spec = spec or PolygonizeSpec()
     a, b, c, d, e, f = r.meta.affine
+    sides = rings_of_sides(border_sides(cut(region_roots(r, spec.connectivity, by_value=True))), r.meta.height, r.meta.width, spec.connectivity == 8, tile, few)
+    x, y = corner(F.col("side"), F.col("row"), F.col("col"))
+    return sides.where("turns").select("band", F.col("root").alias("region"), "value", "ring", "rank", (x * a + y * b + c).alias("x"), (x * d + y * e + f).alias("y"))
+
+
+def polygon_measures(r: Raster, spec: PolygonizeSpec | None = None, tile: int = 256, few: int = 1_000_000) -> DataFrame:
+    """band, region, value, n_cells, n_rings, perimeter (sides of cells) and area of each region: sums over its rings' sides."""
+    spec = spec or PolygonizeSpec()
+    a, b, _, d, e, _ = r.meta.affine
+    sides = rings_of_sides(border_sides(cut(region_roots(r, spec.connectivity, by_value=True))), r.meta.height, r.meta.width, spec.connectivity == 8, tile, few)
+    x, y = corner(F.col("side"), F.col("row").cast("long"), F.col("col").cast("long"))
+    turned = F.when(F.col("side") == 1, x).when(F.col("side") == 3, -x).when(F.col("side") == 0, -y).otherwise(y)  # twice the area towards the origin
+    got = sides.groupBy("band", F.col("root").alias("region"), "value").agg(F.sum(turned).alias("twice"), F.sum((F.col("rank") == 0).cast("long")).alias("n_rings"), F.count(F.lit(1)).alias("perimeter"))
+    cells = F.expr("twice div 2")
+    return got.select("band", "region", "value", cells.alias("n_cells"), "n_rings", "perimeter", (cells * abs(a * e - b * d)).alias("area"))
+
+
+def _contour_pieces(r: Raster, level: float) -> DataFrame:
+    """id, r, c, x1, y1, x2, y2 of marching squares around the cells equal to ``level``: ends in half cells, whole numbers."""
     hot = F.when(F.col("value") == level, 1).otherwise(0)
     on = r.df.where(F.col("value") == level).select("row", "col", hot.alias("on"))
-    corner = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(bit).alias("bit")) for i, j, bit in ((0, 0, 8), (0, -1, 4), (-1, -1, 2), (-1, 0, 1)))))
+    squares_of = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(bit).alias("bit")) for i, j, bit in ((0, 0, 8), (0, -1, 4), (-1, -1, 2), (-1, 0, 1)))))
     # each cell is the top-left, top-right, bottom-right and bottom-left corner of four squares
-    squares = on.select("row", "col", corner.alias("k")).select((F.col("row") + F.col("k.i")).alias("r"), (F.col("col") + F.col("k.j")).alias("c"), "k.bit").groupBy("r", "c").agg(F.sum("bit").alias("case"))
-    top, right, bottom, left = (0.5, 0.0), (1.0, 0.5), (0.5, 1.0), (0.0, 0.5)
+    squares = on.select("row", "col", squares_of.alias("k")).select((F.col("row") + F.col("k.i")).alias("r"), (F.col("col") + F.col("k.j")).alias("c"), "k.bit").groupBy("r", "c").agg(F.sum("bit").alias("case"))
+    top, right, bottom, left = (1, 0), (2, 1), (1, 2), (0, 1)
     table = {8: [(left, top)], 4: [(top, right)], 2: [(right, bottom)], 1: [(bottom, left)], 12: [(left, right)], 6: [(top, bottom)], 3: [(right, left)], 9: [(bottom, top)], 10: [(left, top), (right, bottom)], 5: [(top, right), (bottom, left)], 14: [(left, bottom)], 13: [(bottom, right)], 11: [(right, top)], 7: [(top, left)]}
     lines = F.lit(None)
     for k, ends in table.items():
-        made = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("u1", "v1", "u2", "v2"), (*p, *q)))) for p, q in ends))
+        made = F.array(*(F.struct(F.lit(n).alias("n"), *(F.lit(v).alias(name) for name, v in zip(("u1", "v1", "u2", "v2"), (*p, *q)))) for n, (p, q) in enumerate(ends)))
         lines = F.when(F.col("case") == k, made).otherwise(lines)
-    got = squares.where(F.col("case") != 15).select("r", "c", F.explode(lines).alias("s"))
-    x = lambda u, v: (F.col("c") + 0.5 + F.col(u)) * a + (F.col("r") + 0.5 + F.col(v)) * b + c
-    y = lambda u, v: (F.col("c") + 0.5 + F.col(u)) * d + (F.col("r") + 0.5 + F.col(v)) * e + f
-    return got.select(x("s.u1", "s.v1").alias("x1"), y("s.u1", "s.v1").alias("y1"), x("s.u2", "s.v2").alias("x2"), y("s.u2", "s.v2").alias("y2"))
-
-
-def contour_rings(r: Raster, level: float) -> DataFrame:
-    """The edges of ``contour_edges`` chained to rings: x, y (its first point), n_points, closed, length, wkt.
-
-    Connected edges are found by components over their ends; each chain is then put in order in one task, which holds
-    that ring alone. Chains that end at the raster's border are not closed."""
-    ends = contour_edges(r, level).select(*(F.round(x, 9).alias(x) for x in ("x1", "y1", "x2", "y2")))
-    edges = cut(ends.select(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")).alias("u"), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")).alias("v")))
-    roots = components(edges)
-    held = edges.join(roots.withColumnRenamed("node", "u"), "u").select(F.col("root.x").alias("rx"), F.col("root.y").alias("ry"), "u.x", "u.y", F.col("v.x").alias("x2"), F.col("v.y").alias("y2"))
-
-    def chain(g: dict[str, np.ndarray]) -> tuple:
-        x, y, x2, y2 = (g[k].tolist() for k in ("x", "y", "x2", "y2"))
-        nxt = dict(zip(zip(x, y), zip(x2, y2)))  # each end is left once and reached once
-        starts = set(nxt) - set(nxt.values())
-        at = min(starts) if starts else min(nxt)
-        points = [at]
-        while at in nxt:
-            at = nxt.pop(at)
-            points.append(at)
-        length = sum(math.dist(p, q) for p, q in zip(points, points[1:]))
-        name = "POLYGON ((" if points[0] == points[-1] else "LINESTRING ("
-        text = name + ", ".join(f"{p!r} {q!r}" for p, q in points) + ")" * name.count("(")
-        return *points[0], len(points), points[0] == points[-1], length, text
-
-    return by_group(held, ["rx", "ry"], chain, "x double, y double, n_points long, closed boolean, length double, wkt string")
+    row, col = F.col("r").cast("long"), F.col("c").cast("long")
+    return squares.where(F.col("case") != 15).select("r", "c", F.explode(lines).alias("s")).select(
+        (((row + 1) * (r.meta.width + 2) + col + 1) * 2 + F.col("s.n")).alias("id"), "r", "c",
+        (2 * col + F.col("s.u1")).alias("x1"), (2 * row + F.col("s.v1")).alias("y1"), (2 * col + F.col("s.u2")).alias("x2"), (2 * row + F.col("s.v2")).alias("y2"),
+    )
+
+
+def _world(r: Raster, x: str, y: str) -> tuple[Column, Column]:
+    """Coordinates of a point in half cells between cell centres."""
+    a, b, c, d, e, f = r.meta.affine
+    u, v = (F.col(x) + 1) / 2, (F.col(y) + 1) / 2
+    return u * a + v * b + c, u * d + v * e + f
+
+
+def contour_edges(r: Raster, level: float) -> DataFrame:
+    """Marching squares around the cells equal to ``level``: x1, y1, x2, y2 between midpoints of cell sides."""
+    ends = [c.alias(n) for k in "12" for c, n in zip(_world(r, f"x{k}", f"y{k}"), (f"x{k}", f"y{k}"))]
+    return _contour_pieces(r, level).select(*ends)
+
+
+def contour_lines(r: Raster, level: float, tile: int = 256, few: int = 1_000_000) -> DataFrame:
+    """The edges of ``contour_edges`` in order: ring, rank, x1, y1, x2, y2. No task holds a line."""
+    lines = lines_of_edges(_contour_pieces(r, level), tile, few)
+    ends = [c.alias(n) for k in "12" for c, n in zip(_world(r, f"x{k}", f"y{k}"), (f"x{k}", f"y{k}"))]
+    return lines.select("ring", "rank", *ends, F.struct("x1", "y1").alias("begin"), F.struct("x2", "y2").alias("end"))
+
+
+def contour_rings(r: Raster, level: float, tile: int = 256, few: int = 1_000_000) -> DataFrame:
+    """A row a line of ``contour_lines``: x, y (its first point), n_points, closed, length, wkt. Lines that end at the raster's
+    border are not closed. The line's text is one value, which is all that a task holds of it."""
+    lines = contour_lines(r, level, tile, few)
+    length = F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2)
+    point = lambda x, y: F.concat_ws(" ", x, y)
+    got = lines.groupBy("ring").agg(
+        F.min_by(F.struct("x1", "y1", "begin"), "rank").alias("first"), F.max_by(F.struct("x2", "y2", "end"), "rank").alias("last"), F.count(F.lit(1)).alias("n"), F.sum(length).alias("length"),
+        F.sort_array(F.collect_list(F.struct("rank", point("x2", "y2").alias("said")))).alias("points"),
+    )
+    closed = (F.col("first.begin.x1") == F.col("last.end.x2")) & (F.col("first.begin.y1") == F.col("last.end.y2"))
+    text = F.concat(F.when(closed, "POLYGON ((").otherwise("LINESTRING ("), point("first.x1", "first.y1"), F.lit(", "), F.array_join(F.transform("points", lambda p: p["said"]), ", "), F.when(closed, "))").otherwise(")"))
+    return got.select(F.col("first.x1").alias("x"), F.col("first.y1").alias("y"), (F.col("n") + 1).alias("n_points"), closed.alias("closed"), "length", text.alias("wkt"))
