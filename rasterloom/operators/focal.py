@@ -1,14 +1,18 @@
-"""Neighbourhood operators by window functions: along rows, then along columns. Two shuffles, no replicated pixels."""
+"""Neighbourhood operators by window functions: along rows, then along columns. Two shuffles, no replicated pixels. Large kernels
+and windows of different values go by tiles with their surroundings (``blocks``)."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..model import Raster, clean
+from ..plans import tiling
+from .blocks import convolved, sliding_distinct
 
 
 def along_row() -> WindowSpec:
@@ -76,11 +80,26 @@ def weighted(df: DataFrame, kernel: np.ndarray, value: Column, weight_of: Column
     })
 
 
-def raster_convolve(r: Raster, kernel: np.ndarray) -> Raster:
-    """Normalised correlation: sum(v * w) / sum(w) over valid cells inside; sum(w) <= 0 gives nodata (0 without sentinel)."""
+def _by_tiles(r: Raster, fn: Callable[[np.ndarray], np.ndarray], halo: int) -> Raster:
+    """``fn`` of tiles with ``halo`` cells around, four times as wide as that or 256 cells."""
+    side = max(256, 4 * halo)
+    return tiling.dispatch_tiled(r, lambda a, _: fn(a), tiling.RasterPlan(tiling.TilingStrategy.TILED, (side, side), halo=halo))
+
+
+def raster_convolve(r: Raster, kernel: np.ndarray, direct: int = 225) -> Raster:
+    """Normalised correlation: sum(v * w) / sum(w) over valid cells inside; sum(w) <= 0 gives nodata (0 without sentinel).
+    Kernels of over ``direct`` cells are transformed, tile by tile; they agree with sums to rounding of a tile's largest value."""
     kernel = np.asarray(kernel, dtype=float)
     if kernel.ndim != 2:
         raise ValueError("the kernel has two dimensions")
+    if kernel.size > direct:
+        empty = np.nan if r.meta.nodata is not None else 0.0
+
+        def run(a: np.ndarray) -> np.ndarray:
+            num, den = convolved(a, kernel)
+            return np.where(np.isnan(a), np.nan, np.divide(num, den, out=np.full(a.shape, empty), where=den > 0))
+
+        return r.derive(_by_tiles(r, run, max(kernel.shape) // 2 + 1).df, dtype="float64")
     v = F.col("value")
     df = weighted(r.df, kernel, F.coalesce(v, F.lit(0.0)), v.isNotNull().cast("double"))
     otherwise = F.lit(None) if r.meta.nodata is not None else F.lit(0.0)
@@ -137,8 +156,12 @@ def raster_focal_range(r: Raster, radius=1) -> Raster:
     return _focal(r, radius, {"lo": F.min("value"), "hi": F.max("value")}, {"lo2": F.min("lo"), "hi2": F.max("hi")}, F.col("hi2") - F.col("lo2"))
 
 
-def raster_focal_variety(r: Raster, radius=1) -> Raster:
-    """Number of different values."""
+def raster_focal_variety(r: Raster, radius=1, direct: int = 49) -> Raster:
+    """Number of different values. Windows of over ``direct`` cells slide over tiles, at a cost that doesn't follow them."""
+    ry, rx = parse_radius(radius)
+    if (2 * ry + 1) * (2 * rx + 1) > direct:
+        got = _by_tiles(r, lambda a: np.where(np.isnan(a), np.nan, sliding_distinct(a, ry, rx)), max(ry, rx))
+        return r.derive(got.df, dtype="float64")
     sets = {"s": F.collect_set("value")}, {"s2": F.collect_list("s")}
     return _focal(r, radius, *sets, F.size(F.array_distinct(F.flatten("s2"))).cast("double"))
 

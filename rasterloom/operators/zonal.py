@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import Raster, ZonalSpec, ZonalStatistic
+from ..plans.lineage import cut
 
 _AGG = {
     "count": lambda v: F.count(v).cast("double"), "sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_pop, "median": F.median,
@@ -31,13 +32,82 @@ def zonal_stats(zones: Raster, values: Raster, stats=None) -> DataFrame:
 
 
 def zonal_aggregate(both: DataFrame, names: list[str], bands: int = 1) -> DataFrame:
-    """Statistics of zone, band, value rows in one pass over all bands."""
+    """Statistics of zone, band, value rows in one pass over all bands; medians of large zones by selection beside it."""
+    if "median" in names and _largest(both, bands) > DIRECT:
+        rest = [n for n in names if n != "median"]
+        middle = medians(both)
+        if bands == 1:
+            middle = middle.select("zone", "median")
+        else:
+            middle = middle.groupBy("zone").agg(*(F.max(F.when(F.col("band") == k, F.col("median"))).alias(f"band_{k}_median") for k in range(1, bands + 1)))
+        order = ["zone", *(names if bands == 1 else [f"band_{k}_{n}" for k in range(1, bands + 1) for n in names])]
+        return (zonal_aggregate(both, rest, bands).join(middle, "zone") if rest else middle).select(*order)
     if bands == 1:
         return both.groupBy("zone").agg(*(_AGG[n](F.col("value")).alias(n) for n in names))
     own = lambda k: F.when(F.col("band") == k, F.col("value"))
     return both.groupBy("zone").agg(*(_AGG[n](own(k)).alias(f"band_{k}_{n}") for k in range(1, bands + 1) for n in names))
 
 
+#: Values of a zone that one task may hold for its median.
+DIRECT = 1 << 20
+
+
+def _largest(both: DataFrame, bands: int) -> int:
+    keys = ["zone", "band"] if bands > 1 else ["zone"]
+    return both.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
+def medians(both: DataFrame, few: int = 4096, accuracy: int = 2000) -> DataFrame:
+    """zone, band, median, exact, by selection: no task holds a zone's values.
+
+    The middle one or two ranks are bracketed. A round takes, of the values between a rank's limits, two that an approximate
+    percentile (a mergeable summary of bounded size) puts on either side of it, and counts exactly what lies below, at and
+    between them; the rank is then at one of them or strictly between two limits that are closer. A round leaves about
+    three in 512 of the values. Ranks with ``few`` values left are read from these, sorted.
+    """
+    both = cut(both.select("zone", "band", "value"))
+    sizes = both.groupBy("zone", "band").count()
+    ranks = F.explode(F.array_distinct(F.array(F.floor((F.col("count") - 1) / 2), F.floor(F.col("count") / 2))))
+    inf = float("inf")
+    # lo and hi are exclusive; below: values up to lo; n: values between
+    todo = cut(sizes.select("zone", "band", ranks.alias("rank"), F.lit(-inf).alias("lo"), F.lit(inf).alias("hi"), F.lit(0).cast("long").alias("below"), F.col("count").alias("n")))
+    found: list[DataFrame] = []
+    keys, v = ["zone", "band", "rank"], F.col("value")
+    while not todo.isEmpty():
+        within = both.join(todo, ["zone", "band"]).where((v > F.col("lo")) & (v < F.col("hi")))
+        place = (F.col("rank") - F.col("below") + 1).cast("int")
+        small = within.where(F.col("n") <= few).groupBy(*keys, "below").agg(F.sort_array(F.collect_list("value")).alias("values"))
+        found.append(cut(small.select(*keys, F.element_at("values", place).alias("value"))))
+        large = within.where(F.col("n") > few)
+        share = (F.col("rank") - F.col("below") + 0.5) / F.col("n")
+        # one summary a rank; which of its points are taken follows from the rank
+        points = F.percentile_approx("value", F.array(*(F.lit(k / 512) for k in range(513))), F.lit(accuracy)).alias("points")
+        summary = large.groupBy(*keys, "lo", "hi", "below", "n").agg(points)
+        return_ = summary.withColumn("k", F.floor(share * 512).cast("int"))
+        cuts = return_.select(*keys, "lo", "hi", "below", "n", F.element_at("points", F.greatest(F.col("k"), F.lit(1))).alias("a"), F.element_at("points", F.least(F.col("k") + 3, F.lit(513))).alias("b"))
+        counted = large.join(cuts.select(*keys, "a", "b"), keys).groupBy(*keys, "lo", "hi", "below", "a", "b").agg(
+            F.sum((v < F.col("a")).cast("long")).alias("low"), F.sum((v == F.col("a")).cast("long")).alias("at_a"),
+            F.sum(((v > F.col("a")) & (v < F.col("b"))).cast("long")).alias("mid"), F.sum(((v == F.col("b")) & (F.col("b") > F.col("a"))).cast("long")).alias("at_b"), F.count(F.lit(1)).alias("n"),
+        )
+        ends, at = [F.col("below")], F.col("rank")
+        for c in ("low", "at_a", "mid", "at_b"):
+            ends.append(ends[-1] + F.col(c))
+        hit = F.when((at >= ends[1]) & (at < ends[2]), F.col("a")).when((at >= ends[3]) & (at < ends[4]), F.col("b"))
+        state = cut(counted.withColumn("hit", hit))
+        found.append(state.where("hit is not null").select(*keys, F.col("hit").alias("value")))
+        left = state.where("hit is null")
+        in_low, in_mid = at < ends[1], (at >= ends[2]) & (at < ends[3])
+        pick = lambda low, mid, high: F.when(in_low, low).when(in_mid, mid).otherwise(high)
+        todo = cut(left.select(
+            *keys, pick(F.col("lo"), F.col("a"), F.col("b")).alias("lo"), pick(F.col("a"), F.col("b"), F.col("hi")).alias("hi"),
+            pick(F.col("below"), ends[2], ends[4]).alias("below"), pick(F.col("low"), F.col("mid"), F.col("n") - (ends[4] - F.col("below"))).alias("n"),
+        ))
+    every = found[0]
+    for df in found[1:]:
+        every = every.unionByName(df)
+    return every.groupBy("zone", "band").agg(F.avg("value").alias("median"))
+
+
 def _limits(r: Raster, value_range: tuple[float, float] | None) -> DataFrame:
     """band, lo, hi: one row a band."""
     bands = r.df.sparkSession.range(1, r.meta.band_count + 1).select(F.col("id").cast("int").alias("band"))

@@ -171,6 +171,17 @@ add("raster_convolve", lambda s, d: cells(N.raster_convolve(emb_n(s, d), _KERNEL
 _G = "exp(-(dr * dr + dc * dc) / 2.0)"
 add("gaussian_filter", lambda s, d: cells(N.raster_gaussian_filter(emb_n(s, d), 1.0)), f"WITH {around(EMB_N, 3, 3)} SELECT row, col, round(CASE WHEN any_value(c) IS NOT NULL THEN sum(v * {_G}) / sum(CASE WHEN v IS NOT NULL THEN {_G} END) END, 6) AS value FROM p GROUP BY row, col")
 
+# windows and kernels large enough for the operators' other ways: sliding counts, transforms, runs of an element
+def far(grid: str, ry: int, rx: int) -> str:
+    """As ``around``, its join by cells hashed."""
+    return f"g AS ({grid}), o AS (SELECT x AS dr, y AS dc FROM range({-ry}, {ry + 1}) t(x), range({-rx}, {rx + 1}) u(y)), a AS (SELECT row, col, value AS c, dr, dc, row + dr AS r2, col + dc AS c2 FROM g CROSS JOIN o), p AS (SELECT a.row, a.col, c, dr, dc, h.value AS v FROM a JOIN g h ON h.row = a.r2 AND h.col = a.c2)"
+
+
+add("focal_variety_large", lambda s, d: cells(N.raster_focal_variety(_levels(emb_n(s, d)), (6, 5))), f"WITH {far(f'SELECT row, col, floor(value * 50) AS value FROM ({EMB_N})', 6, 5)} SELECT row, col, CASE WHEN any_value(c) IS NOT NULL THEN count(DISTINCT v)::DOUBLE END AS value FROM p GROUP BY row, col")
+_levels = lambda r: r.with_value(F.floor(F.col("value") * 50))
+_WIDE = np.array([[1.0 + (i * 3 + j * 5) % 7 for j in range(19)] for i in range(13)])
+add("convolve_large", lambda s, d: cells(N.raster_convolve(emb_n(s, d), _WIDE)), f"WITH {far(EMB_N, 6, 9)}, k AS (SELECT *, 1.0 + ((dr + 6) * 3 + (dc + 9) * 5) % 7 AS w FROM p) SELECT row, col, round(CASE WHEN any_value(c) IS NOT NULL THEN sum(v * w) / sum(CASE WHEN v IS NOT NULL THEN w END) END, 6) AS value FROM k GROUP BY row, col")
+
 
 def stencil_sql(grid: str, value: str, replicate: bool) -> str:
     """The 3 x 3 window as columns v<dr><dc>, dr and dc from 0 to 2."""
@@ -201,6 +212,7 @@ ALL_STATS = ["count", "sum", "mean", "min", "max", "std", "median"]
 _r6 = lambda df, *names: df.withColumns({n: F.round(n, 6) for n in names})
 add("zonal_stats", lambda s, d: _r6(Z.zonal_stats(S.emb_zones(s, d), emb_n(s, d), ALL_STATS), "sum", "mean", "std", "median"), f"{_ZONE} SELECT zone, {_STATS} FROM g JOIN z USING (row) WHERE value IS NOT NULL GROUP BY zone")
 add("zonal_stats_multiband", lambda s, d: _r6(Z.zonal_stats(S.parts(s, d).band(1), S.parts(s, d), ["count", "max", "mean"]), "band_1_mean", "band_2_mean"), f"WITH g AS ({_PART}) SELECT b1::BIGINT AS zone, count(b1)::DOUBLE AS band_1_count, max(b1) AS band_1_max, round(avg(b1), 6) AS band_1_mean, count(b2)::DOUBLE AS band_2_count, max(b2) AS band_2_max, round(avg(b2), 6) AS band_2_mean FROM g GROUP BY 1")
+add("zonal_median_selection", lambda s, d: (lambda z, v: Z.medians(z.df.select("row", "col", F.col("value").cast("long").alias("zone")).join(v.df.where("value is not null"), ["row", "col"])).select("zone", F.round("median", 6).alias("median")))(S.emb_zones(s, d), emb_n(s, d)), f"{_ZONE} SELECT zone, round(median(value), 6) AS median FROM g JOIN z USING (row) WHERE value IS NOT NULL GROUP BY zone")
 add("flagship_tpi_zonal", lambda s, d: _r6(Z.zonal_stats(S.emb_zones(s, d), N.raster_tpi(emb(s, d)), ["count", "mean"]), "mean"), f"WITH t AS ({stencil_sql(EMB, f'v11 - ({" + ".join(_AROUND)}) / 8', False)}), z AS (SELECT vec_id::INT AS row, label::BIGINT AS zone FROM embeddings) SELECT zone, count(value)::DOUBLE AS count, round(avg(value), 6) AS mean FROM t JOIN z USING (row) WHERE value IS NOT NULL GROUP BY zone")
 _HIST = f"WITH g AS ({EV_N}), l AS (SELECT min(value) AS lo, max(value) AS hi FROM g), b AS (SELECT least(floor((value - lo) / (hi - lo) * 32), 31)::INT AS bin, count(*) AS n FROM g, l WHERE value IS NOT NULL GROUP BY 1), e AS (SELECT k::INT AS bin, coalesce(n, 0)::BIGINT AS count, lo + k * ((hi - lo) / 32) AS lo0, lo, hi FROM l, range(0, 32) r(k) LEFT JOIN b ON b.bin = k)"
 add("raster_histogram", lambda s, d: Z.raster_histogram(ev_n(s, d), 32).select("bin", "count", F.round("edge_lo", 6).alias("edge_lo")), f"{_HIST} SELECT bin, count, round(lo0, 6) AS edge_lo FROM e")
@@ -243,6 +255,7 @@ add("morphology_tophat", lambda s, d: cells(L.raster_morphology_tophat(mask(s, d
 add("morphology_blackhat", lambda s, d: cells(L.raster_morphology_blackhat(mask(s, d))), f"{morph_sql('d', 'e')} SELECT row, col, g2.value * (1 - g0.value) AS value FROM g0 JOIN g2 USING (row, col)")
 _DISK = ", ".join(f"({i}, {j})" for i in range(-2, 3) for j in range(-2, 3) if i * i + j * j <= 4)
 add("morphology_disk", lambda s, d: cells(L.raster_morphology(mask(s, d), "dilate", structuring_element=L.make_structuring_element("disk", 2))), f"WITH g AS ({_MASK}), o(dr, dc) AS (VALUES {_DISK}) SELECT a.row, a.col, CASE WHEN sum(h.value) > 0 THEN 1.0 ELSE 0.0 END AS value FROM g a, o JOIN g h ON h.row = a.row + dr AND h.col = a.col + dc GROUP BY a.row, a.col")
+add("morphology_large_disk", lambda s, d: cells(L.raster_morphology(mask(s, d), "dilate", structuring_element=L.make_structuring_element("disk", 4))), f"WITH {far(_MASK, 4, 4)} SELECT row, col, CASE WHEN sum(v) > 0 THEN 1.0 ELSE 0.0 END AS value FROM p WHERE dr * dr + dc * dc <= 16 GROUP BY row, col")
 _GAP = "least(row - max(CASE WHEN value <> 0 THEN row END) OVER (PARTITION BY col ORDER BY row), min(CASE WHEN value <> 0 THEN row END) OVER (PARTITION BY col ORDER BY row DESC) - row)"
 add("distance_transform", lambda s, d: cells(L.raster_distance_transform(mask(s, d))), f"WITH g AS ({_MASK}), c AS (SELECT row, col, {_GAP} AS gap FROM g) SELECT a.row, a.col, round(sqrt(min((a.col - b.col) * (a.col - b.col) + b.gap * b.gap)), 6) AS value FROM c a JOIN c b ON a.row = b.row WHERE b.gap IS NOT NULL GROUP BY a.row, a.col")
 _SINKS = (
