@@ -1,13 +1,17 @@
 """Main text of web pages by the maximum-scoring subsequence of their tokens.
 
 A page is read once as words and tags. A word scores its probability of being main text less a constant, given where it
-stands: the names of the open elements, the words of their classes, ids and roles, and the nearest block. A tag scores
-the log of the share of such tags that stand in main texts, times a constant, so tags are always negative. One linear
-scan finds the contiguous region of the greatest sum: the main text. (Both constants are those that extract the prior
-pages best.) Inside the region a block element whose words have a negative sum is left out (an advert in the middle).
-Class names are features whose weights are learnt; no element goes for its class alone. The class of a wrapper (an
-element that holds the page's first heading and over half of its paragraph words) says nothing about its parts and is
-no feature.
+stands: the names of the open elements, the words of their classes, ids and roles (and what long ones begin with), the
+nearest block, and three facts of structure. One is whether it stands beyond the innermost wrapper, an element that holds
+the page's first heading and over half of its paragraph words (of an ``article`` or ``main``, a seventh; without a wrapper,
+before the heading); one, whether all words of its block are links; one, whether it stands in one of several sibling
+elements of one kind that hold a text beside another line, an author's or a date's, and no heading: entries of readers. A tag scores the log of the share of such tags that stand in main texts,
+times a constant, times the probability that its place isn't main text: an item of a list in an article costs next to
+nothing, one of a menu its full price. Tags are always negative. One linear scan finds the contiguous region of the
+greatest sum: the main text. (Both constants are those that extract the prior pages best.) A block element whose words
+have a negative sum is left out of the region (an advert in the middle); within the wrapper it costs the scan nothing, so a
+short paragraph after it isn't lost. Class names are features whose weights are learnt; no element goes for its class
+alone. A wrapper's class says nothing about its parts and is no feature.
 
 Weights are fitted to labelled pages by logistic regression: those of the table that mark their article up (one
 ``article`` or ``main`` element, which is hidden from their own features, so what is learnt is how articles look without
@@ -41,10 +45,12 @@ UNSEEN = frozenset("head template noscript svg math canvas object audio video se
 HEAD_PARTS = frozenset("title meta link base script style noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPH = frozenset("p li td th dd dt blockquote pre figcaption caption summary".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 BOILERPLATE = "nav header footer aside form button dialog menu fieldset label".split()
+ENTRY = frozenset("li dd div article section aside blockquote".split())
 # Names that sites give to parts of pages, for the prior pages.
 CONTENT_NAMES = "content article post entry story main body text prose document page single".split()
 OTHER_NAMES = (
@@ -70,7 +76,10 @@ def named(attrs: str) -> tuple[str, ...]:
         if key == "hidden" or key == "aria-hidden":
             found += [".hidden"] if key == "hidden" or value.lower() == "true" else []
         else:
-            found += ["." + (w[:-1] if len(w) > 2 and w[-1] == "s" else w).lower() for w in SPLIT.split(value) if w and not w.isdigit()]
+            for w in SPLIT.split(value):
+                if w and not w.isdigit():
+                    w = (w[:-1] if len(w) > 2 and w[-1] == "s" else w).lower()
+                    found += ["." + w] + (["." + w[:7] + "~"] if len(w) >= 7 else [])
     return tuple(found)
 
 
@@ -131,25 +140,62 @@ def tokens(page: str) -> list[list]:
     return out
 
 
-def places(seq: list[list], hide: int = -1) -> tuple[list[int], list[tuple[str, ...]]]:
-    """(number of the place of each text, -1 for tags; features of each place). ``hide``: a start tag without features."""
+def entries(seq: list[list], size: list[int], nearest: list[int]) -> set[int]:
+    """Start tags of sibling elements of one kind that each hold a text beside another line, and no heading. ``nearest``: the start
+    tag of each token's nearest block."""
+    direct: Counter = Counter()
+    for n, k in zip(size, nearest):
+        if n:
+            direct[k] += n
+    kinds: dict[int, set] = {}  # of an element the kinds of blocks in it that hold words
+    heads = np.concatenate([[0], np.cumsum([bool(t[2]) and t[0] in HEADINGS for t in seq])]).tolist()
+    for k in direct:
+        if k >= 0:
+            kinds.setdefault(nearest[k - 1] if k else -1, set()).add(seq[k][2])
+    alike: dict[tuple, list[int]] = {}
+    for k, held in kinds.items():
+        if k < 0 or seq[k][0] not in ENTRY or heads[min(seq[k][1], len(seq))] > heads[k]:
+            continue
+        if len(held) >= 2 and {f[0] for f in held} != {"dt", "dd"} or direct[k]:
+            alike.setdefault((nearest[k - 1] if k else -1, seq[k][2]), []).append(k)
+    return {k for same in alike.values() if len(same) >= 2 for k in same}
+
+
+def places(seq: list[list], hide: int = -1) -> tuple[list[int], list[tuple[str, ...]], tuple[int, int]]:
+    """(number of the place of each token, features of each place, the innermost wrapper's span). ``hide``: a start tag
+    without features."""
     size = [0 if f is not None else len(v.split()) for v, _, f in seq]
     stack: list[tuple[int, int]] = []
-    block, in_block = [], ["html"]
+    block, nearest, in_block = [], [], [("html", -1)]
+    link, free, linked = 0, set(), set()  # where the open link ends; blocks with words outside of links, and in links
     for i, (v, end, f) in enumerate(seq):  # the nearest block of each token
         while stack and stack[-1][0] <= i:
             stack.pop()
             in_block.pop()
         if f and v not in INLINE and v not in VOID:
             stack.append((end, i))
-            in_block.append(v)
-        block.append(in_block[-1])
+            in_block.append((v, i))
+        block.append(in_block[-1][0])
+        nearest.append(in_block[-1][1])
+        if f and v == "a":
+            link = end
+        elif size[i]:
+            (free if i >= link else linked).add(nearest[-1])
     sums = np.concatenate([[0], np.cumsum([n if b in PARAGRAPH else 0 for n, b in zip(size, block)])]).tolist()
     heading = next((i for h in ("h1", "h2", "p") for i, t in enumerate(seq) if t[2] and t[0] == h), -1)
+    wrappers = {}
+    for i, (v, end, f) in enumerate(seq):
+        if f and v not in VOID and i <= heading < end:
+            held = sums[min(end, len(seq))] - sums[i]
+            if 2 * held > sums[-1] or v in ("article", "main") and i != hide and 7 * held > sums[-1]:
+                wrappers[i] = min(end, len(seq))
+    inner = max((i for i in wrappers if seq[i][0] not in INLINE and seq[i][0] not in PARAGRAPH and seq[i][0] not in HEADINGS and seq[i][0] not in ("html", "body")), default=-1)
+    core = (inner, wrappers[inner]) if inner >= 0 else (heading if heading >= 0 and seq[heading][0] != "p" else 0, len(seq))
+    repeated = entries(seq, size, nearest)
     active: Counter = Counter()
     held: list[tuple[int, tuple[str, ...]]] = []
     number: dict[tuple[str, ...], int] = {}
-    where, now = [], ()
+    where, now, told = [], (), ()
     changed = True
     for i, (v, end, f) in enumerate(seq):
         while held and held[-1][0] <= i:
@@ -159,22 +205,22 @@ def places(seq: list[list], hide: int = -1) -> tuple[list[int], list[tuple[str,
                     del active[x]
             changed = True
         if f and i != hide and v not in VOID:
-            wrapper = i <= heading < end and 2 * (sums[min(end, len(seq))] - sums[i]) > sums[-1]
+            wrapper = i in wrappers
             own = () if v in ("html", "body") else f[:1] if wrapper else f
             if v in BOILERPLATE and ("article" in active or "main" in active):
                 own = ("in>" + v, *own[1:])
             elif v == "article" and not wrapper:
-                own = ("part>" + v, *own[1:])
+                own = (("part>" if core[0] <= i < core[1] else "other>") + v, *own[1:])
+            if i in repeated:
+                own = (*own, ">entry")
             active.update(own)
             held.append((end, own))
             changed = True
-        if f is None and size[i]:
-            if changed:
-                now, changed = (">" + block[i], *sorted(active)), False
-            where.append(number.setdefault(now, len(number)))
-        else:
-            where.append(-1)
-    return where, list(number)
+        facts = (">" + block[i], *((">linked",) if nearest[i] in linked and nearest[i] not in free else ()), *(() if core[0] <= i < core[1] else (">beyond",)))
+        if changed or facts != told:
+            now, told, changed = (*facts, *sorted(active)), facts, False
+        where.append(number.setdefault(now, len(number)))
+    return where, list(number), core if inner >= 0 else (0, 0)
 
 
 WORDS = "one of the many words that a text of this kind would have in it at this place"
@@ -211,6 +257,23 @@ def prior_pages() -> list[str]:
             f"<html><body><header><h2><a href=x>{WORDS[:8]}</a></h2>{WORDS[:20]}</header><nav><ul>{links}</ul></nav>{'' if k % 2 else other}{body}"
             f"<div>{WORDS[:20]}<a href=x>one</a></div><footer>{WORDS[:30]}<p>{WORDS}</p><ul>{links}</ul></footer></body></html>"
         )
+    short = lambda tag, n: "".join(f"<{tag}>{w}</{tag}>" for w in (WORDS.split() * 20)[:n])
+    entry = [
+        lambda k: f'<div class="{k}x"><b>{WORDS[:3]}</b><p>{WORDS}</p></div>', lambda k: f'<li class="{k}x"><div>{WORDS[:8]}</div><p>{WORDS} {WORDS}</p></li>',
+        lambda k: f"<article><span>{WORDS[:3]}</span><time>{WORDS[4:10]}</time><p>{WORDS[:40]}</p></article>", lambda k: f'<div><p class="{k}a">{WORDS[:8]}</p><p>{WORDS}</p></div>',
+    ]
+    for k in range(48):  # lists and tables of short items with a short end; entries of readers under names that say nothing
+        several = f"<h1>{WORDS[:20]}</h1><p>{WORDS}</p>" + (f"<ul>{short('li', 3 + 9 * (k % 5))}</ul>", f"<table><tr>{short('td', 3)}</tr><tr>{short('td', 3)}</tr></table>", f"<ol>{short('li', 30)}</ol><dl>{short('dt', 2)}{short('dd', 2)}</dl>")[k % 3] + f"<p>{WORDS[:14]}</p>"
+        read = f'<{"section" if k % 2 else "div"} id="q{k}w" data-rest>{"<h2>" + WORDS[:8] + "</h2>" if k % 3 else ""}{"".join(entry[k % 4](f"q{k}") for _ in range(2 + k % 4 * 3))}</{"section" if k % 2 else "div"}>'
+        holder = ("article", "div", "main", f'div class="q{k}z"')[k // 2 % 4]
+        body = f"<{holder} data-main>{several}{read if k % 3 == 0 else ''}</{holder.split()[0]}>{read if k % 3 else ''}"
+        pages.append(f"<html><body><div class=q{k}h data-rest><ul>{links}</ul></div>{body}<footer>{WORDS[:30]}</footer></body></html>")
+    for k, (name, holder) in enumerate((n, h) for n in BOILERPLATE for h in ("article", "main", "div")):  # each inside each
+        part = f"<{name} data-rest>{f'<ul>{links}</ul>' if k % 2 else f'{WORDS[:30]}<a href=x>{WORDS[:10]}</a>'}</{name}>"
+        after = "section" if k % 2 else "div"
+        after = f'<{after} class="q{k}y"><p>{WORDS}</p>' + f"<p>{WORDS}</p>" * (k % 3) + f"</{after}>"
+        pages.append(f"<html><body><{holder} data-main>{text}{part if k % 4 < 2 else ''}<p>{WORDS}</p>{part if k % 4 > 1 else ''}</{holder}>{after}</body></html>")
+    pages += [f"<span data-main>{WORDS}</span>", f"<b data-main>{WORDS}</b>", f"<html><body data-main>{WORDS}<br>{WORDS}</body></html>"] * 4  # text without any part
     for name in CONTENT_NAMES:  # lists of articles
         some = "".join(f"<article><h2>{WORDS[:20]}</h2><p>{WORDS} {WORDS}</p></article>" for _ in range(4))
         pages.append(f'<html><body><nav><ul>{links}</ul></nav><div class="{name}" data-main>{some}</div><footer>{WORDS}</footer></body></html>')
@@ -251,21 +314,23 @@ def _prior_labels(page: str) -> tuple[list[list], list[int]]:
     return seq, label
 
 
-def examples(seq: list[list], label: list[int], hide: int = -1) -> list[tuple[str, str, float, float]]:
+def examples(seq: list[list], label: list[int], hide: int = -1, named: bool = True) -> list[tuple[str, str, float, float]]:
     """(kind, features of a place or name of a tag, weight inside, weight outside). A page's words inside and outside
-    have a weight of one each, as have its tags."""
-    where, kinds = places(seq, hide)
+    have a weight of one each, as have its tags; with ``named`` half of it more."""
+    where, kinds, _ = places(seq, hide)
     word, tag = np.zeros((len(kinds), 2)), {}
     for i, (w, y) in enumerate(zip(where, label)):
         if y < 0:
             continue
-        if w >= 0:
+        if seq[i][2] is None:
             word[w, 1 - y] += len(seq[i][0].split())
-        elif seq[i][2] is not None and i != hide:
+        elif i != hide:
             tag.setdefault(seq[i][0].lstrip("/"), [0.0, 0.0])[1 - y] += 1
     word /= np.maximum(word.sum(axis=0), 1)
     total = np.maximum(np.sum([v for v in tag.values()], axis=0) if tag else np.zeros(2), 1)
     rows = [("word", " ".join(k), *map(float, v)) for k, v in zip(kinds, word) if v.any()]
+    if named:  # once more without what is known of the wrapper, so that names count where structure says nothing
+        rows += [("word", " ".join(f for f in k.split() if f != ">beyond"), i / 2, o / 2) for _, k, i, o in rows]
     return rows + [("tag", k, float(v[0] / total[0]), float(v[1] / total[1])) for k, v in sorted(tag.items())]
 
 
@@ -295,7 +360,7 @@ def fit(rows: list[tuple[str, str, float, float]], vocabulary: int = 2000) -> di
     prior = prior_pages()
     for page in prior:
         seq, label = _prior_labels(page)
-        for kind, name, i, o in examples(seq, label):
+        for kind, name, i, o in examples(seq, label, named="<div class=q" not in page and 'class="q' not in page):
             held.setdefault((kind, name), np.zeros(2))[:] += np.array([i, o]) * 20
     for kind, name, i, o in rows:
         held.setdefault((kind, name), np.zeros(2))[:] += (i, o)
@@ -355,14 +420,15 @@ def maximal(scores: list[float]) -> list[tuple[int, int]]:
     return span
 
 
-def scored(seq: list[list], model: dict) -> tuple[list[float], list[float]]:
-    """(score, score of its words alone) of each token."""
-    where, kinds = places(seq)
+def scored(seq: list[list], model: dict) -> tuple[list[float], list[float], tuple[int, int]]:
+    """(score, score of its words alone) of each token, and the innermost wrapper's span."""
+    where, kinds, core = places(seq)
     weight, tag = model["word"], model["tag"]
     odds = np.array([model["base"] + sum(weight.get(f, 0.0) for f in k) for k in kinds])
-    word = (sigmoid(odds) - model["less"]).tolist()
-    words = [word[w] * len(t[0].split()) if w >= 0 else 0.0 for t, w in zip(seq, where)]
-    return [s if t[2] is None else model["scale"] * tag.get(t[0].lstrip("/"), model["other"]) for t, s in zip(seq, words)], words
+    chance = sigmoid(odds)
+    word, doubt = (chance - model["less"]).tolist(), (1 - chance).tolist()
+    words = [word[w] * len(t[0].split()) if t[2] is None else 0.0 for t, w in zip(seq, where)]
+    return [s if t[2] is None else model["scale"] * tag.get(t[0].lstrip("/"), model["other"]) * doubt[w] for t, s, w in zip(seq, words, where)], words, core
 
 
 def region(scores: list[float]) -> tuple[int, int]:
@@ -371,20 +437,31 @@ def region(scores: list[float]) -> tuple[int, int]:
     return max(maximal(scores), key=lambda s: sums[s[1]] - sums[s[0]], default=(0, 0))
 
 
+def foreign(seq: list[list], words: list[float]) -> dict[int, int]:
+    """Block elements whose words have a negative sum, outermost ones: start tag to end."""
+    sums = np.concatenate([[0.0], np.cumsum(words)]).tolist()
+    found, i = {}, 0
+    while i < len(seq):
+        value, stop, f = seq[i]
+        if f and value not in INLINE and value not in ("html", "body") and sums[min(stop, len(seq))] < sums[i]:
+            found[i] = i = min(stop, len(seq))
+        else:
+            i += 1
+    return found
+
+
 def main_text(seq: list[list], model: dict) -> list[int]:
     """Tokens of the main text."""
-    scores, words = scored(seq, model)
+    scores, words, core = scored(seq, model)
+    out = foreign(seq, words)
+    for i, stop in out.items():
+        if core[0] < i < core[1]:
+            scores[i:stop] = [0.0] * (stop - i)
     i, end = region(scores)
-    sums = np.concatenate([[0.0], np.cumsum(words)])
     kept = []
     while i < end:
-        value, stop, f = seq[i]
-        if f and value not in INLINE and stop <= end and sums[stop] < sums[i]:
-            kept.append(i)  # the tag alone: it parts what stands around it
-            i = stop
-            continue
-        kept.append(i)
-        i += 1
+        kept.append(i)  # of what is left out the tag alone: it parts what stands around it
+        i = min(out[i], end) if i in out else i + 1
     return kept
 
 
