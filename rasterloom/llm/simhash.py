@@ -352,9 +352,26 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Components of ``links`` and those found before (as stars: only new links are left to follow)."""
+    """node, root of the components of ``links`` and those found before.
+
+    Links are first moved to the roots known, and a node that is only ever the greater of its links to the least of its
+    neighbours: of a large group, whose members mostly have links to a few leading ones, the rounds see only these.
+    """
     if roots is not None:
         if links.isEmpty():
             return roots
-        links = links.unionByName(roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
-    return cut(components(links))
+        own = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        links = links.join(own("u"), "u", "left").join(own("v"), "v", "left").select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"))
+    pairs = cut(links.where("u <> v").select(F.least("u", "v").alias("low"), F.greatest("u", "v").alias("high")).distinct())
+    leaves = cut(pairs.groupBy("high").agg(F.min("low").alias("least")).join(pairs.select(F.col("low").alias("high")).distinct(), "high", "left_anti"))
+    core = pairs.join(leaves, "high", "left").select("low", F.coalesce("least", "high").alias("other")).where("low <> other").select(F.col("low").alias("u"), F.col("other").alias("v"))
+    found = cut(components(core))
+    to = found.select(F.col("node").alias("least"), F.col("root").alias("to"))
+    hung = leaves.join(to, "least", "left").select(F.col("high").alias("node"), F.coalesce("to", "least").alias("root"))
+    tops = leaves.select(F.col("least").alias("node")).distinct().join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"))
+    new = cut(found.unionByName(hung).unionByName(tops))
+    if roots is None:
+        return new
+    moved = new.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    known = roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return cut(known.unionByName(new.join(roots.select("node"), "node", "left_anti")))
