@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..model import Raster
 from ..plans.lineage import cut
-from .components import components
+from .components import components, joined
 from .focal import weighted
 from .sinks import raster_fill_sinks  # noqa: F401
 
@@ -21,23 +21,6 @@ def _tiles(df: DataFrame, tile: int) -> DataFrame:
     return df.withColumns({"trow": F.floor(F.col("row") / tile).cast("int"), "tcol": F.floor(F.col("col") / tile).cast("int")})
 
 
-def _joined(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Least number that each of n is connected to: roots hook onto lesser ones, then all point to their roots."""
-    parent = np.arange(n)
-    a, b = (np.concatenate(x) for x in zip(*pairs))
-    while len(a):
-        pa, pb = parent[a], parent[b]
-        apart = pa != pb
-        a, b, pa, pb = a[apart], b[apart], pa[apart], pb[apart]
-        np.minimum.at(parent, np.maximum(pa, pb), np.minimum(pa, pb))
-        while True:
-            up = parent[parent]
-            if (up == parent).all():
-                break
-            parent = up
-    return parent
-
-
 def region_roots(r: Raster, connectivity: int = 4, by_value: bool = False, tile: int = TILE) -> DataFrame:
     """band, row, col, value, root: the least row * width + col of the cell's region. Regions are cells that are nonzero
     and valid, or with ``by_value`` valid and equal. Tiles are labelled on their own, then joined where they touch."""
@@ -60,7 +43,7 @@ def region_roots(r: Raster, connectivity: int = 4, by_value: bool = False, tile:
             if by_value:
                 a, b = a[value[a] == value[b]], b[value[a] == value[b]]
             pairs.append((a, b))
-        root = _joined(len(row), pairs)
+        root = joined(len(row), pairs)
         return pd.DataFrame({"band": pdf["band"].iloc[0], "row": row, "col": col, "value": value, "local": row[root].astype(np.int64) * width + col[root]})
 
     inside = r.df.where("value is not null") if by_value else r.df.where("value is not null and value <> 0")
@@ -73,9 +56,10 @@ def region_roots(r: Raster, connectivity: int = 4, by_value: bool = False, tile:
         rim.select("*", steps).select("band", (F.col("row") + F.col("s.a")).alias("r2"), (F.col("col") + F.col("s.b")).alias("c2"), "value", "local")
         .join(other, ["band", "r2", "c2"]).where("local <> l2" + (" and value = v2" if by_value else ""))
     )
-    node = lambda c: F.struct(F.col("band"), F.col(c).alias("id"))
-    roots = components(links.select(node("local").alias("u"), node("l2").alias("v")))
-    roots = roots.select(F.col("node.band").alias("band"), F.col("node.id").alias("local"), F.col("root.id").alias("joined"))
+    size = F.lit(r.meta.height * width).cast("long")  # a node is a cell's number, counted on over the bands
+    node = lambda c: F.col("band") * size + F.col(c)
+    roots = components(links.select(node("local").alias("u"), node("l2").alias("v")), few=1_000_000)
+    roots = roots.select(F.floor(F.col("node") / size).cast("int").alias("band"), (F.col("node") % size).alias("local"), (F.col("root") % size).alias("joined"))
     return cells.join(roots, ["band", "local"], "left").select("band", "row", "col", "value", F.coalesce("joined", "local").alias("root"))
 
 

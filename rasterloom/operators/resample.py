@@ -109,7 +109,8 @@ def raster_resample(r: Raster, target: GridSpec, method: str = "bilinear") -> Ra
     if m.dtype.startswith(("int", "uint")):
         bits, low = int(m.dtype.split("int")[1]), m.dtype.startswith("int")
         lo, hi = (-(2 ** (bits - 1)), 2 ** (bits - 1) - 1) if low else (0, 2**bits - 1)
-        got = got.withColumn("value", F.least(F.greatest(F.rint("value"), F.lit(float(lo))), F.lit(float(hi))))
+        within = F.least(F.greatest(F.rint("value"), F.lit(float(lo))), F.lit(float(hi)))
+        got = got.withColumn("value", F.when(F.col("value").isNotNull(), within))
     if m.nodata is None:
         got = got.withColumn("value", F.coalesce("value", F.lit(0.0)))
     return Raster(got, replace(m, height=target.height, width=target.width, affine=target.affine))

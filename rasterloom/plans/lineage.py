@@ -33,11 +33,16 @@ def new_path(spark: SparkSession, name: str = "cut") -> str:
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` from a table in the shared folder: lineage ends, lost executors cost nothing."""
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` from a table in the shared folder, and the table's path, to be dropped when nothing reads it any more."""
     path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` from a table in the shared folder: lineage ends, lost executors cost nothing."""
+    return written(df)[0]
 
 
 def drop(spark: SparkSession, path: str) -> None:

@@ -289,6 +289,16 @@ for _m, _tap in (("nearest", None), ("bilinear", "(0), (1)"), ("bicubic", "(-1),
         add(_name, lambda s, d, m=_m: (lambda r: cells(raster_resample(r, whole_target(r), m)))(emb_n(s, d)), _sql)
 
 
+_CENTI = f"SELECT row, col, floor(value * 100) AS value FROM ({EMB_N})"
+_WB = "(CASE WHEN {0} <= 1 THEN 1 - {0} ELSE 0 END)"
+add(
+    "resample_integer", lambda s, d: (lambda r: cells(raster_resample(Raster(r.with_value(F.floor(F.col("value") * 100)).df, replace(r.meta, dtype="int16")), whole_target(r))))(emb_n(s, d)),
+    f"WITH g AS ({_CENTI}), {_DST}, t AS (SELECT row, col, sx - 0.5 AS sx, sy - 0.5 AS sy, i, j FROM s, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j)), "
+    "p AS (SELECT t.row, t.col, abs(sx - floor(sx) - j) AS wx, abs(sy - floor(sy) - i) AS wy, g.value FROM t LEFT JOIN g ON g.row = floor(sy) + i AND g.col = floor(sx) + j) "
+    f"SELECT row, col, round_even(CASE WHEN count(value) = 4 THEN sum(value * {_WB.format('wx')} * {_WB.format('wy')}) END, 0) AS value FROM p GROUP BY row, col",
+)
+
+
 def whole_boxes(r: Raster) -> list[tuple[float, float, float, float]]:
     """5 x 8 boxes that together cover the grid; neighbours overlap along columns."""
     w, h = r.meta.width / 5, r.meta.height / 8
@@ -336,6 +346,10 @@ _PARTS = (
 )
 add("polygon_measures", lambda s, d: V.polygon_measures(regions(s, d)).drop("band"), f"{_PARTS} SELECT root::BIGINT AS region, value, n_cells, (2 - (q1 - q3 + 2 * qd) // 4)::BIGINT AS n_rings, perimeter, n_cells::DOUBLE AS area FROM c JOIN s USING (root) JOIN q USING (root)")
 add("polygon_corners", lambda s, d: V.polygon_rings(regions(s, d)).groupBy("region").agg(F.count(F.lit(1)).alias("n_corners"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y")), f"{_PARTS} SELECT q.root::BIGINT AS region, any_value(q1 + q3 + 2 * qd)::BIGINT AS n_corners, sum(CASE WHEN n = 2 THEN 2 * (wc + 1) ELSE wc + 1 END)::DOUBLE AS sum_x, sum(CASE WHEN n = 2 THEN -2 * (wr + 1) ELSE -(wr + 1) END)::DOUBLE AS sum_y FROM q JOIN w ON w.root = q.root AND (n IN (1, 3) OR (n = 2 AND kinds = 1)) GROUP BY q.root")
+add(
+    "polygonize_table", lambda s, d: V.polygonize_table((lambda r: Raster(r.df, replace(r.meta, crs="EPSG:4326")))(regions(s, d))).drop("wkt"),
+    f"{_PARTS} SELECT root::BIGINT AS region, value::FLOAT::DOUBLE AS value, n_cells, n_cells::DOUBLE AS area, (2 - (q1 - q3 + 2 * qd) // 4)::BIGINT AS n_rings, 'EPSG:4326' AS crs FROM c JOIN q USING (root)",
+)
 _CASES = "(8, 0, .5, .5, 0), (4, .5, 0, 1, .5), (2, 1, .5, .5, 1), (1, .5, 1, 0, .5), (12, 0, .5, 1, .5), (6, .5, 0, .5, 1), (3, 1, .5, 0, .5), (9, .5, 1, .5, 0), (10, 0, .5, .5, 0), (10, 1, .5, .5, 1), (5, .5, 0, 1, .5), (5, .5, 1, 0, .5), (14, 0, .5, .5, 1), (13, .5, 1, 1, .5), (11, 1, .5, .5, 0), (7, .5, 0, 0, .5)"
 _EDGES = (
     f"WITH g AS ({_MASK}), q AS (SELECT row + i AS r, col + j AS c, sum(bit) AS k FROM g, (VALUES (0, 0, 8), (0, -1, 4), (-1, -1, 2), (-1, 0, 1)) t(i, j, bit) WHERE value = 1 GROUP BY 1, 2), "

@@ -186,3 +186,16 @@ def test_zonal_medians_of_large_zones(spark, monkeypatch):
     assert Z.zonal_stats(z, one, ["mean", "median", "count"]).columns == ["zone", "mean", "median", "count"]
     empty = Z.zonal_stats(z, one.with_value(F.lit(None).cast("double")), ["median"])
     assert empty.count() == 0
+
+
+@pytest.mark.parametrize("method", ["nearest", "bilinear"])
+def test_integers_keep_their_nodata(spark, method):
+    """Rounded and held in range; cells without a value stay so, with a sentinel or without."""
+    x = rng.integers(0, 255, (12, 14)).astype(np.uint8)
+    x[3, 4] = 7
+    for nodata, empty in ((7, 7), (None, 0)):
+        r = from_numpy(spark, x, nodata=nodata)
+        got = R.raster_resample(r, GridSpec((0.5, 0.0, -1.0, 0.0, -0.5, 1.0), 34, 30), method)
+        out = got.to_numpy()
+        assert out.dtype == np.uint8 and (out[:2] == empty).all() and (out[:, :2] == empty).all()
+        assert got.df.where("value < 0 or value > 255 or value <> floor(value)").count() == 0
