@@ -3,9 +3,12 @@
 Texts are split by a pattern; the distinct pieces of a batch are encoded together. Pieces are bucketed by length into
 padded matrices, one piece a row, ids of single bytes at first. Each round, every row merges its leftmost pair of
 minimum rank: a pair's rank and result come from a hash table of id pairs (open addressing in numpy arrays), and a
-merge is a compaction: what follows moves one place left. Rows without a pair to merge leave the matrix. Rows of over
-``LONG`` bytes merge all occurrences of their minimum pair in one round, left to right, unless one of the new pairs
-would rank below it (then only the leftmost), which gives the same ids in fewer rounds.
+merge is a compaction: what follows moves one place left. Rows without a pair to merge leave the matrix. Pieces of over
+``2 * LONG`` bytes would move too much that way; all of a batch are rows of one ragged matrix, a line of ids linked to their
+neighbours, with the places of each rank kept in lists. A round takes the least rank of all rows and merges its
+occurrences, left to right, except in rows where a new pair would rank below it (there only the leftmost, the others
+after it), which gives every row the same ids as one merge a round; only pairs beside a merge are looked up. The cost
+follows the bytes, whatever they are.
 
 Ranks come from a file of base64 tokens and ranks, one a line; its path is a parameter. It is read by the driver and
 broadcast (its size is the vocabulary's, under 1 MB for 50,000 tokens).
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -145,33 +149,76 @@ class Codec:
                 ranks[n[ok], k[ok]] = np.where((b < 0) | (got < 0), NONE, got)
         return done
 
-    def _long(self, ids: np.ndarray) -> np.ndarray:
-        """One long row: all occurrences of the minimum pair in a round, where that equals merging them one by one."""
-        while len(ids) > 1:
-            got = self.table.find(ids[:-1], ids[1:])
-            ranks = np.where(got < 0, NONE, got)
-            least = ranks.min()
-            if least == NONE:
-                break
-            at = np.flatnonzero(ranks == least)
-            if len(at) > 1:  # of overlapping occurrences (a pair of equal ids) take every second of each stretch
-                new = np.flatnonzero(np.append(True, np.diff(at) > 1))
-                nth = np.arange(len(at)) - np.repeat(new, np.diff(np.append(new, len(at))))
-                at = at[nth % 2 == 0]
-            out = ids.copy()
-            out[at] = least
-            keep = np.ones(len(ids), dtype=bool)
-            keep[at + 1] = False
-            merged = out[keep]
-            if len(at) > 1:
-                near = self.table.find(merged[:-1], merged[1:])
-                beside = (merged[:-1] == least) | (merged[1:] == least)
-                if ((near >= 0) & (near < least) & beside).any():
-                    out = ids.copy()
-                    out[at[0]] = least
-                    merged = np.delete(out, at[0] + 1)
-            ids = merged
-        return ids
+    def _long(self, rows: list[np.ndarray]) -> list[np.ndarray]:
+        """The ids of long rows of single-byte ids."""
+        lengths = np.array([len(r) for r in rows])
+        ids, row = np.concatenate(rows).astype(np.int32), np.repeat(np.arange(len(rows)), lengths)
+        n = len(ids)
+        after, before = np.append(np.arange(1, n), -1), np.arange(-1, n - 1)
+        ends = np.cumsum(lengths)
+        after[ends - 1], before[ends - lengths] = -1, -1
+        alive = np.ones(n, dtype=bool)
+        got = np.full(n, -1, dtype=np.int32)  # rank of the pair that begins here
+        pairs = np.flatnonzero(after >= 0)
+        got[pairs] = self.table.find(ids[pairs], ids[after[pairs]])
+        held: dict[int, list[np.ndarray]] = {}
+        order: list[int] = []
+
+        def put(places: np.ndarray) -> None:
+            places = places[got[places] >= 0]
+            if not len(places):
+                return
+            ranks = got[places]
+            by = np.argsort(ranks, kind="stable")
+            places, ranks = places[by], ranks[by]
+            cuts = np.flatnonzero(np.diff(ranks)) + 1
+            for part, rank in zip(np.split(places, cuts), ranks[np.append(0, cuts)].tolist()):
+                if rank not in held:
+                    held[rank] = []
+                    heapq.heappush(order, rank)
+                held[rank].append(part)
+
+        put(pairs)
+        while order:
+            rank = heapq.heappop(order)
+            at = np.unique(np.concatenate(held.pop(rank)))
+            at = at[got[at] == rank]
+            if not len(at):
+                continue
+            # of overlapping occurrences (a pair of equal ids) every second of each stretch
+            new = np.flatnonzero(np.append(True, after[at[:-1]] != at[1:]))
+            nth = np.arange(len(at)) - np.repeat(new, np.diff(np.append(new, len(at))))
+            at = at[nth % 2 == 0]
+            while True:
+                right = after[at]
+                left, beyond = before[at], after[right]
+                # a neighbour that is merged in this round too has the new id
+                merged_left = (left >= 0) & np.isin(left, right)
+                left = np.where(merged_left, before[left], left)
+                merged_beyond = (beyond >= 0) & np.isin(beyond, at)
+                a, b = np.where(merged_left, rank, ids[left]), np.where(merged_beyond, rank, ids[beyond])
+                first = np.full(len(at), rank, dtype=np.int32)
+                new_left = np.where(left >= 0, self.table.find(a, first), np.int32(-1))
+                new_right = np.where(beyond >= 0, self.table.find(first, b), np.int32(-1))
+                below = ((new_left >= 0) & (new_left < rank)) | ((new_right >= 0) & (new_right < rank))
+                one = np.unique(row[at], return_index=True)[1]
+                alone = np.zeros(len(at), dtype=bool)
+                alone[one] = True
+                wait = ~alone & np.isin(row[at], row[at[below]])
+                if not wait.any():
+                    break
+                held.setdefault(rank, []).append(at[wait])
+                at = at[~wait]
+            if rank in held:
+                heapq.heappush(order, rank)
+            alive[right], got[right] = False, -1
+            ids[at], after[at] = rank, beyond
+            before[beyond[beyond >= 0]] = at[beyond >= 0]
+            got[at] = new_right
+            got[left[left >= 0]] = new_left[left >= 0]
+            put(np.unique(np.concatenate([at, left[left >= 0]])))
+        kept = np.add.reduceat(alive, ends - lengths)
+        return np.split(ids[alive], np.cumsum(kept)[:-1])
 
     def _add(self, pieces: list[str]) -> None:
         """Encode pieces not met before."""
@@ -196,9 +243,10 @@ class Codec:
                 for k, n, row in zip(some, (m >= 0).sum(axis=1), m):
                     parts[k], counts[k] = row[:n], n
             low *= 2
-        for k in rest[lengths[rest] > low]:
-            parts[k] = self._long(self.byte_ids[np.frombuffer(raw[k], dtype=np.uint8)])
-            counts[k] = len(parts[k])
+        long = rest[lengths[rest] > low]
+        if len(long):
+            for k, ids in zip(long, self._long([self.byte_ids[np.frombuffer(raw[k], dtype=np.uint8)] for k in long])):
+                parts[k], counts[k] = ids, len(ids)
         base = len(self.known)
         self.known.update(zip(pieces, range(base, base + len(pieces))))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
