@@ -188,7 +188,7 @@ class Codec:
             # of overlapping occurrences (a pair of equal ids) every second of each stretch
             new = np.flatnonzero(np.append(True, after[at[:-1]] != at[1:]))
             nth = np.arange(len(at)) - np.repeat(new, np.diff(np.append(new, len(at))))
-            at = at[nth % 2 == 0]
+            every, at = at, at[nth % 2 == 0]
             while True:
                 right = after[at]
                 left, beyond = before[at], after[right]
@@ -200,14 +200,16 @@ class Codec:
                 first = np.full(len(at), rank, dtype=np.int32)
                 new_left = np.where(left >= 0, self.table.find(a, first), np.int32(-1))
                 new_right = np.where(beyond >= 0, self.table.find(first, b), np.int32(-1))
-                below = ((new_left >= 0) & (new_left < rank)) | ((new_right >= 0) & (new_right < rank))
+                # one after the other a merge meets its neighbour on the right as it is before that one's merge
+                meets = np.where(merged_beyond, self.table.find(first, np.maximum(ids[beyond], 0)), np.int32(-1))
+                below = ((new_left >= 0) & (new_left < rank)) | ((new_right >= 0) & (new_right < rank)) | ((meets >= 0) & (meets < rank))
                 one = np.unique(row[at], return_index=True)[1]
                 alone = np.zeros(len(at), dtype=bool)
                 alone[one] = True
                 wait = ~alone & np.isin(row[at], row[at[below]])
                 if not wait.any():
                     break
-                held.setdefault(rank, []).append(at[wait])
+                held.setdefault(rank, []).append(every[np.isin(row[every], row[at[wait]])])  # what is merged now is told by its rank
                 at = at[~wait]
             if rank in held:
                 heapq.heappush(order, rank)
