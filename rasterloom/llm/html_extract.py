@@ -3,7 +3,7 @@
 A page is read once as words and tags. A word scores its probability of being main text less a constant, given where it
 stands: the names of the open elements, the words of their classes, ids and roles (and what long ones begin with), the
 nearest block, and three facts of structure. One is whether it stands beyond the innermost wrapper, an element that holds
-the page's first heading and over half of its paragraph words (of an ``article`` or ``main``, a seventh; without a wrapper,
+the page's first heading (outside of headers, menus and other parts) and over half of its paragraph words (of an ``article`` or ``main``, a seventh; without a wrapper,
 before the heading); one, whether all words of its block are links; one, whether it stands in one of several sibling
 elements of one kind that hold a text beside another line, an author's or a date's, and no heading: entries of readers. A tag scores the log of the share of such tags that stand in main texts,
 times a constant, times the probability that its place isn't main text: an item of a list in an article costs next to
@@ -182,7 +182,16 @@ def places(seq: list[list], hide: int = -1) -> tuple[list[int], list[tuple[str,
         elif size[i]:
             (free if i >= link else linked).add(nearest[-1])
     sums = np.concatenate([[0], np.cumsum([n if b in PARAGRAPH else 0 for n, b in zip(size, block)])]).tolist()
-    heading = next((i for h in ("h1", "h2", "p") for i, t in enumerate(seq) if t[2] and t[0] == h), -1)
+    # the first heading that isn't a part's own; of a header only within an article or main
+    heads: dict[str, int] = {}
+    other, article = 0, 0  # where an open part, an open article ends
+    for i, (v, end, f) in enumerate(seq):
+        if f:
+            article = max(article, end) if v in ("article", "main") and i >= other else article
+            other = max(other, end) if v in BOILERPLATE and not (v == "header" and i < article) else other
+            if v in ("h1", "h2", "p"):
+                heads.setdefault(v if i >= other else v + " of a part", i)
+    heading = next((heads[h] for h in ("h1", "h2", "p", "h1 of a part", "h2 of a part", "p of a part") if h in heads), -1)
     wrappers = {}
     for i, (v, end, f) in enumerate(seq):
         if f and v not in VOID and i <= heading < end:
