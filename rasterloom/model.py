@@ -124,7 +124,7 @@ class PolygonizeSpec:
     connectivity: int = 4
     value_field: str = "value"
     simplify_tolerance: float | None = None
-    max_polygons: int = 1_000_000
+    max_polygons: int | None = 1_000_000  # None: all
 
 
 @dataclass

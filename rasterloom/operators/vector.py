@@ -197,7 +197,7 @@ def by_group(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
 
 def polygonize(r: Raster, spec: PolygonizeSpec | None = None, band: int | None = None) -> DataFrame:
     """One polygon per region of equal values: region, value, n_cells, area, n_rings, wkt. The first ``max_polygons`` by
-    region are kept, with a warning if there are more.
+    region are kept, with a warning if there are more; None keeps all.
 
     Regions are labelled in tiles and joined. A region's rings are chained in one task from its border's sides alone, so
     the group grows with the polygon that it makes, not with the region's area.
@@ -226,9 +226,9 @@ def polygonize_table(r: Raster, spec: PolygonizeSpec | None = None, band: int |
     return polygonize(r, spec, band).withColumn("crs", F.lit(r.meta.crs))
 
 
-def limit_polygons(polygons: DataFrame, most: int) -> DataFrame:
-    """The first ``most`` by region, with a warning if some are left out."""
-    if polygons.count() > most:
+def limit_polygons(polygons: DataFrame, most: int | None) -> DataFrame:
+    """The first ``most`` by region, with a warning if some are left out; None is no limit."""
+    if most is not None and polygons.count() > most:
         warnings.warn(f"Polygon explosion: more than {most}, the rest is left out", UserWarning, stacklevel=3)
         return polygons.orderBy("region").limit(most)
     return polygons
