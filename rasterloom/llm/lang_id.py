@@ -10,12 +10,12 @@ lower orders follow from the distinct 4-grams (continuation counts). Each langua
 worked out for all n-grams seen in any language and stored in *sorted hash arrays*: n-gram hashes in order, reached by
 an index of their leading bits. N-grams that no language has seen back off with the stored interpolation weights.
 
-A document goes to the language of the lowest cross-entropy per symbol. Rejection is calibrated on at most
-``calibration_rows`` training documents of each language (those whose doc_id hashes lowest): the limit of a language
-stands midway between the 99.9 % quantile of its own documents' cross-entropy and the 0.1 % quantile of the other
-languages' documents under its model, where that is the greater. A language without such documents gets the widest limit
-of the others, a single language one half above its quantile. The score is the posterior of the best language at a
-temperature fitted there, less where the limit is exceeded.
+A document goes to the language of the lowest cross-entropy per symbol. Rejection is calibrated on all training documents
+with letters, scored once more: the limit of a language stands midway between the 99.9 % quantile of its own documents'
+cross-entropy and the 0.1 % quantile of the other languages' documents under its model, where that is the greater (both
+of cross-entropies rounded to 1/1024 nat, which tasks count). A language without such documents gets the widest limit
+of the others, a single language one half above its quantile. The score is the posterior of the best language at the
+temperature of least loss over the same documents, less where the limit is exceeded.
 
 What the driver gathers is the distinct 4-grams of each language with their counts, packed in arrays of 16 bytes an entry:
 it grows with the vocabulary of letter sequences (about 170 MB projected at 30 GB of text), not with the rows.
@@ -33,15 +33,18 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from .common import small_batches
 
 ORDER, BITS = 4, 16
 _OTHER = (1 << BITS) - 1  # symbol of letters without a number
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _AT_ONCE = 1 << 18
+_STEPS = 1024  # of cross-entropy a nat, in calibration
+_TEMPERATURES = (1, 2, 5, 10, 20, 50, 100)
 
 
 @cache
@@ -261,8 +264,48 @@ class Models:
         return out, has
 
 
-def train(docs: DataFrame, calibration_rows: int = 500) -> dict:
-    """A model from docs (doc_id, text, lang)."""
+def _entropies(model: dict, table: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(texts x languages, has letters), in groups of bounded size."""
+    parts, flags = [np.zeros((0, len(model["models"].langs)))], [np.zeros(0, bool)]
+    for s in groups(texts):
+        e, has = model["models"].cross_entropy(texts[s], table)
+        parts.append(e)
+        flags.append(has)
+    return np.concatenate(parts), np.concatenate(flags)
+
+
+def calibration_counts(train: DataFrame, model: dict) -> DataFrame:
+    """model, own, bin, n: training documents by cross-entropy under each model (in ``_STEPS`` a nat), of the model's own
+    language and of others. model -1: loss is the sum at temperature bin. Every document counts; tasks add up what they
+    hold, so their rows follow the bins and not the documents."""
+    held = train.sparkSession.sparkContext.broadcast(model)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = held.value
+        table, langs = symbol_table(m["letters"]), m["models"].langs
+        sums, losses = np.zeros((2 * len(langs), 0), dtype=np.int64), np.zeros(len(_TEMPERATURES))
+        for batch in batches:
+            e, has = _entropies(m, table, batch["text"].tolist())
+            e, right = e[has], np.searchsorted(langs, batch["lang"].to_numpy(dtype=object)[has])
+            if not len(e):
+                continue
+            bins = np.rint(e * _STEPS).astype(np.int64)
+            of = 2 * np.arange(len(langs)) + (right[:, None] == np.arange(len(langs)))
+            wide = max(sums.shape[1], int(bins.max()) + 1)
+            sums = np.pad(sums, ((0, 0), (0, wide - sums.shape[1])))
+            sums += np.bincount((of * wide + bins).ravel(), minlength=2 * len(langs) * wide).reshape(sums.shape)
+            above = e - e.min(axis=1, keepdims=True)
+            for k, t in enumerate(_TEMPERATURES):
+                losses[k] += (np.log(np.exp(-t * above).sum(axis=1)) + t * above[np.arange(len(e)), right]).sum()
+        of, at = np.nonzero(sums)
+        yield pd.DataFrame({"model": of // 2, "own": of % 2 == 1, "bin": at, "n": sums[of, at], "loss": 0.0})
+        yield pd.DataFrame({"model": -1, "own": False, "bin": _TEMPERATURES, "n": 0, "loss": losses})
+
+    return train.mapInPandas(count, "model int, own boolean, bin int, n long, loss double").groupBy("model", "own", "bin").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"))
+
+
+def train(docs: DataFrame) -> dict:
+    """A model from docs (text, lang)."""
     small_batches(docs.sparkSession)
     letters = letters_of(docs)
     counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -276,34 +319,31 @@ def train(docs: DataFrame, calibration_rows: int = 500) -> dict:
             order = np.argsort(g)
             counts[x] = (g[order], c[order])
     model = {"models": Models(counts), "letters": letters, "limits": np.full(len(counts), np.inf), "temperature": 50.0}
-    ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("lang").alias("is_lang")).distinct()
-    nth = F.row_number().over(Window.partitionBy("is_lang").orderBy(F.xxhash64("doc_id"), "doc_id"))  # tasks send the first of each language only
-    picked = ids.withColumn("nth", nth).where(F.col("nth") <= calibration_rows).groupBy("doc_id").agg(F.min("is_lang").alias("is_lang"))
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "is_lang").agg(F.min("text").alias("text"))
-    known = score(sample, model, "is_lang").where("lang_pred <> 'und'").orderBy("doc_id").select("is_lang", "entropies").collect()
-    langs = model["models"].langs
-    if known:
-        e = np.array([r.entropies for r in known])
-        right = np.array([langs.index(r.is_lang) for r in known])
-        model["limits"] = limits(e, right)
-        best = []
-        for t in (1, 2, 5, 10, 20, 50, 100):
-            z = -t * (e - e.min(axis=1, keepdims=True))
-            best.append((float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(e)), right])), t))
-        model["temperature"] = float(min(best)[1])
+    if not counts:
+        return model
+    trained = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("lang").isin(*counts)).select("lang", "text")
+    found = cut(calibration_counts(trained, model))
+    ends = found.where("model >= 0").groupBy("model", "own").agg(F.percentile("bin", F.array(F.lit(0.001), F.lit(0.999)), F.col("n")).alias("q")).collect()
+    if ends:
+        high, apart = np.full(len(counts), np.nan), np.full(len(counts), np.nan)
+        for r in ends:
+            (high if r.own else apart)[r.model] = r.q[1 if r.own else 0] / _STEPS
+        model["limits"] = _between(high, apart)
+        model["temperature"] = float(min((r.loss, r.bin) for r in found.where("model < 0").collect())[1])
     return model
 
 
 def limits(e: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Greatest cross-entropy that each language accepts; e: documents x languages, right: their languages."""
-    out = np.full(e.shape[1], -np.inf)
-    for j in range(e.shape[1]):
-        own, other = e[right == j, j], e[right != j, j]
-        if len(own):
-            high = np.quantile(own, 0.999)
-            apart = np.quantile(other, 0.001) if len(other) else 2 * high
-            out[j] = max(high, (high + apart) / 2)
-    return np.where(np.isinf(out), out.max(), out)
+    end = lambda x, q: np.quantile(x, q) if len(x) else np.nan
+    high = [end(e[right == j, j], 0.999) for j in range(e.shape[1])]
+    return _between(np.array(high), np.array([end(e[right != j, j], 0.001) for j in range(e.shape[1])]))
+
+
+def _between(high: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Limits from the quantiles of a language's own documents and of the others, NaN where there are none."""
+    out = np.maximum(high, (high + np.where(np.isnan(apart), 2 * high, apart)) / 2)
+    return np.where(np.isnan(out), np.nanmax(out), out)
 
 
 def score(docs: DataFrame, model: dict, *keep: str | Column) -> DataFrame:
@@ -316,13 +356,8 @@ def score(docs: DataFrame, model: dict, *keep: str | Column) -> DataFrame:
         table = symbol_table(m["letters"])
         models, limits, t = m["models"], m["limits"], m["temperature"]
         for batch in batches:
-            texts, parts, flags = batch.tolist(), [], []
-            for s in groups(texts):
-                e, has = models.cross_entropy(texts[s], table)
-                parts.append(e)
-                flags.append(has)
-            e = np.concatenate(parts) if parts else np.zeros((0, len(models.langs)))
-            has = np.concatenate(flags) if flags else np.zeros(0, bool)
+            texts = batch.tolist()
+            e, has = _entropies(m, table, texts)
             if not models.langs:
                 yield pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": 0.0, "accepted": False, "cross_entropy": 0.0, "entropies": [[]] * len(texts)})
                 continue

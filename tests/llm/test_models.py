@@ -125,3 +125,21 @@ def test_chain_is_out_of_fold(spark, monkeypatch):
     assert all(np.array_equal(p, q) for p, q in zip(model["w"], again["w"])) and model["shift"] == again["shift"]
     held = {r.doc_id: r.scores[1] for r in toxicity.score(docs.where("doc_id > 1"), model).select("doc_id", F.col("scores")).collect()}
     assert np.mean([(held[k] >= 0.5) == (k % 4 == 0) for k in range(2, 200)]) > 0.98
+
+
+def test_calibration_counts_every_document(spark):
+    """Limits and temperature follow all training documents: 600 plain ones of a language and ten of another wording."""
+    draw = random.Random(6)
+    words = {"a": ["the", "and", "thing", "with"], "b": ["der", "und", "nicht", "auch"]}
+    rows = [(k, " ".join(draw.choice(words[x]) for _ in range(draw.randint(3, 30))), x) for k in range(1300) for x in ("ab"[k % 2],)]
+    rows += [(None, " ".join(draw.choice(["zig", "qux", "vorp"]) for _ in range(4)), "a") for _ in range(10)] + [(1, None, "a"), (2, "7", "b"), (3, "the", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    model = lang_id.train(df)
+    known = [r for r in lang_id.score(df.where("lang is not null and text is not null"), model, "lang").collect() if r.lang_pred != "und"]
+    e, right = np.array([r.entropies for r in known]), np.array(["ab".index(r.lang) for r in known])
+    assert len(e) == 1310 and np.abs(model["limits"] - lang_id.limits(e, right)).max() <= 1 / 1024
+    loss = {}
+    for t in (1, 2, 5, 10, 20, 50, 100):
+        z = -t * (e - e.min(axis=1, keepdims=True))
+        loss[t] = float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(e)), right]))
+    assert model["temperature"] == min(loss, key=loss.get)
