@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 LONG = 64
-_AT_ONCE = 1 << 20
+_AT_ONCE = 1 << 18
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -257,7 +257,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        if len(self.known) > 400_000:  # the memory of pieces is only for speed
+        if len(self.known) > 200_000:  # the memory of pieces is only for speed
             self._forget()
         find, known = self.pattern.findall, self.known
         split = [find(t) for t in texts]
@@ -288,7 +288,7 @@ def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 
 
 def groups(texts: list[str]) -> Iterator[slice]:
-    """Slices of about a million characters, so that a batch of long texts needs no more memory than one of short."""
+    """Slices of about 260,000 characters, so that a batch of long texts needs no more memory than one of short."""
     i = 0
     while i < len(texts):
         k, size = i, 0
