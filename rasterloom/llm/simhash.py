@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 
 from ..operators.components import components
 from ..plans.lineage import cut
-from .common import small_batches
+from .common import small_batches, small_broadcasts
 
 SEED = 42
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
@@ -304,6 +304,7 @@ def _keys(of: DataFrame, chosen: list[list[int]], *before: str) -> DataFrame:
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, segments: int = 32, together: int = 5, keys: int = 40, most: int = 64) -> DataFrame:
     """One row per document: doc_id, component_id (the smallest doc_id), keep (one row of each component has it)."""
     small_batches(docs.sparkSession)
+    small_broadcasts(docs.sparkSession)
     base = cut(docs.select("doc_id", _signatures(shingle, segments)(F.coalesce("text", F.lit(""))).alias("g")).select("doc_id", "g.*"))
     classes = cut(
         base.groupBy("class").agg(F.min(F.struct("doc_id", "n", "code")).alias("w"))

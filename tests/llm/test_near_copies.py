@@ -83,3 +83,18 @@ def test_segments_agree_as_texts_are_similar():
             agree.append((a == b).mean())
             found += any((a == b)[k].all() for k in chosen)
         assert abs(np.mean(agree) - similarity) < 0.03 and found >= least * 200
+
+
+def test_broadcasts_stay_small(spark):
+    """The driver holds no table that Spark takes for small by its file: ids take many times a file's size in memory."""
+    from rasterloom.llm.common import small_broadcasts
+
+    name, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for given, want in (("10485760b", "1m"), ("10m", "1m"), ("2g", "1m"), ("256k", "256k"), ("1048576", "1048576"), ("-1", "-1")):
+        spark.conf.set(name, given)
+        small_broadcasts(spark)
+        assert spark.conf.get(name) == want
+    spark.conf.set(name, "10m")
+    simhash.similar_groups(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")).count()
+    assert spark.conf.get(name) == "1m"
+    spark.conf.set(name, before)
