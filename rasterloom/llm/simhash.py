@@ -17,10 +17,15 @@ fingerprint has ``segments`` segments of 23 bits, each with its own weights of t
 the shingle's hash), so that a segment is ruled by a few shingles and two texts agree in a share of their segments that
 is about their similarity. Each segment is decoded to its Golay codeword's index; errors fall into some segments only
 (pigeonhole), so each of ``keys`` keys joins the indices of ``together`` segments. Candidates of a bucket are verified by
-the Jaccard similarity of their whole shingle sets, so nothing below the limit is linked. At 0.8 a pair is missed with a
+the Jaccard similarity of their whole shingle sets, so nothing below the limit is linked. At 0.8 a pair shares no key with a
 probability of about 0.002, at 0.9 of under 0.0001. Texts of one shingle set are one class. In a bucket each class is compared
 with the bucket's least, then with those classes that aren't in its component yet; a bucket with more such pairs than
-``most`` a member is dealt into buckets of further segments first, so pairs stay in proportion to the rows.
+``most`` a member is dealt into buckets of further segments.
+
+What the keys leave out is found exactly (``_left_out``). Sets of n shingles that are similar enough share one of the first
+n - ceil(similarity * n) + 1 of them, in any order that all sets have in common: by hash, and shingles of many texts last,
+the more frequent the later. Of shingles held by several components all pairs between those are compared, without a
+bound; after the keys these are few, except for crowds of texts that share most of their shingles just below the limit.
 
 Defined results: null and empty texts have fingerprint zero; a null doc_id is linked like others, a component of only
 null ids has a null component_id; repeated rows are all returned; an empty table gives an empty result; other columns
@@ -30,6 +35,7 @@ are ignored. ``similar_groups``: texts without words are one class, similar to n
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -182,6 +188,8 @@ def simhash_groups(docs: DataFrame, most: int = 256) -> DataFrame:
 
 
 _HEAVY, _POWER = 4, 8
+#: One in so many texts is counted to order shingles by how frequent they are.
+_SHARE = 8
 #: (buckets of each crowded bucket, further segments of each) of the rounds.
 _FINER = ((12, 8), (12, 14), (8, 24))
 
@@ -261,13 +269,19 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *parts]))
 
 
-def _signatures(shingle: int, segments: int):
+def prefix_size(n: int, similarity: float) -> int:
+    """Of a set of n, how many elements can't all be missing in a similar one."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def _signatures(shingle: int, segments: int, similarity: float):
     def run(texts: pa.Array) -> pa.Array:
         code, known = Golay(), _Words()
-        sizes, classes, words, held = [], [], [], []
+        sizes, classes, words, held, first = [], [], [], [], []
         for t in texts:  # one text at a time as a Python string
             s = shingle_set(t.as_py(), shingle, known)
             sizes.append(len(s))
+            first.append(s[: prefix_size(len(s), similarity)].view(np.int64))
             classes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             if len(s):
                 held.append(s)
@@ -276,9 +290,9 @@ def _signatures(shingle: int, segments: int):
                 held = []
         index = iter(code.nearest(np.concatenate([*words, weighted_segments(held, segments)]).astype(np.int64)).astype(np.int64))
         codes = [next(index) if n else np.zeros(0, np.int64) for n in sizes]
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(classes, pa.binary()), _lists(codes)], ["n", "class", "code"])
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(classes, pa.binary()), _lists(codes), _lists(first)], ["n", "class", "code", "first"])
 
-    return F.arrow_udf(run, "n int, class binary, code array<bigint>")
+    return F.arrow_udf(run, "n int, class binary, code array<bigint>, first array<bigint>")
 
 
 def _sets(shingle: int):
@@ -289,6 +303,18 @@ def _sets(shingle: int):
     return F.arrow_udf(run, "array<bigint>")
 
 
+def _later(shingle: int, similarity: float):
+    """The first shingles of a text in the order that puts ``late`` ones (given in their order) after all others."""
+    def run(texts: pa.Array, late: pa.Array) -> pa.Array:
+        known, out = _Words(), []
+        for t, some in zip(texts, late):
+            s, q = shingle_set(t.as_py(), shingle, known).view(np.int64), some.values.to_numpy()
+            out.append(np.concatenate([s[~np.isin(s, q)], q])[: prefix_size(len(s), similarity)])
+        return _lists(out)
+
+    return F.arrow_udf(run, "array<bigint>")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
     both = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("common"), (F.size("a") + F.size("b")).alias("total"))
@@ -305,20 +331,19 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, s
     """One row per document: doc_id, component_id (the smallest doc_id), keep (one row of each component has it)."""
     small_batches(docs.sparkSession)
     small_broadcasts(docs.sparkSession)
-    base = cut(docs.select("doc_id", _signatures(shingle, segments)(F.coalesce("text", F.lit(""))).alias("g")).select("doc_id", "g.*"))
+    base = cut(docs.select("doc_id", _signatures(shingle, segments, similarity)(F.coalesce("text", F.lit(""))).alias("g")).select("doc_id", "g.*"))
     classes = cut(
-        base.groupBy("class").agg(F.min(F.struct("doc_id", "n", "code")).alias("w"))
+        base.groupBy("class").agg(F.min(F.struct("doc_id", "n", "code", "first")).alias("w"))
         .select("class", "w.*", F.monotonically_increasing_id().alias("node"))
     )
     alike = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
     rows, sets, roots = _keys(classes.where("n > 0"), subsets(segments, together, keys)), None, None
-    for finer in (*_FINER, None):
+    for finer in _FINER:
         # partial aggregation: a task sends a key once, however often it occurs
         shared = rows.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1")
         buckets = cut(rows.join(shared, "key").select("key", "node", "n", "lead"))
         if sets is None:  # all later buckets are parts of these
-            picked = classes.join(buckets.select("node").distinct(), "node", "left_semi").select("doc_id", "node")
-            sets = cut(docs.select("doc_id", "text").join(picked, "doc_id").select("node", _sets(shingle)(F.coalesce("text", F.lit(""))).alias("s")))
+            sets = cut(_texts(docs, classes, buckets.select("node").distinct()).select("node", _sets(shingle)("text").alias("s")))
         stars = buckets.where((F.col("node") != F.col("lead.node")) & alike(F.col("n"), F.col("lead.n"))).select(F.col("lead.node").alias("u"), F.col("node").alias("v"), "key")
         # an eighth of the keys joins most of a large group; then only pairs that are apart are compared
         some = F.pmod(F.xxhash64("key"), F.lit(8)) == 0
@@ -328,23 +353,61 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, s
         # what the least of the bucket was compared with needs no second look
         placed = placed.where("node <> lead")
         counts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("same"))
-        mixed = cut(counts.where("k * k > same").select("key", ((F.col("k") * F.col("k") - F.col("same")) / F.col("k") > (most if finer else np.inf)).alias("crowded")))
+        mixed = cut(counts.where("k * k > same").select("key", ((F.col("k") * F.col("k") - F.col("same")) / F.col("k") > most).alias("crowded")))
         rest = cut(placed.join(mixed, "key").select("key", "node", "n", "root", "crowded"))
         few = rest.where("not crowded")
         other = few.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "root")))
         more = few.join(other, "key").where("node < node2 and root <> root2").where(alike(F.col("n"), F.col("n2"))).select(F.col("node").alias("u"), F.col("node2").alias("v")).distinct()
         roots = _joined(roots, _verified(more, sets, similarity))
         crowd = rest.where("crowded").select("key", "node")
-        if not finer or crowd.isEmpty():
+        if crowd.isEmpty():
             break
         held = crowd.withColumnRenamed("key", "bucket").join(classes.select("node", "n", "code"), "node")
         rows = cut(_keys(held, subsets(segments, finer[1], finer[0]), "bucket").distinct())
+    roots = _joined(roots, _left_out(docs, classes, roots, similarity, shingle, most))
     member = classes.select("class", "doc_id", "node").join(roots, "node", "left").select("class", "doc_id", F.coalesce("root", "node").alias("root"))
     least = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     known = member.join(least, "root").select("class", "component_id")
     return base.select("doc_id", "class").join(known, "class").select("doc_id", "component_id", (F.col("doc_id") == F.col("component_id")).alias("keep"))
 
 
+def _texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text of the classes in ``nodes``."""
+    picked = classes.join(nodes, "node", "left_semi").select("doc_id", "node")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id").select("node", "text")
+
+
+def _shared(firsts: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, node, n, at, root of the shingles of ``firsts`` (node, n, first) that nodes of several components hold."""
+    places = firsts.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), F.posexplode("first").alias("at", "key"))
+    # partial aggregation: what one component holds alone goes here
+    several = places.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    return cut(places.join(several, "key"))
+
+
+def _left_out(docs: DataFrame, classes: DataFrame, roots: DataFrame, similarity: float, shingle: int, most: int) -> DataFrame:
+    """Links u, v between components: all pairs of nodes of different components that are similar enough."""
+    firsts = classes.where("n > 0").select("node", "n", "first")
+    # which shingles come late is only a matter of speed, any choice is right if it's one for all sets: those of many texts
+    some = classes.where("n > 0").where(F.pmod(F.xxhash64("class"), F.lit(_SHARE)) == 0).select("node")
+    held = _texts(docs, classes, some).select(F.explode(_sets(shingle)("text")).alias("key"))
+    late = cut(held.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > max(1, most // _SHARE)))
+    moved = cut(firsts.select("node", F.explode("first").alias("key")).join(late, "key", "left_semi").select("node").distinct())
+    own = _texts(docs, classes, moved).select("node", F.explode(_sets(shingle)("text")).alias("key")).join(late, "key")
+    own = own.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("late"))
+    again = _texts(docs, classes, moved).join(own, "node").select("node", _later(shingle, similarity)("text", F.col("late.key")).alias("first"))
+    again = cut(firsts.select("node", "n").join(again, "node"))
+    places = _shared(firsts.join(moved, "node", "left_anti").unionByName(again.select("node", "n", "first")), roots)
+    other = places.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "at", "root")))
+    # the first shingle that two sets share is followed by enough in both
+    need = F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("n2")) - 1e-6
+    near = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= need
+    pairs = cut(places.join(other, "key").where("node < node2 and root <> root2").where(near).select(F.col("node").alias("u"), F.col("node2").alias("v")).distinct())
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = cut(_texts(docs, classes, nodes).select("node", _sets(shingle)("text").alias("s")))
+    return _verified(pairs, sets, similarity)
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Distinct pairs u, v whose components differ."""
     root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))

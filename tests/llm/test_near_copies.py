@@ -85,6 +85,25 @@ def test_segments_agree_as_texts_are_similar():
         assert abs(np.mean(agree) - similarity) < 0.03 and found >= least * 200
 
 
+@pytest.mark.parametrize("most", [64, 2])
+def test_pairs_without_a_common_key_are_found(spark, texts, most):
+    """One key only: most similar pairs share none; and texts with one long passage, which crowd its shingles."""
+    draw = random.Random(5)
+    words = [f"v{k}" for k in range(900)]
+    passage = [draw.choice(words) for _ in range(60)]
+    crowd = []
+    for k in range(30):
+        own = [draw.choice(words) for _ in range(draw.choice((10, 20, 200)))]
+        crowd.append(" ".join(passage + own))
+        if k % 3 == 0:
+            own[-1] = "other"
+            crowd.append(" ".join(passage + own))
+    every = texts + crowd
+    df = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(df, keys=1, most=most).collect()}
+    assert [got[k] for k in range(len(every))] == brute_components(every)
+
+
 def test_broadcasts_stay_small(spark):
     """The driver holds no table that Spark takes for small by its file: ids take many times a file's size in memory."""
     from rasterloom.llm.common import small_broadcasts
