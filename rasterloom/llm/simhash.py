@@ -26,6 +26,8 @@ What the keys leave out is found exactly (``_left_out``). Sets of n shingles tha
 n - ceil(similarity * n) + 1 of them, in any order that all sets have in common: by hash, and shingles of many texts last,
 the more frequent the later. Of shingles held by several components all pairs between those are compared, without a
 bound; after the keys these are few, except for crowds of texts that share most of their shingles just below the limit.
+Before whole sets, parities are compared: a bit tells whether an odd number of a set's shingles fall on it. Each differing
+bit takes a shingle that only one of the two sets has, so pairs with more such bits than they may have such shingles go.
 
 Defined results: null and empty texts have fingerprint zero; a null doc_id is linked like others, a component of only
 null ids has a null component_id; repeated rows are all returned; an empty table gives an empty result; other columns
@@ -44,12 +46,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import components
-from ..plans.lineage import cut
+from ..plans.lineage import cut, finished
 from .common import small_batches, small_broadcasts
 
 SEED = 42
@@ -188,8 +191,10 @@ def simhash_groups(docs: DataFrame, most: int = 256) -> DataFrame:
 
 
 _HEAVY, _POWER = 4, 8
-#: One in so many texts is counted to order shingles by how frequent they are.
-_SHARE = 8
+#: One in so many texts is counted to order shingles by how frequent they are; so many of the most frequent are put last.
+_SHARE, _LATE = 8, 1 << 20
+#: So many links (16 bytes each) are joined in one task.
+_FEW = 1 << 18
 #: (buckets of each crowded bucket, further segments of each) of the rounds.
 _FINER = ((12, 8), (12, 14), (8, 24))
 
@@ -274,14 +279,28 @@ def prefix_size(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
-def _signatures(shingle: int, segments: int, similarity: float):
+def parities(s: np.ndarray) -> np.ndarray:
+    """64-bit words of as many bits as ``s`` has elements or up to twice as many (a power of two, 256 at least): 1 where an odd
+    number of elements fall. Half the bits follow by XOR of the two halves."""
+    bits = max(256, 1 << max(0, len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def differing(a: Column, b: Column) -> Column:
+    """Bits that differ between ``parities`` of sets of which one has at most twice the elements of the other."""
+    half = lambda x: F.transform(F.slice(x, F.lit(1), (F.size(x) / 2).cast("int")), lambda y, k: y.bitwiseXOR(F.get(x, k + (F.size(x) / 2).cast("int"))))
+    as_small = lambda x, y: F.when(F.size(x) > F.size(y), half(x)).otherwise(x)
+    return F.aggregate(F.zip_with(as_small(a, b), as_small(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+
+
+def _signatures(shingle: int, segments: int):
     def run(texts: pa.Array) -> pa.Array:
         code, known = Golay(), _Words()
-        sizes, classes, words, held, first = [], [], [], [], []
+        sizes, classes, words, held = [], [], [], []
         for t in texts:  # one text at a time as a Python string
             s = shingle_set(t.as_py(), shingle, known)
             sizes.append(len(s))
-            first.append(s[: prefix_size(len(s), similarity)].view(np.int64))
             classes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             if len(s):
                 held.append(s)
@@ -290,9 +309,9 @@ def _signatures(shingle: int, segments: int, similarity: float):
                 held = []
         index = iter(code.nearest(np.concatenate([*words, weighted_segments(held, segments)]).astype(np.int64)).astype(np.int64))
         codes = [next(index) if n else np.zeros(0, np.int64) for n in sizes]
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(classes, pa.binary()), _lists(codes), _lists(first)], ["n", "class", "code", "first"])
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(classes, pa.binary()), _lists(codes)], ["n", "class", "code"])
 
-    return F.arrow_udf(run, "n int, class binary, code array<bigint>, first array<bigint>")
+    return F.arrow_udf(run, "n int, class binary, code array<bigint>")
 
 
 def _sets(shingle: int):
@@ -303,16 +322,23 @@ def _sets(shingle: int):
     return F.arrow_udf(run, "array<bigint>")
 
 
-def _later(shingle: int, similarity: float):
-    """The first shingles of a text in the order that puts ``late`` ones (given in their order) after all others."""
-    def run(texts: pa.Array, late: pa.Array) -> pa.Array:
-        known, out = _Words(), []
-        for t, some in zip(texts, late):
-            s, q = shingle_set(t.as_py(), shingle, known).view(np.int64), some.values.to_numpy()
-            out.append(np.concatenate([s[~np.isin(s, q)], q])[: prefix_size(len(s), similarity)])
-        return _lists(out)
+def _firsts(shingle: int, similarity: float, late: Broadcast):
+    """first: the first shingles of a text in the order that puts ``late`` ones (sorted; with their places) after all others;
+    parity: its set's ``parities``."""
+    def run(texts: pa.Array) -> pa.Array:
+        known, firsts, parity = _Words(), [], []
+        keys, place = late.value
+        for t in texts:
+            s = shingle_set(t.as_py(), shingle, known)
+            parity.append(parities(s))
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+                is_late = keys[at] == s
+                s = np.concatenate([s[~is_late], s[is_late][np.argsort(place[at[is_late]])]])
+            firsts.append(s[: prefix_size(len(s), similarity)].view(np.int64))
+        return pa.StructArray.from_arrays([_lists(firsts), _lists(parity)], ["first", "parity"])
 
-    return F.arrow_udf(run, "array<bigint>")
+    return F.arrow_udf(run, "first array<bigint>, parity array<bigint>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -329,13 +355,28 @@ def _keys(of: DataFrame, chosen: list[list[int]], *before: str) -> DataFrame:
 
 def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, segments: int = 32, together: int = 5, keys: int = 40, most: int = 64) -> DataFrame:
     """One row per document: doc_id, component_id (the smallest doc_id), keep (one row of each component has it)."""
-    small_batches(docs.sparkSession)
-    small_broadcasts(docs.sparkSession)
-    base = cut(docs.select("doc_id", _signatures(shingle, segments, similarity)(F.coalesce("text", F.lit(""))).alias("g")).select("doc_id", "g.*"))
-    classes = cut(
-        base.groupBy("class").agg(F.min(F.struct("doc_id", "n", "code", "first")).alias("w"))
-        .select("class", "w.*", F.monotonically_increasing_id().alias("node"))
-    )
+    spark = docs.sparkSession
+    small_batches(spark)
+    small_broadcasts(spark)
+
+    def grouped() -> DataFrame:
+        base = cut(docs.select("doc_id", _signatures(shingle, segments)(F.coalesce("text", F.lit(""))).alias("g")).select("doc_id", "g.*"))
+        classes = cut(
+            base.groupBy("class").agg(F.min(F.struct("doc_id", "n", "code")).alias("w"))
+            .select("class", "w.*", F.monotonically_increasing_id().alias("node"))
+        )
+        roots = finished(spark, lambda: _by_keys(docs, classes, similarity, shingle, segments, together, keys, most))
+        roots = finished(spark, lambda: _joined(roots, _left_out(docs, classes, roots, similarity, shingle, most)))
+        member = classes.select("class", "doc_id", "node").join(roots, "node", "left").select("class", "doc_id", F.coalesce("root", "node").alias("root"))
+        least = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        known = member.join(least, "root").select("class", "component_id")
+        return base.select("doc_id", "class").join(known, "class").select("doc_id", "component_id", (F.col("doc_id") == F.col("component_id")).alias("keep"))
+
+    return finished(spark, grouped)
+
+
+def _by_keys(docs: DataFrame, classes: DataFrame, similarity: float, shingle: int, segments: int, together: int, keys: int, most: int) -> DataFrame:
+    """node, root of the classes that are linked by keys."""
     alike = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
     rows, sets, roots = _keys(classes.where("n > 0"), subsets(segments, together, keys)), None, None
     for finer in _FINER:
@@ -364,11 +405,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, s
             break
         held = crowd.withColumnRenamed("key", "bucket").join(classes.select("node", "n", "code"), "node")
         rows = cut(_keys(held, subsets(segments, finer[1], finer[0]), "bucket").distinct())
-    roots = _joined(roots, _left_out(docs, classes, roots, similarity, shingle, most))
-    member = classes.select("class", "doc_id", "node").join(roots, "node", "left").select("class", "doc_id", F.coalesce("root", "node").alias("root"))
-    least = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    known = member.join(least, "root").select("class", "component_id")
-    return base.select("doc_id", "class").join(known, "class").select("doc_id", "component_id", (F.col("doc_id") == F.col("component_id")).alias("keep"))
+    return roots
 
 
 def _texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -387,22 +424,26 @@ def _shared(firsts: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _left_out(docs: DataFrame, classes: DataFrame, roots: DataFrame, similarity: float, shingle: int, most: int) -> DataFrame:
     """Links u, v between components: all pairs of nodes of different components that are similar enough."""
-    firsts = classes.where("n > 0").select("node", "n", "first")
+    spark, text = docs.sparkSession, F.coalesce("text", F.lit(""))
     # which shingles come late is only a matter of speed, any choice is right if it's one for all sets: those of many texts
-    some = classes.where("n > 0").where(F.pmod(F.xxhash64("class"), F.lit(_SHARE)) == 0).select("node")
-    held = _texts(docs, classes, some).select(F.explode(_sets(shingle)("text")).alias("key"))
-    late = cut(held.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > max(1, most // _SHARE)))
-    moved = cut(firsts.select("node", F.explode("first").alias("key")).join(late, "key", "left_semi").select("node").distinct())
-    own = _texts(docs, classes, moved).select("node", F.explode(_sets(shingle)("text")).alias("key")).join(late, "key")
-    own = own.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("late"))
-    again = _texts(docs, classes, moved).join(own, "node").select("node", _later(shingle, similarity)("text", F.col("late.key")).alias("first"))
-    again = cut(firsts.select("node", "n").join(again, "node"))
-    places = _shared(firsts.join(moved, "node", "left_anti").unionByName(again.select("node", "n", "first")), roots)
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(_SHARE)) == 0).select(F.explode(_sets(shingle)(text)).alias("key"))
+    often = some.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > max(1, most // _SHARE))
+    late = often.orderBy(F.desc("df"), "key").limit(_LATE).select("key").toArrow()["key"].to_numpy().view(np.uint64)[::-1]
+    order = np.argsort(late)
+    late = spark.sparkContext.broadcast((late[order], order))  # keys, and their places from the least frequent on
+    firsts = docs.select("doc_id", _firsts(shingle, similarity, late)(text).alias("f")).select("doc_id", "f.*")
+    firsts = cut(classes.where("n > 0").select("doc_id", "node", "n").join(firsts, "doc_id").select("node", "n", "first", "parity"))
+    places = _shared(firsts.select("node", "n", "first"), roots)
     other = places.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "at", "root")))
     # the first shingle that two sets share is followed by enough in both
     need = F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("n2")) - 1e-6
     near = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= need
     pairs = cut(places.join(other, "key").where("node < node2 and root <> root2").where(near).select(F.col("node").alias("u"), F.col("node2").alias("v")).distinct())
+    a, b = (firsts.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("parity").alias(f"{c}_parity")) for c in "uv")
+    apart = F.lit((1 - similarity) / (1 + similarity)) * (F.col("u_n") + F.col("v_n")) + 1e-6
+    pairs = cut(pairs.join(a, "u").join(b, "v").where(differing(F.col("u_parity"), F.col("v_parity")) <= apart).select("u", "v"))
+    if pairs.isEmpty():
+        return pairs
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     sets = cut(_texts(docs, classes, nodes).select("node", _sets(shingle)("text").alias("s")))
     return _verified(pairs, sets, similarity)
@@ -420,6 +461,7 @@ def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
 
     Links are first moved to the roots known, and a node that is only ever the greater of its links to the least of its
     neighbours: of a large group, whose members mostly have links to a few leading ones, the rounds see only these.
+    Few links (counted) are joined in one task.
     """
     if roots is not None:
         if links.isEmpty():
@@ -427,13 +469,16 @@ def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
         own = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
         links = links.join(own("u"), "u", "left").join(own("v"), "v", "left").select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"))
     pairs = cut(links.where("u <> v").select(F.least("u", "v").alias("low"), F.greatest("u", "v").alias("high")).distinct())
-    leaves = cut(pairs.groupBy("high").agg(F.min("low").alias("least")).join(pairs.select(F.col("low").alias("high")).distinct(), "high", "left_anti"))
-    core = pairs.join(leaves, "high", "left").select("low", F.coalesce("least", "high").alias("other")).where("low <> other").select(F.col("low").alias("u"), F.col("other").alias("v"))
-    found = cut(components(core))
-    to = found.select(F.col("node").alias("least"), F.col("root").alias("to"))
-    hung = leaves.join(to, "least", "left").select(F.col("high").alias("node"), F.coalesce("to", "least").alias("root"))
-    tops = leaves.select(F.col("least").alias("node")).distinct().join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"))
-    new = cut(found.unionByName(hung).unionByName(tops))
+    if pairs.count() <= _FEW:
+        new = components(pairs.select(F.col("low").alias("u"), F.col("high").alias("v")), _FEW)
+    else:
+        leaves = cut(pairs.groupBy("high").agg(F.min("low").alias("least")).join(pairs.select(F.col("low").alias("high")).distinct(), "high", "left_anti"))
+        core = pairs.join(leaves, "high", "left").select("low", F.coalesce("least", "high").alias("other")).where("low <> other").select(F.col("low").alias("u"), F.col("other").alias("v"))
+        found = cut(components(core))
+        to = found.select(F.col("node").alias("least"), F.col("root").alias("to"))
+        hung = leaves.join(to, "least", "left").select(F.col("high").alias("node"), F.coalesce("to", "least").alias("root"))
+        tops = leaves.select(F.col("least").alias("node")).distinct().join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"))
+        new = cut(found.unionByName(hung).unionByName(tops))
     if roots is None:
         return new
     moved = new.select(F.col("node").alias("root"), F.col("root").alias("to"))
