@@ -19,13 +19,16 @@ is about their similarity. Each segment is decoded to its Golay codeword's index
 (pigeonhole), so each of ``keys`` keys joins the indices of ``together`` segments. Candidates of a bucket are verified by
 the Jaccard similarity of their whole shingle sets, so nothing below the limit is linked. At 0.8 a pair shares no key with a
 probability of about 0.002, at 0.9 of under 0.0001. Texts of one shingle set are one class. In a bucket each class is compared
-with the bucket's least, then with those classes that aren't in its component yet; a bucket with more such pairs than
-``most`` a member is dealt into buckets of further segments.
+with the bucket's least only.
 
 What the keys leave out is found exactly (``_left_out``). Sets of n shingles that are similar enough share one of the first
 n - ceil(similarity * n) + 1 of them, in any order that all sets have in common: by hash, and shingles of many texts last,
-the more frequent the later. Of shingles held by several components all pairs between those are compared, without a
-bound; after the keys these are few, except for crowds of texts that share most of their shingles just below the limit.
+the more frequent the later. So copies of one text with changes begin with what their changes made. Of the holders of a
+shingle each is first compared with the one that has the fewest shingles before it, by its size: the copy with the fewest
+changes. Two copies similar to each other are similar to this one unless their changes have shingles in common, so large
+groups are linked by one comparison a copy. Then all pairs between components are compared, without a bound, by the places
+of the shingle they share, which tell those with too many changes; few are left, except for crowds of texts that share most
+of their shingles just below the limit and of which no text is the common one.
 Before whole sets, parities are compared: a bit tells whether an odd number of a set's shingles fall on it. Each differing
 bit takes a shingle that only one of the two sets has, so pairs with more such bits than they may have such shingles go.
 
@@ -195,8 +198,6 @@ _HEAVY, _POWER = 4, 8
 _SHARE, _LATE = 8, 1 << 20
 #: So many links (16 bytes each) are joined in one task.
 _FEW = 1 << 18
-#: (buckets of each crowded bucket, further segments of each) of the rounds.
-_FINER = ((12, 8), (12, 14), (8, 24))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -347,9 +348,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return cut(both.where(F.col("common") >= F.lit(similarity) * (F.col("total") - F.col("common")) - 1e-9).select("u", "v"))
 
 
-def _keys(of: DataFrame, chosen: list[list[int]], *before: str) -> DataFrame:
-    """key, node, n: one row for each set of segments; ``before`` are columns that a bucket has in common too."""
-    key = lambda k, some: F.xxhash64(*before, F.lit(k), *(F.col("code")[i] for i in some))
+def _keys(of: DataFrame, chosen: list[list[int]]) -> DataFrame:
+    """key, node, n: one row for each set of segments."""
+    key = lambda k, some: F.xxhash64(F.lit(k), *(F.col("code")[i] for i in some))
     return of.select("node", "n", F.explode(F.array(*(key(k, some) for k, some in enumerate(chosen)))).alias("key"))
 
 
@@ -365,8 +366,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, s
             base.groupBy("class").agg(F.min(F.struct("doc_id", "n", "code")).alias("w"))
             .select("class", "w.*", F.monotonically_increasing_id().alias("node"))
         )
-        roots = finished(spark, lambda: _by_keys(docs, classes, similarity, shingle, segments, together, keys, most))
-        roots = finished(spark, lambda: _joined(roots, _left_out(docs, classes, roots, similarity, shingle, most)))
+        roots = finished(spark, lambda: _by_keys(docs, classes, similarity, shingle, segments, together, keys))
+        roots = finished(spark, lambda: _left_out(docs, classes, roots, similarity, shingle, most))
         member = classes.select("class", "doc_id", "node").join(roots, "node", "left").select("class", "doc_id", F.coalesce("root", "node").alias("root"))
         least = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
         known = member.join(least, "root").select("class", "component_id")
@@ -375,37 +376,19 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, s
     return finished(spark, grouped)
 
 
-def _by_keys(docs: DataFrame, classes: DataFrame, similarity: float, shingle: int, segments: int, together: int, keys: int, most: int) -> DataFrame:
-    """node, root of the classes that are linked by keys."""
+def _by_keys(docs: DataFrame, classes: DataFrame, similarity: float, shingle: int, segments: int, together: int, keys: int) -> DataFrame:
+    """node, root of the classes that are linked to the least class of a bucket."""
     alike = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
-    rows, sets, roots = _keys(classes.where("n > 0"), subsets(segments, together, keys)), None, None
-    for finer in _FINER:
-        # partial aggregation: a task sends a key once, however often it occurs
-        shared = rows.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        buckets = cut(rows.join(shared, "key").select("key", "node", "n", "lead"))
-        if sets is None:  # all later buckets are parts of these
-            sets = cut(_texts(docs, classes, buckets.select("node").distinct()).select("node", _sets(shingle)("text").alias("s")))
-        stars = buckets.where((F.col("node") != F.col("lead.node")) & alike(F.col("n"), F.col("lead.n"))).select(F.col("lead.node").alias("u"), F.col("node").alias("v"), "key")
-        # an eighth of the keys joins most of a large group; then only pairs that are apart are compared
-        some = F.pmod(F.xxhash64("key"), F.lit(8)) == 0
-        roots = _joined(roots, _verified(stars.where(some).select("u", "v").distinct(), sets, similarity))
-        roots = _joined(roots, _verified(_apart(stars.where(~some), roots), sets, similarity))
-        placed = buckets.join(roots, "node", "left").select("key", "node", "n", F.col("lead.node").alias("lead"), F.coalesce("root", "node").alias("root"))
-        # what the least of the bucket was compared with needs no second look
-        placed = placed.where("node <> lead")
-        counts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("same"))
-        mixed = cut(counts.where("k * k > same").select("key", ((F.col("k") * F.col("k") - F.col("same")) / F.col("k") > most).alias("crowded")))
-        rest = cut(placed.join(mixed, "key").select("key", "node", "n", "root", "crowded"))
-        few = rest.where("not crowded")
-        other = few.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "root")))
-        more = few.join(other, "key").where("node < node2 and root <> root2").where(alike(F.col("n"), F.col("n2"))).select(F.col("node").alias("u"), F.col("node2").alias("v")).distinct()
-        roots = _joined(roots, _verified(more, sets, similarity))
-        crowd = rest.where("crowded").select("key", "node")
-        if crowd.isEmpty():
-            break
-        held = crowd.withColumnRenamed("key", "bucket").join(classes.select("node", "n", "code"), "node")
-        rows = cut(_keys(held, subsets(segments, finer[1], finer[0]), "bucket").distinct())
-    return roots
+    rows = _keys(classes.where("n > 0"), subsets(segments, together, keys))
+    # partial aggregation: a task sends a key once, however often it occurs
+    shared = rows.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    buckets = cut(rows.join(shared, "key").select("key", "node", "n", "lead"))
+    stars = buckets.where((F.col("node") != F.col("lead.node")) & alike(F.col("n"), F.col("lead.n"))).select(F.col("lead.node").alias("u"), F.col("node").alias("v"), "key")
+    sets = cut(_texts(docs, classes, stars.select(F.explode(F.array("u", "v")).alias("node")).distinct()).select("node", _sets(shingle)("text").alias("s")))
+    # an eighth of the keys joins most of a large group; then only pairs that are apart are compared
+    some = F.pmod(F.xxhash64("key"), F.lit(8)) == 0
+    roots = _joined(None, _verified(stars.where(some).select("u", "v").distinct(), sets, similarity))
+    return _joined(roots, _verified(_apart(stars.where(~some), roots), sets, similarity))
 
 
 def _texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -414,16 +397,18 @@ def _texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id").select("node", "text")
 
 
-def _shared(firsts: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, node, n, at, root of the shingles of ``firsts`` (node, n, first) that nodes of several components hold."""
-    places = firsts.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), F.posexplode("first").alias("at", "key"))
+def _shared(places: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """key, node, n, at, root, lead of the shingles of ``places`` (key, node, n, at) that nodes of several components hold;
+    lead: the node with the fewest shingles before this one, by its size."""
+    placed = places.join(roots, "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("root"))
+    least = F.struct((F.col("at") - F.lit((1 - similarity) / (1 + similarity)) * F.col("n")).alias("w"), "node", "n", "at", "root")
     # partial aggregation: what one component holds alone goes here
-    several = places.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    return cut(places.join(several, "key"))
+    several = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min(least).alias("lead")).where("a <> b")
+    return cut(placed.join(several.select("key", "lead"), "key"))
 
 
 def _left_out(docs: DataFrame, classes: DataFrame, roots: DataFrame, similarity: float, shingle: int, most: int) -> DataFrame:
-    """Links u, v between components: all pairs of nodes of different components that are similar enough."""
+    """node, root when all pairs of nodes of different components that are similar enough are linked too."""
     spark, text = docs.sparkSession, F.coalesce("text", F.lit(""))
     # which shingles come late is only a matter of speed, any choice is right if it's one for all sets: those of many texts
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(_SHARE)) == 0).select(F.explode(_sets(shingle)(text)).alias("key"))
@@ -433,20 +418,31 @@ def _left_out(docs: DataFrame, classes: DataFrame, roots: DataFrame, similarity:
     late = spark.sparkContext.broadcast((late[order], order))  # keys, and their places from the least frequent on
     firsts = docs.select("doc_id", _firsts(shingle, similarity, late)(text).alias("f")).select("doc_id", "f.*")
     firsts = cut(classes.where("n > 0").select("doc_id", "node", "n").join(firsts, "doc_id").select("node", "n", "first", "parity"))
-    places = _shared(firsts.select("node", "n", "first"), roots)
-    other = places.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "at", "root")))
+
     # the first shingle that two sets share is followed by enough in both
-    need = F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("n2")) - 1e-6
-    near = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= need
-    pairs = cut(places.join(other, "key").where("node < node2 and root <> root2").where(near).select(F.col("node").alias("u"), F.col("node2").alias("v")).distinct())
-    a, b = (firsts.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("parity").alias(f"{c}_parity")) for c in "uv")
-    apart = F.lit((1 - similarity) / (1 + similarity)) * (F.col("u_n") + F.col("v_n")) + 1e-6
-    pairs = cut(pairs.join(a, "u").join(b, "v").where(differing(F.col("u_parity"), F.col("v_parity")) <= apart).select("u", "v"))
-    if pairs.isEmpty():
-        return pairs
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = cut(_texts(docs, classes, nodes).select("node", _sets(shingle)("text").alias("s")))
-    return _verified(pairs, sets, similarity)
+    def near(n: Column, at: Column, n2: Column, at2: Column) -> Column:
+        return F.least(n - at, n2 - at2) >= F.lit(similarity / (1 + similarity)) * (n + n2) - 1e-6
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        a, b = (firsts.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("parity").alias(f"{c}_parity")) for c in "uv")
+        apart = F.lit((1 - similarity) / (1 + similarity)) * (F.col("u_n") + F.col("v_n")) + 1e-6
+        pairs = cut(pairs.join(a, "u").join(b, "v").where(differing(F.col("u_parity"), F.col("v_parity")) <= apart).select("u", "v"))
+        if pairs.isEmpty():
+            return pairs
+        nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        return _verified(pairs, cut(_texts(docs, classes, nodes).select("node", _sets(shingle)("text").alias("s"))), similarity)
+
+    n, at = F.col("n"), F.col("at")
+    # of a text's copies with changes, the one with the fewest is similar to most; what is similar to it needs no pairs
+    places = _shared(firsts.select("node", "n", F.posexplode("first").alias("at", "key")), roots, similarity)
+    stars = places.where((F.col("root") != F.col("lead.root")) & near(n, at, F.col("lead.n"), F.col("lead.at")))
+    roots = _joined(roots, linked(cut(stars.select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v")).distinct())))
+    places = _shared(places.select("key", "node", "n", "at"), roots, similarity)
+    other = places.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "at", "root")))
+    # of two components one isn't the lead's, which holds most of a large group: its own pairs aren't even formed
+    apart = places.where("root <> lead.root").join(other, "key").where("root <> root2 and (root2 = lead.root or node < node2)")
+    pairs = apart.where(near(n, at, F.col("n2"), F.col("at2"))).select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v"))
+    return _joined(roots, linked(cut(pairs.distinct())))
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
